@@ -61,7 +61,8 @@ def earliest(df: DataFrame, keys, order, keep) -> DataFrame:
     An aggregate of structs combines on the map side, so a key that holds a
     third of all rows still reaches its reducer as one row per task.
     """
-    ranked = F.struct(*order, *[F.col(c) for c in keep if c not in keys])
+    placed = [c.alias(f"_order{i}") for i, c in enumerate(order)]
+    ranked = F.struct(*placed, *[F.col(c) for c in keep if c not in keys])
     best = df.groupBy(*keys).agg(F.min(ranked).alias("_best"))
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in keep if c not in keys])
 
