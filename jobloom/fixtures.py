@@ -40,7 +40,7 @@ def instant(name: str) -> Column:
 
 
 def pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+    return F.try_element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
 def row_count(df: DataFrame) -> Column:

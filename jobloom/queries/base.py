@@ -26,6 +26,7 @@ def query(name: str, covers: str, sql: str | None = None):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return present(fn(spark, sf))
 
+        run.area = fn.__module__.rsplit(".", 1)[-1]
         QUERIES[name], INVENTORY[name] = run, covers.split()
         if sql:
             ORACLES[name] = sql

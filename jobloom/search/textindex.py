@@ -79,7 +79,7 @@ def _atom_hits(index: DataFrame, words: DataFrame) -> DataFrame:
     starts = F.transform("positions", lambda p: p - F.col("offset"))
     hits = _join_terms(index, words).withColumn("starts", F.when(F.col("n_words") > 1, starts).otherwise(F.array(F.lit(0))))
     grouped = hits.groupBy("query_id", "alternative", "atom", "id").agg(
-        F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.sum("weighted").alias("weighted"),
+        F.first("negative").alias("negative"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.sum("weighted").alias("weighted"),
         F.first("doc_length").alias("doc_length"), F.collect_list("starts").alias("starts"),
     )
     shared = F.aggregate(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.col("starts")[0], lambda a, b: F.array_intersect(a, b))
@@ -91,12 +91,12 @@ def match_queries(index: DataFrame, queries: DataFrame) -> DataFrame:
     atoms = search_atoms(queries)
     words = search_words(atoms)
     needed = atoms.filter("not negative").groupBy("query_id", "alternative").agg(F.count(F.lit(1)).alias("needed"))
-    hits = _atom_hits(index, words.filter("not negative"))
-    full = hits.groupBy("query_id", "alternative", "id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("weighted").alias("weighted"), F.first("doc_length").alias("doc_length")
-    ).join(broadcast_if_small(needed), ["query_id", "alternative"]).filter("n = needed")
-    refused = _atom_hits(index, words.filter("negative")).select("query_id", "alternative", "id")
-    left = full.join(refused, ["query_id", "alternative", "id"], "left_anti")
+    # One pass serves wanted and refused atoms alike.
+    hits = _atom_hits(index, words).withColumn("wanted", ~F.col("negative"))
+    left = hits.groupBy("query_id", "alternative", "id").agg(
+        F.count_if("wanted").alias("n"), F.count_if("negative").alias("refused"),
+        F.sum(F.when(F.col("wanted"), F.col("weighted"))).alias("weighted"), F.first("doc_length").alias("doc_length"),
+    ).join(broadcast_if_small(needed), ["query_id", "alternative"]).filter("n = needed and refused = 0")
     rank = F.sum("weighted") / (1 + F.ln(F.first("doc_length")))
     return left.groupBy("query_id", "id").agg(rank.alias("text_rank"))
 

@@ -20,3 +20,8 @@ def append(df: DataFrame, path: str) -> None:
 def write_catalogue(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """A new snapshot folder, active and inactive rows apart."""
     df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).partitionBy("is_active").parquet(path)
+
+
+def read_catalogue(spark, path: str) -> DataFrame:
+    """A snapshot; the folder name gives ``is_active`` back as a boolean."""
+    return spark.read.parquet(path).withColumn("is_active", F.col("is_active").cast("boolean"))
