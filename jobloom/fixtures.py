@@ -243,3 +243,59 @@ def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").filter("vec_id < 20").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
     )
+
+
+def _nested(pairs: dict):
+    """A struct from dotted paths."""
+    tree = {}
+    for path, value in pairs.items():
+        node = tree
+        *heads, leaf = path.split(".")
+        for h in heads:
+            node = node.setdefault(h, {})
+        node[leaf] = value
+    build = lambda n: F.struct(*[(build(v) if isinstance(v, dict) else v).alias(k) for k, v in n.items()])
+    return build(tree)
+
+
+def raw_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every listing as the payload its source would have sent."""
+    from jobloom.sources.feeds import FIELD_MAPS
+
+    rows = listings(spark, sf)
+    title = F.concat("title", F.lit(" software engineer"))
+    posted = F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    board = F.split_part("external_id", F.lit(":"), F.lit(1))
+    payload = F.lit(None).cast("string")
+    for source, spec in FIELD_MAPS.items():
+        wanted = {spec["title"][0]: F.concat("company_name", F.lit(": "), title) if spec.get("split_title") else title}
+        wanted[spec["id"][0]] = F.col("id")
+        wanted[spec["posted"][0]] = posted
+        if "company" in spec:
+            wanted[spec["company"][0]] = F.col("company_name")
+        if "link" in spec:
+            wanted[spec["link"][0]] = F.col("apply_url")
+        for need in spec.get("needs", []):
+            if "." not in need and not any(k == need or k.startswith(need + ".") for k in wanted):
+                wanted[need] = title
+        if "body_sections" in spec:
+            wanted[spec["body_sections"] + ".jobDescription.text"] = F.col("description_text")
+        elif "body_join" in spec:
+            wanted[spec["body_join"][0]] = F.col("description_text")
+        elif "body_lists" in spec:
+            path, keys = spec["body_lists"]
+            wanted[path] = F.array(F.struct(F.col("description_text").alias(keys[-1])))
+        else:
+            wanted[spec["body"][0]] = F.col("description_text")
+        if "place_list" in spec:
+            wanted[spec["place_list"][0]] = F.array(F.struct(F.col("location_raw").alias("name")))
+        elif "place" in spec:
+            wanted[spec["place"][0].replace("[0]", "")] = F.col("location_raw")
+        item = _nested(wanted)
+        path = spec["items"] if isinstance(spec["items"], str) else "$"
+        whole = F.array(item) if path == "$" else F.struct(F.array(item).alias(path[2:]))
+        payload = F.when(F.col("source") == source, F.to_json(whole)).otherwise(payload)
+    return rows.select(
+        F.col("id").alias("seq"), "source", payload.alias("payload"), board.alias("ats_slug"), "company_name",
+        F.lit(None).cast("string").alias("company_url"), F.lit("https://careers.example.com").alias("career_page_url"),
+    )

@@ -142,7 +142,11 @@ def _(spark, sf):
     return throttle.trailing_counts(fx.request_log(spark, sf), 3, 21_600)
 
 
-@query("throttle", "T8")
+ACCEPT = """s AS (SELECT user_id AS key, event_id, ts, epoch_us(ts) // 1000000 AS sec FROM events),
+acc AS (SELECT key, list_reduce(list_concat([CAST([] AS BIGINT[])], list_transform(list(sec ORDER BY sec), lambda x: [x])), lambda a, b: CASE WHEN len(list_filter(a, lambda y: y > b[1] - 21600)) < 3 THEN list_concat(a, b) ELSE a END) AS taken FROM s GROUP BY key)"""
+
+
+@query("throttle", "T8", f"WITH {ACCEPT} SELECT event_id, key, row_number() OVER (PARTITION BY key, sec ORDER BY ts, event_id) <= len(list_filter(taken, lambda x: x = sec)) AS allowed FROM s JOIN acc USING (key)")
 def _(spark, sf):
     return throttle.throttle(fx.request_log(spark, sf), 3, 21_600).select("event_id", "key", "allowed")
 

@@ -52,15 +52,15 @@ def apply_batch(batch: DataFrame, path: str, as_of, buckets: int = BUCKETS) -> N
 def stream_upsert(rows: DataFrame, path: str, checkpoint: str, as_of_column: str = "last_seen_at", buckets: int = BUCKETS):
     """Start the upsert of a stream of canonical rows; available data, then stop.
 
-    Within a batch the newest row of a listing wins; the batch clock is its
-    newest ``as_of_column``.
+    Within a batch the newest row of a listing wins, by ``seq`` where rows
+    carry one; the batch clock is its newest ``as_of_column``.
     """
 
     def run(batch, _batch_id):
         clock = batch.agg(F.max(as_of_column)).first()[0]
         if clock is None:
             return
-        newest = batch.withColumn("seq", F.unix_micros(as_of_column))
+        newest = batch if "seq" in batch.columns else batch.withColumn("seq", F.unix_micros(as_of_column))
         apply_batch(batch_dedupe(newest, "seq").drop("seq", "first_seq"), path, F.lit(clock), buckets)
 
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
