@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobloom import lexicons as lx
 from jobloom.functions import enrich, seniority
+from jobloom.runtime import spread
 
 AS_OF = "2024-01-31T00:00:00"
 DAYS = 14
@@ -49,6 +50,7 @@ def row_count(df: DataFrame) -> Column:
 
 def listings(spark: SparkSession, sf: str) -> DataFrame:
     documents, pages, events = (table(spark, sf, t) for t in ("documents", "pages", "events"))
+    documents = spread(documents.select("doc_id", "text", "source"), "doc_id")
     doc = F.col("doc_id")
     rows = documents.select(
         "doc_id", F.col("text").alias("body"),
@@ -219,7 +221,7 @@ def grounding_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def sections(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document line: heading, position and item text."""
     names = ["Summary", "References", "Technical Skills", "Work Experience", "professional references", "Awards", "Key Projects", "hobbies"]
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "item"))
+    lines = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "item"))
     return lines.select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"),
         pick(names, (F.col("doc_id") + F.col("pos")) % 8).alias("heading"), "item",

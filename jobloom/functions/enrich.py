@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from jobloom import lexicons as lx
-from jobloom.functions.text import has_any, strip, text
+from jobloom.functions.text import has_any, let, strip, text
 
 NO_TAGS = "array<string>"
 
@@ -15,11 +15,12 @@ def workplace_type(location: Column, explicit: Column, description: Column) -> C
     """Hybrid before onsite before remote, over everything the source said."""
     some = lambda c: F.when(F.length(c) > 0, c)
     blob = F.lower(F.concat_ws(" ", some(explicit), some(location), some(description)))
-    return (
-        F.when(blob.rlike(r"\bhybrid\b"), "hybrid")
-        .when(blob.rlike(r"\b(on[\s-]?site|in[\s-]?office|office[\s-]?based)\b"), "onsite")
-        .when(blob.rlike(r"\b(remote|work from home|wfh|distributed|anywhere)\b"), "remote")
-        .otherwise("unknown")
+    return let(
+        blob,
+        lambda b: F.when(b.rlike(r"\bhybrid\b"), "hybrid")
+        .when(b.rlike(r"\b(on[\s-]?site|in[\s-]?office|office[\s-]?based)\b"), "onsite")
+        .when(b.rlike(r"\b(remote|work from home|wfh|distributed|anywhere)\b"), "remote")
+        .otherwise("unknown"),
     )
 
 
@@ -49,9 +50,7 @@ def lexicon_hits(body: Column, lexicon: dict) -> Column:
         hit = lambda p: low.contains(plain_start(p)) & whole.rlike("(?i)" + p)
         return F.array(*[F.when(any_of([hit(p) for p in ps]), F.lit(name)) for name, ps in lexicon.items()])
 
-    # The one-element array binds the lower-cased text once for all tests.
-    bound = F.array(F.struct(body.alias("whole"), F.lower(body).alias("low")))
-    return F.array_compact(F.flatten(F.transform(bound, tests)))
+    return F.array_compact(let(F.struct(body.alias("whole"), F.lower(body).alias("low")), tests))
 
 
 def extract_skills(body: Column, existing: Column | None = None, lexicon: dict | None = None) -> Column:

@@ -8,6 +8,15 @@ SPACE = r"[\s\p{Z}]+"
 EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once.
+
+    Catalyst inlines an expression wherever it is used; a one-element array
+    binds it instead, which matters for regex and payload lookups.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, EDGE_SPACE, "")

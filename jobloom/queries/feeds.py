@@ -29,7 +29,9 @@ def shown(df):
 
 @query("normalize_feed", "S1 F10", FEED_SQL)
 def _(spark, sf):
-    return shown(feeds.normalize_feed(fx.raw_feed(spark, sf), NOW, DAYS))
+    landed = shared_folder(spark, "landed")
+    fx.raw_feed(spark, sf).write.partitionBy("source").parquet(landed)
+    return shown(feeds.normalize_feed(spark.read.parquet(landed), NOW, DAYS))
 
 
 @query("landed_stream", "S9 S1", FEED_SQL)

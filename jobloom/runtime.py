@@ -15,6 +15,7 @@ def local_session(cores: str = "8", shuffle: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]").appName("jobloom")
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "8g")
@@ -46,6 +47,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use the whole cluster for a scan that yields too few partitions.
+
+    A table of many files already gives every core its share and is returned
+    as it is; only a small or single-file table is redistributed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark for broadcast only after checking that the side is small.
 

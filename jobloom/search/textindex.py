@@ -36,13 +36,13 @@ def build_index(df: DataFrame, terms: DataFrame | None = None) -> DataFrame:
         part(F.col("title"), WEIGHT_TITLE), part(F.col("company_name"), WEIGHT_TITLE),
         part(tags, WEIGHT_TAGS), part(F.left("description_text", F.lit(BODY_CHARS)), WEIGHT_BODY),
     )
-    rows = df.select("id", fields.alias("fields")).repartition("id")
+    rows = df.select("id", "title", "company_name", "skills", "description_text").repartition("id").select("id", fields.alias("fields"))
     rows = rows.select("id", F.size("fields").alias("doc_length"), F.posexplode("fields").alias("pos", "f"))
     rows = rows.select("id", "doc_length", "pos", "f.term", "f.w")
     if terms is not None:
         rows = rows.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("id", "term").agg(
-        F.sum("w").alias("weighted"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("doc_length").alias("doc_length"),
+        F.sum("w").alias("weighted"), F.collect_list("pos").alias("positions"), F.first("doc_length").alias("doc_length"),
     )
 
 

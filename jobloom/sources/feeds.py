@@ -13,8 +13,9 @@ from jobloom.functions import enrich, seniority, times, urls
 from jobloom.functions.enrich import NO_TAGS
 from jobloom.functions.markup import markup_text
 from jobloom.functions.text import (
-    blank_to_null, has_any, looks_technical, software_role, split_company_role, strip, technical_category, text,
+    blank_to_null, has_any, let, looks_technical, software_role, split_company_role, strip, technical_category, text,
 )
+from jobloom.runtime import settle
 
 # Words that keep an item of two general feeds.
 TAGGED_WORDS = ["dev", "engineer", "software", "backend", "frontend", "full", "data", "python", "java", "react", "node", "devops", "mobile", "ai", "ml"]
@@ -304,7 +305,10 @@ def normalize_source(raw: DataFrame, source: str, as_of, days: int) -> DataFrame
     external = F.concat(F.col("ats_slug"), F.lit(":"), key) if spec.get("board") else key
     stage_title = F.concat_ws(" ", title, *[_get(p) for p in spec.get("title_suffix", [])])
     carry = [c for c in ("seq",) if c in items.columns]
-    rows = items.filter(_keeps(spec, title, raw_title, body_text, tags)).select(
+    # Many word tests read the same few fields, so those are bound first.
+    fields = F.struct(title.alias("title"), raw_title.alias("raw"), body_text.alias("body"), tags.alias("tags"))
+    kept = let(fields, lambda x: _keeps(spec, x["title"], x["raw"], x["body"], x["tags"]))
+    rows = items.filter(kept).select(
         F.lit(source).alias("source"), F.left(external, F.lit(240)).alias("external_id"), title.alias("title"),
         company.alias("company_name"), (urls.normalize_url(_first(spec["company_url"])) if "company_url" in spec else F.col("company_url")).alias("company_url"),
         F.coalesce(urls.normalize_url(_first(spec["career"])) if "career" in spec else F.lit(None), F.col("career_page_url"), link).alias("career_page_url"),
@@ -328,13 +332,15 @@ def normalize_source(raw: DataFrame, source: str, as_of, days: int) -> DataFrame
 def normalize_feed(raw: DataFrame, as_of, days: int, sources=None) -> DataFrame:
     """Canonical listing rows of every source, enriched and classified.
 
-    Each source reads only its own rows (a partition when landed by source),
-    and the enrichment is one projection over their union.
+    Each source reads only its own rows (a partition when landed by source).
+    The union is written once to the shared folder, so that the enrichment is
+    one projection over it instead of one copy per source.
     """
     parts = [normalize_source(raw, s, as_of, days) for s in sources or FIELD_MAPS]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    rows = settle(rows, "normalized")
     blob = enrich.listing_blob(F.col("title"), F.col("description_text"), F.col("location_raw"))
     rows = seniority.classify(rows, title="stage_title")
     return rows.withColumns({
