@@ -7,7 +7,7 @@ from jobloom.functions.enrich import NO_TAGS, clean_tags
 from jobloom.functions.text import blank_to_null
 from jobloom.operators.ranking import newest_order
 from jobloom.operators.relations import not_yet_sent
-from jobloom.runtime import broadcast_if_small, top_per_key
+from jobloom.runtime import broadcast_if_small, top_per_key, union_all
 from jobloom.search.textindex import build_index, match_queries, search_atoms, search_words
 
 LOOK = 20   # newest matches a search looks at
@@ -70,7 +70,7 @@ def search_matches(searches: DataFrame, listings: DataFrame, as_of, look: int |
     met = met.select("filter_key", "id", "source", "posted_at", "first_seen_at").dropDuplicates(["filter_key", "id"])
     by_filter = cut(met, ["filter_key"]).select("filter_key", "id", "position")
     second = plain.select("search_id", "filter_key").join(by_filter, "filter_key").select("search_id", "id", "position")
-    return first.unionByName(second)
+    return union_all([first, second])
 
 
 def saved_search_alerts(searches: DataFrame, listings: DataFrame, sent: DataFrame, as_of, look=LOOK, send=SEND):

@@ -7,7 +7,7 @@ from jobloom.functions.enrich import NO_TAGS
 from jobloom.functions.tags import lookup
 from jobloom.functions.text import has_any, squash, strip, text
 from jobloom.operators.ranking import top_per_category
-from jobloom.runtime import top_per_key
+from jobloom.runtime import top_per_key, union_all
 
 
 def norm(c: Column) -> Column:
@@ -113,11 +113,11 @@ def integrity_audit(original: DataFrame, final: DataFrame) -> DataFrame:
 
 
 def lost_and_invented_sections(original: DataFrame, final: DataFrame) -> DataFrame:
-    """Section keys on one side only, as set differences per document."""
-    keys = lambda df: df.select("doc_id", section_key(F.col("heading")).alias("section")).distinct()
-    a, b = keys(original), keys(final)
-    lost = a.exceptAll(b).withColumn("change", F.lit("lost"))
-    return lost.unionByName(b.exceptAll(a).withColumn("change", F.lit("invented")))
+    """Section keys on one side only, per document."""
+    keys = lambda df, side: df.select("doc_id", section_key(F.col("heading")).alias("section")).distinct().withColumn(side, F.lit(True))
+    both = keys(original, "_a").join(keys(final, "_b"), ["doc_id", "section"], "full_outer")
+    change = F.when(F.col("_b").isNull(), "lost").when(F.col("_a").isNull(), "invented")
+    return both.withColumn("change", change).filter("change is not null").select("doc_id", "section", "change")
 
 
 def norm_item(c: Column) -> Column:
@@ -275,4 +275,4 @@ def skill_groups(docs: DataFrame, max_groups: int = 7, max_per_group: int = 10,
     # The fallback group takes the last place when the named ones fill all.
     swapped = last.join(crowded, "doc_id", "left_semi").withColumn("group_no", F.lit(max_groups))
     keep = named.join(swapped.select("doc_id", "group_no"), ["doc_id", "group_no"], "left_anti")
-    return keep.unionByName(swapped).select("doc_id", "group_no", "category", "items")
+    return union_all([keep, swapped]).select("doc_id", "group_no", "category", "items")

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jobloom import lexicons as lx
 from jobloom.functions.enrich import NO_TAGS, clean_tags
 from jobloom.functions.text import blank_to_null
-from jobloom.runtime import broadcast_if_small
+from jobloom.runtime import broadcast_if_small, union_all
 
 
 def saved_view(saved: DataFrame, listings: DataFrame) -> DataFrame:
@@ -113,10 +113,7 @@ def tag_intersection(a: Column, b: Column) -> Column:
 
 def union_batches(*batches: DataFrame) -> DataFrame:
     """All source batches as one frame; missing columns become NULL."""
-    out = batches[0]
-    for b in batches[1:]:
-        out = out.unionByName(b, allowMissingColumns=True)
-    return out
+    return union_all(batches, missing=True)
 
 
 def union_candidates(*lists: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from jobloom.operators.filters import fresh
 from jobloom.operators.matching import listing_side, profile_side, score_pairs, with_skill_score
 from jobloom.operators.ranking import matches_per_user, newest_order, relevance_order
 from jobloom.operators.relations import drop_applied
-from jobloom.runtime import broadcast_if_small, settle, top_per_key
+from jobloom.runtime import broadcast_if_small, settle, top_per_key, union_all
 from jobloom.search.intent import search_query
 from jobloom.search.textindex import search
 
@@ -61,7 +61,7 @@ def ladder_candidates(climbers: DataFrame, live: DataFrame, as_of) -> DataFrame:
     recent = slim.join(F.broadcast(empty), _admitted())
     newest = top_per_key(recent, ["search"], newest_order(), NEWEST_DEPTH).select(
         "search", F.col("id").alias("listing_id"), (F.lit(NEWEST_DEPTH) + 1 - F.col("position")).cast("double").alias("score"))
-    found = rung.select("ladder", "rung", "search").join(listed.unionByName(newest), "search")
+    found = rung.select("ladder", "rung", "search").join(union_all([listed, newest]), "search")
     # A rung is climbed only while the rungs before it found too few.
     firsts = found.groupBy("ladder", "listing_id").agg(F.min("rung").alias("rung"))
     gained = rung.select("ladder", "rung").join(firsts.groupBy("ladder", "rung").count(), ["ladder", "rung"], "left")

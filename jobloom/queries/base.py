@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from jobloom.runtime import plain_unions
+
 QUERIES, ORACLES, INVENTORY = {}, {}, {}
 
 
@@ -24,6 +26,7 @@ def query(name: str, covers: str, sql: str | None = None):
     def keep(fn):
         def run(spark, sf):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            plain_unions(spark)
             return present(fn(spark, sf))
 
         run.area = fn.__module__.rsplit(".", 1)[-1]

@@ -6,7 +6,7 @@ from jobloom.functions import seniority
 from jobloom.functions.enrich import NO_TAGS
 from jobloom.operators.filters import fresh
 from jobloom.operators.ranking import relevance_order
-from jobloom.runtime import top_per_key
+from jobloom.runtime import top_per_key, union_all
 from jobloom.search.intent import parse_intent
 from jobloom.search.textindex import search
 from jobloom.search.vectors import FETCH, vector_topk
@@ -21,10 +21,7 @@ def rank_positions(scored: DataFrame, order, n: int) -> DataFrame:
 
 def reciprocal_rank_fusion(*lists: DataFrame, k: int = K) -> DataFrame:
     """Sum of 1 / (k + position) over the lists an id appears in."""
-    merged = lists[0]
-    for other in lists[1:]:
-        merged = merged.unionByName(other)
-    return merged.groupBy("query_id", "id").agg(F.sum(1.0 / (k + F.col("position"))).alias("fused"))
+    return union_all(lists).groupBy("query_id", "id").agg(F.sum(1.0 / (k + F.col("position"))).alias("fused"))
 
 
 def obeys_hints(stage: str = "career_stage"):
@@ -89,7 +86,4 @@ def vector_leg(vectors: DataFrame, asked: DataFrame, query_vectors: DataFrame, d
         }).filter(obeys_hints())
         mine = keyed.filter(F.col("hint_key") == s["hint_key"]).select("query_id", "query_vector")
         parts.append(vector_topk(hinted.select("id", "embedding"), mine, FETCH))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter(F.col("position") <= depth).select("query_id", "id", "position")
+    return union_all(parts).filter(F.col("position") <= depth).select("query_id", "id", "position")

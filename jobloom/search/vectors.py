@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobloom.runtime import top_per_key
+from jobloom.runtime import top_per_key, union_all
 
 BLOCK = 2_000  # queries held by a task at a time
 FETCH = 120
@@ -79,10 +79,7 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 50, block: int = B
     """Exact top-k by cosine for every query (query_id, query_vector)."""
     rows = rows.filter("embedding is not null")
     parts = [_scan(rows, q, k) for q in _blocks(queries, block)]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    return top_per_key(merged, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+    return top_per_key(union_all(parts), ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 
 def planes(width: int, bits: int, seed: int = 7):
@@ -127,7 +124,4 @@ def ann_topk(rows: DataFrame, queries: DataFrame, width: int, k: int = 50, bits:
     for q in _blocks(asked, BLOCK):
         codes = [r[0] for r in q.select(F.explode("probes")).distinct().collect()]  # at most 2^bits values
         parts.append(_scan(rows.filter(F.col("code").isin(codes)), q, k))
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    return top_per_key(merged, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+    return top_per_key(union_all(parts), ["query_id"], [F.desc("similarity"), F.asc("id")], k)

@@ -15,7 +15,7 @@ from jobloom.functions.markup import markup_text
 from jobloom.functions.text import (
     blank_to_null, has_any, let, looks_technical, software_role, split_company_role, strip, technical_category, text,
 )
-from jobloom.runtime import settle
+from jobloom.runtime import settle, union_all
 
 # Words that keep an item of two general feeds.
 TAGGED_WORDS = ["dev", "engineer", "software", "backend", "frontend", "full", "data", "python", "java", "react", "node", "devops", "mobile", "ai", "ml"]
@@ -337,10 +337,7 @@ def normalize_feed(raw: DataFrame, as_of, days: int, sources=None) -> DataFrame:
     one projection over it instead of one copy per source.
     """
     parts = [normalize_source(raw, s, as_of, days) for s in sources or FIELD_MAPS]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = settle(rows, "normalized")
+    rows = settle(union_all(parts), "normalized")
     blob = enrich.listing_blob(F.col("title"), F.col("description_text"), F.col("location_raw"))
     rows = seniority.classify(rows, title="stage_title")
     return rows.withColumns({
