@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobloom import lexicons as lx
 from jobloom.functions import enrich, seniority
-from jobloom.runtime import spread
+from jobloom.runtime import settle, spread
 
 AS_OF = "2024-01-31T00:00:00"
 DAYS = 14
@@ -113,6 +113,11 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The enriched catalogue as a table, for operators that read it often."""
+    return settle(enriched(spark, sf).drop("description_html", "seniority_signals"), "listings")
+
+
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")

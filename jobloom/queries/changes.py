@@ -177,12 +177,12 @@ ALERT_CTES = ", ".join([sv.SEARCHES, WANTED, WORDS, MATCH, SENT, NOTES])
 
 def _alerts(spark, sf):
     sent = fx.table(spark, sf, "events").filter("event_id % 3 = 0").select((C("event_id") % 7).alias("user_id"), F.concat(F.lit("/jobs/"), (C("event_id") % 200).cast("string")).alias("link"))
-    return alerts.saved_search_alerts(fx.saved_searches(spark, sf), fx.enriched(spark, sf), sent, NOW)
+    return alerts.saved_search_alerts(fx.saved_searches(spark, sf), fx.stored(spark, sf), sent, NOW)
 
 
 @query("search_matches", "J11", with_enriched("SELECT search_id, id, position FROM m", ALERT_CTES))
 def _(spark, sf):
-    return alerts.search_matches(fx.saved_searches(spark, sf), fx.enriched(spark, sf), NOW)
+    return alerts.search_matches(fx.saved_searches(spark, sf), fx.stored(spark, sf), NOW)
 
 
 @query("saved_search_alerts", "D11 J5", with_enriched("SELECT user_id, search_id, 'Pulse: ' || title AS title, name || ': ' || company_name || ' · ' || workplace_type || ' · new catalogue match' AS body, link FROM one", ALERT_CTES))

@@ -97,7 +97,7 @@ def _(spark, sf):
 
 @query("recommend", "M8 F7 O6 U2 T4")
 def _(spark, sf):
-    out = recommend.recommend(fx.profiles(spark, sf), fx.enriched(spark, sf), NOW, DAYS, 20)
+    out = recommend.recommend(fx.profiles(spark, sf), fx.stored(spark, sf), NOW, DAYS, 20)
     return out.select("user_id", "listing_id", "position", "total", "skill", "reasons")
 
 

@@ -61,7 +61,7 @@ FADED = f"text_rank * exp(-greatest((epoch_us({AS_OF}) - epoch_us(anchor)) / 864
 
 @query("ranked_search", "T3 O1", with_enriched(f"SELECT query_id, id, round({FADED}, 6) AS rank FROM hits JOIN enriched USING (id) WHERE {FRESH}", TEXT))
 def _(spark, sf):
-    live = filters.fresh(fx.enriched(spark, sf), NOW, DAYS)
+    live = filters.fresh(fx.stored(spark, sf), NOW, DAYS)
     return textindex.search(live, fx.query_set(spark, sf), NOW).select("query_id", "id", F.round("rank", 6).alias("rank"))
 
 
@@ -130,7 +130,7 @@ fused AS (SELECT query_id, id, sum(1.0 / (60 + position)) AS score FROM (SELECT
 @query("hybrid_search", "T6 J9 U3 W5 O4", with_enriched("""SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS position, round(score, 9) AS score,
   greatest(count(*) OVER (PARTITION BY query_id), coalesce((SELECT count(*) FROM th WHERE th.query_id = fused.query_id), 0)) AS total FROM fused QUALIFY position <= 20""", ", ".join([TEXT, HINTS, QVEC, HYBRID])))
 def _(spark, sf):
-    out = hybrid.hybrid_search(fx.enriched(spark, sf), fx.query_set(spark, sf), fx.query_vectors(spark, sf), NOW, DAYS)
+    out = hybrid.hybrid_search(fx.stored(spark, sf), fx.query_set(spark, sf), fx.query_vectors(spark, sf), NOW, DAYS)
     return out.select("query_id", "id", "position", F.round("score", 9).alias("score"), "total")
 
 
@@ -173,5 +173,5 @@ def _(spark, sf):
 def _(spark, sf):
     from jobloom.operators.ranking import page_per_query
 
-    live = filters.fresh(fx.enriched(spark, sf), NOW, DAYS)
+    live = filters.fresh(fx.stored(spark, sf), NOW, DAYS)
     return page_per_query(textindex.search(live, fx.query_set(spark, sf), NOW), relevance_order(), 10).select("query_id", "id", "score")

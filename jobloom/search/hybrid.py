@@ -24,13 +24,13 @@ def reciprocal_rank_fusion(*lists: DataFrame, k: int = K) -> DataFrame:
     return union_all(lists).groupBy("query_id", "id").agg(F.sum(1.0 / (k + F.col("position"))).alias("fused"))
 
 
-def obeys_hints(stage: str = "career_stage"):
-    """Whether a listing row meets the hints joined to it."""
-    skills = F.coalesce("hint_skills", F.array().cast(NO_TAGS))
+def obeys_hints(hint=F.col):
+    """Whether a listing row meets the hints that ``hint`` looks up by name."""
+    skills = F.coalesce(hint("hint_skills"), F.array().cast(NO_TAGS))
     return (
-        (F.col("hint_workplace").isNull() | (F.col("workplace_type") == F.lower("hint_workplace")))
-        & seniority.stage_matches(F.col("hint_stage"), F.lit(False), F.col(stage), F.col("junior_eligible"))
-        & (~F.col("hint_region") | F.col("region_friendly"))
+        (hint("hint_workplace").isNull() | (F.col("workplace_type") == F.lower(hint("hint_workplace"))))
+        & seniority.stage_matches(hint("hint_stage"), F.lit(False), F.col("career_stage"), F.col("junior_eligible"))
+        & (~hint("hint_region") | F.col("region_friendly"))
         & ((F.size(skills) == 0) | F.arrays_overlap("skills", skills) | F.arrays_overlap("tech_tags", skills))
     )
 
@@ -67,23 +67,32 @@ def hybrid_search(
     )
 
 
+HINTS = ["hint_workplace", "hint_stage", "hint_region", "hint_skills"]
+HINT_SETS = 64  # distinct hint sets tested in one scan
+
+
 def vector_leg(vectors: DataFrame, asked: DataFrame, query_vectors: DataFrame, depth: int, use_hints: bool) -> DataFrame:
-    """Vector list per query, filtered by hints before the cut.
+    """Vector list per query, filtered by its hints before the cut.
 
-    Queries that share the same hints are scored over the same filtered rows,
-    so the scan runs once per distinct hint set; there are few of them.
+    Queries that hint alike share one test per row.  One scan serves up to
+    ``HINT_SETS`` distinct hint sets; more of them take more scans.
     """
     if not use_hints:
         return vector_topk(vectors, query_vectors, FETCH).filter(F.col("position") <= depth).select("query_id", "id", "position")
-    key = F.to_json(F.struct("hint_workplace", "hint_stage", "hint_region", "hint_skills")).alias("hint_key")
-    keyed = query_vectors.join(asked.select("query_id", "hint_workplace", "hint_stage", "hint_region", "hint_skills", key), "query_id")
-    sets = keyed.select("hint_key", "hint_workplace", "hint_stage", "hint_region", "hint_skills").distinct().collect()
+    key = F.to_json(F.struct(*HINTS)).alias("hint_key")
+    keyed = query_vectors.join(asked.select("query_id", key, *HINTS), "query_id")
+    slices = F.pmod(F.xxhash64("hint_key"), F.lit(max(1, -(-keyed.select("hint_key").distinct().count() // HINT_SETS))))
     parts = []
-    for s in sets:
-        hinted = vectors.withColumns({
-            "hint_workplace": F.lit(s["hint_workplace"]).cast("string"), "hint_stage": F.lit(s["hint_stage"]).cast("string"),
-            "hint_region": F.lit(s["hint_region"]), "hint_skills": F.array(*[F.lit(x) for x in s["hint_skills"]]).cast(NO_TAGS),
-        }).filter(obeys_hints())
-        mine = keyed.filter(F.col("hint_key") == s["hint_key"]).select("query_id", "query_vector")
-        parts.append(vector_topk(hinted.select("id", "embedding"), mine, FETCH))
+    for n in [r[0] for r in keyed.select(slices.alias("n")).distinct().collect()]:
+        mine = keyed.filter(slices == n)
+        sets = mine.select("hint_key", *HINTS).dropDuplicates(["hint_key"]).orderBy("hint_key").collect()
+
+        def literal(s):
+            kinds = {"hint_region": "boolean", "hint_skills": NO_TAGS}
+            lit = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+            return lambda name: lit(s[name]).cast(kinds.get(name, "string"))
+
+        rows = vectors.select("id", "embedding", F.array(*[obeys_hints(literal(s)) for s in sets]).alias("allowed"))
+        place = F.array_position(F.array(*[F.lit(s["hint_key"]) for s in sets]), F.col("hint_key")) - 1
+        parts.append(vector_topk(rows, mine.select("query_id", "query_vector", place.alias("hint")), FETCH))
     return union_all(parts).filter(F.col("position") <= depth).select("query_id", "id", "position")

@@ -45,11 +45,16 @@ def _blocks(queries: DataFrame, block: int):
 
 
 def _scan(rows: DataFrame, block: DataFrame, k: int) -> DataFrame:
-    """Per-task top-k of ``rows`` (id, embedding[, code]) for one query block."""
+    """Per-task top-k of ``rows`` for one query block.
+
+    With ``probes`` a query sees rows of those codes only; with ``hint`` it
+    sees rows whose ``allowed`` array is true at that index.
+    """
     found = block.collect()
     ids = np.array([r["query_id"] for r in found], dtype=np.int64)
     wanted = _unit(np.array([r["query_vector"] for r in found], dtype=np.float64)) if found else None
     probes = [set(r["probes"]) for r in found] if "probes" in block.columns else None
+    hints = [r["hint"] for r in found] if "hint" in block.columns else None
 
     def run(batches):
         best = {}
@@ -59,11 +64,14 @@ def _scan(rows: DataFrame, block: DataFrame, k: int) -> DataFrame:
             score = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64)) @ wanted.T
             row_ids = pdf["id"].to_numpy()
             codes = pdf["code"].to_numpy() if probes is not None else None
+            allowed = np.stack(pdf["allowed"].to_numpy()).astype(bool) if hints is not None else None
             for j in range(len(ids)):
                 s, r = score[:, j], row_ids
                 if codes is not None:
                     near = np.isin(codes, list(probes[j]))
                     s, r = s[near], r[near]
+                if allowed is not None:
+                    s, r = s[allowed[:, hints[j]]], r[allowed[:, hints[j]]]
                 if j in best:
                     s, r = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], r])
                 order = np.lexsort((r, -s))[:k]
@@ -71,7 +79,7 @@ def _scan(rows: DataFrame, block: DataFrame, k: int) -> DataFrame:
         for j, (s, r) in best.items():
             yield pd.DataFrame({"query_id": np.full(len(s), ids[j]), "id": r, "similarity": s})
 
-    columns = ["id", "embedding"] + (["code"] if probes is not None else [])
+    columns = ["id", "embedding"] + [c for c, used in (("code", probes), ("allowed", hints)) if used is not None]
     return rows.select(*columns).mapInPandas(run, "query_id long, id long, similarity double")
 
 
