@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from jobloom import lexicons as lx
 from jobloom.functions.enrich import NO_TAGS, any_of
-from jobloom.functions.text import has_any, squash, text
+from jobloom.functions.text import has_any, let, squash, text
 
 
 def lookup(table: dict) -> Column:
@@ -14,8 +14,8 @@ def lookup(table: dict) -> Column:
 
 
 def normalize_tag(tag: Column) -> Column:
-    s = F.regexp_replace(F.lower(squash(text(tag))), r"^[ ,;|/·•]+|[ ,;|/·•]+$", "")
-    return F.coalesce(F.try_element_at(lookup(lx.TAG_CANONICAL), s), s)
+    clean = F.regexp_replace(F.lower(squash(text(tag))), r"^[ ,;|/·•]+|[ ,;|/·•]+$", "")
+    return let(clean, lambda s: F.coalesce(F.try_element_at(lookup(lx.TAG_CANONICAL), s), s))
 
 
 def alias_table() -> dict:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobloom import lexicons as lx
 from jobloom.functions.enrich import NO_TAGS
-from jobloom.functions.text import blank_to_null, has_any, strip, text
+from jobloom.functions.text import blank_to_null, has_any, let, strip, text
 
 
 def parse_intent(queries: DataFrame) -> DataFrame:
@@ -35,7 +35,11 @@ def search_query(roles: Column, skills: Column, fallback: str = lx.QUERY_FALLBAC
     """First desired role, else up to four telling skills, else a broad search."""
     role = blank_to_null(strip(text(F.try_element_at(F.coalesce(roles, F.array().cast(NO_TAGS)), F.lit(1)))))
     have = F.array_distinct(F.filter(F.transform(skills, lambda s: F.lower(strip(s))), lambda s: F.length(s) > 0))
-    ranked = F.filter(F.array(*[F.lit(p) for p in lx.QUERY_PRIORITY_SKILLS]), lambda p: F.array_contains(have, p))
-    by_length = F.transform(F.array_sort(F.transform(have, lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))), lambda x: x["s"])
-    terms = F.slice(F.when(F.size(ranked) > 0, ranked).otherwise(F.slice(by_length, 1, 5)), 1, 4)
-    return F.coalesce(role, F.when(F.size(terms) > 0, F.array_join(terms, " OR ")), F.lit(fallback))
+
+    def telling(tags):
+        ranked = F.filter(F.array(*[F.lit(p) for p in lx.QUERY_PRIORITY_SKILLS]), lambda p: F.array_contains(tags, p))
+        by_length = F.transform(F.array_sort(F.transform(tags, lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))), lambda x: x["s"])
+        return let(ranked, lambda r: F.slice(F.when(F.size(r) > 0, r).otherwise(F.slice(by_length, 1, 5)), 1, 4))
+
+    listed = let(have, lambda tags: F.array_join(telling(tags), " OR "))
+    return F.coalesce(role, blank_to_null(listed), F.lit(fallback))
