@@ -3,12 +3,22 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import bpe
+from jobloom.llm import bpe, licences, quality_rules
 from jobloom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every text."""
+    return licences.summary(licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, compression ratios and verdict of every text."""
+    return quality_rules.measures(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, path: str = RANKS) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -16,5 +26,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, path: str = RANKS) -> DataFra
     return out.select("doc_id", bpe.id_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe}
+QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op8_byte_bpe": op8_byte_bpe}
 ORACLES: dict[str, str] = {}
