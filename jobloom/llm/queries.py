@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import bpe, licences, quality_rules
+from jobloom.llm import bpe, licences, quality_rules, simhash
 from jobloom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,5 +26,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, path: str = RANKS) -> DataFra
     return out.select("doc_id", bpe.id_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op8_byte_bpe": op8_byte_bpe}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every text."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
