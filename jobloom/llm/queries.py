@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import bpe, licences, quality_rules, simhash
+from jobloom.llm import bpe, licences, minhash, mixing, quality_rules, simhash
 from jobloom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -19,6 +19,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measures(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every text."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, path: str = RANKS) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,5 +37,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_simhash": op9_simhash}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edit, and how like they are to it."""
+    out = minhash.fingerprints(table(spark, sf_dir, "documents"))
+    return out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
+QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op3_source_mix": op3_source_mix, "op8_byte_bpe": op8_byte_bpe, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
 ORACLES: dict[str, str] = {}
