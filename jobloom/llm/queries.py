@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import bpe, licences, minhash, mixing, quality_rules, simhash
+from jobloom.llm import bpe, classifier, licences, minhash, mixing, pii, quality_rules, simhash
 from jobloom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +24,23 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality score of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = classifier.scored(docs, *classifier.fit(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(classifier.fold(F.col("doc_id")) == 1, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts, and digests of the spans."""
+    out = pii.search(table(spark, sf_dir, "documents"))
+    told = F.transform(F.coalesce("marks", F.array().cast("array<struct<first: long, last: long, action: string>>")), lambda m: F.struct(F.lit("term").alias("kind"), m["first"].alias("first"), m["last"].alias("last")))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["last"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("spans"), 256).alias("base_sha256"), listed(F.concat("spans", told)).alias("spans"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, path: str = RANKS) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,5 +60,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
-QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op3_source_mix": op3_source_mix, "op8_byte_bpe": op8_byte_bpe, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op3_source_mix": op3_source_mix, "op6_quality_classifier": op6_quality_classifier, "op7_personal_data": op7_personal_data, "op8_byte_bpe": op8_byte_bpe, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
 ORACLES: dict[str, str] = {}
