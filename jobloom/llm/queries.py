@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import bpe, classifier, licences, minhash, mixing, pii, quality_rules, repeats, simhash
+from jobloom.llm import bpe, classifier, html_text, licences, minhash, mixing, pii, quality_rules, repeats, simhash
 from jobloom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +24,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every text without the strings that also stand elsewhere."""
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
@@ -65,5 +71,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
-QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op3_source_mix": op3_source_mix, "op5_repeats": op5_repeats, "op6_quality_classifier": op6_quality_classifier, "op7_personal_data": op7_personal_data, "op8_byte_bpe": op8_byte_bpe, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op3_source_mix": op3_source_mix, "op4_main_text": op4_main_text, "op5_repeats": op5_repeats, "op6_quality_classifier": op6_quality_classifier, "op7_personal_data": op7_personal_data, "op8_byte_bpe": op8_byte_bpe, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
 ORACLES: dict[str, str] = {}
