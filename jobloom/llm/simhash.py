@@ -37,6 +37,7 @@ WORD = re.compile(SPACED_WORD)
 LOWERED = str.maketrans(UPPER, LOWER)
 SEED = 42
 CROWD = 32
+PARTS = 16
 CHUNK = 1 << 16
 
 
@@ -128,13 +129,80 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(classes(rows), "fingerprint")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+def shingle_digests(text: str, width: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles, sorted."""
+    words = WORD.findall(text.translate(LOWERED))
+    n = max(1, len(words) - width + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i:i + width]).encode(), SEED) for i in range(n)), np.uint64, n))
+
+
+def partial_prints(digests: np.ndarray, similarity: float) -> list[int]:
+    """Postings of a text under SimHashes of small parts of its shingles.
+
+    The shingles are dealt into classes of two to four by their low bits; a
+    class's SimHash is posted for the first ``PARTS`` classes.  The number of
+    classes follows the number of shingles, and a text near a change posts
+    both, so two texts as similar as asked share a dealing.
+    """
+    n = len(digests)
+    out = set()
+    for size in {max(0, int(n * f / 2).bit_length() - 1) for f in (similarity, 1, 1 / similarity)}:
+        label = (digests & np.uint64((1 << size) - 1)).astype(np.int64)
+        chosen = label < PARTS
+        kept, label = digests[chosen] >> np.uint64(size), label[chosen]
+        order = np.argsort(label, kind="stable")
+        kept, label = kept[order], label[order]
+        first = np.flatnonzero(np.r_[True, label[1:] != label[:-1]]) if len(label) else []
+        for a, b in zip(first, [*first[1:], len(label)]):
+            bits = np.unpackbits(kept[a:b].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            part = np.packbits(2 * bits > b - a).tobytes()
+            out.add(xxhash.xxh64_intdigest(bytes([size, int(label[a])]) + part) - (1 << 63))
+    return sorted(out)
+
+
+def similar_links(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) between texts (by hash) whose shingle sets are as similar as asked.
+
+    Texts that meet under a posting are compared with its least member, so a
+    posting costs its members and not their pairs; a text has up to
+    ``3 * PARTS`` postings and so meets several members of its group.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("array<long>")
+    def posted(texts: pd.Series) -> pd.Series:
+        return pd.Series([partial_prints(shingle_digests(t, width), similarity) for t in texts], dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique((shingle_digests(t, width) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in texts], dtype=object)
+
+    texts = docs.select(F.xxhash64("text").alias("same"), F.coalesce("text", F.lit("")).alias("text"))
+    postings = settle(texts.select("same", F.explode(posted("text")).alias("part")).distinct(), "parts")
+    heads = postings.groupBy("part").agg(F.min("same").alias("u"), F.count("*").alias("n")).filter("n > 1")
+    pairs = settle(postings.join(heads, "part").filter(F.col("same") != F.col("u")).select("u", F.col("same").alias("v")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("same")).distinct()
+    sets = settle(texts.join(wanted, "same", "left_semi").dropDuplicates(["same"]).select("same", shingles("text").alias("set")), "sets")
+    side = lambda c: sets.select(F.col("same").alias(c), F.col("set").alias(f"set_{c}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    shared = F.size(F.array_intersect("set_u", "set_v"))
+    return both.filter(shared >= similarity * (F.size("set_u") + F.size("set_v") - shared)).select("u", "v")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of every group of near-duplicates, with all its columns.
 
-    The row with the least doc_id stays; rows that share id and text count
-    once.  Groups are settled on slim keys, and texts move once, at the end.
+    Two texts belong together if their fingerprints are within two bits, or if
+    their word shingles are as similar as asked.  The row with the least
+    doc_id stays; rows that share id and text count once.  Groups are settled
+    on slim keys, and texts move once, at the end.
     """
     key = F.xxhash64("doc_id", "text")
-    rows = settle(with_fingerprint(docs.select("doc_id", "text"), width=width).select(key.alias("_key"), "doc_id", "fingerprint"), "fingerprints")
-    chosen = rows.join(classes(rows), "fingerprint").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_best"))
+    rows = settle(with_fingerprint(docs.select("doc_id", "text"), width=width).select(key.alias("_key"), F.xxhash64("text").alias("same"), "doc_id", "fingerprint"), "fingerprints")
+    grouped = rows.join(classes(rows), "fingerprint").select("same", "component_id").distinct()
+    heads = grouped.groupBy("component_id").agg(F.min("same").alias("u"))
+    by_print = grouped.join(heads, grouped.component_id.eqNullSafe(heads.component_id)).select("u", F.col("same").alias("v")).filter("u <> v")
+    roots = components(by_print.union(similar_links(docs, width, similarity))).withColumnRenamed("node", "same")
+    placed = rows.join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_best"))
     return docs.withColumn("_key", key).join(chosen.select("_best._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

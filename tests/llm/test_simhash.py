@@ -94,3 +94,38 @@ def test_edge_cases(spark):
     kept = simhash.keep_one(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 5, 6, 8] and kept.columns == docs.columns
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_finds_similar_texts(spark):
+    """Near copies by shingle sets, against all pairs."""
+    rng = random.Random(21)
+    prose = lambda n: ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(n)]
+    texts = []
+    for n in (12, 30, 90, 300, 1500):
+        base = prose(n)
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 6, 12):
+            w = list(base)
+            for k in range(edits):
+                w[(k * n // edits + n // 3) % n] = "edit" + str(k)
+            texts.append(" ".join(w))
+        texts += [" ".join(base[: n // 2] + prose(n // 2)), " ".join(prose(n))]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
