@@ -8,6 +8,7 @@ from jobloom.operators import lifecycle, rollups
 from jobloom.queries import sql_views as sv
 from jobloom.queries.base import query
 from jobloom.queries.sql_views import any_like, arr, q, rx, squash, strip, with_enriched, with_listings
+from jobloom.runtime import union_all
 from jobloom.sources import export
 
 C = F.col
@@ -314,10 +315,49 @@ def _(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", markup.markup_text(C("html")).alias("body"))
 
 
-@query("canonical_description", "P27")
-def _(spark, sf):
-    pages = fx.table(spark, sf, "pages").select("page_id", C("html").alias("description_html"), F.lit(None).cast("string").alias("description_text"))
-    return markup.canonical_description(pages).select("page_id", "description_html_clean", "description_text_clean")
+def _replaced(c, *steps):
+    for pattern, into in steps:
+        c = f"regexp_replace({c}, {q(pattern)}, {into}, 'g')"
+    return c
+
+
+# The constants of the rewrite, written out anew for the check.
+GONE = [r"(?is)<!--.*?-->"] + [rf"(?is)<{n}\b[^>]*>.*?</{n}\s*>" for n in "script style iframe object embed form input button svg noscript meta link head title".split()]
+SAFE = r"(?i)<a\b[^>]*?\bhref\s*=\s*{0}\s*((?:https?://|mailto:|/[^/{0}])[^{0}<>]*){0}[^>]*>"
+SAFE_SQL = "chr(1) || 'a href=\"\\1\" rel=\"noopener noreferrer nofollow\" target=\"_blank\"' || chr(2)"
+STAY = r"(?i)<(/?)(p|br|hr|h2|h3|h4|strong|b|em|i|u|ul|ol|li|blockquote|a|span|div|section|pre|code)\b[^>]*>"
+SHOWN_SQL = _replaced(
+    "m", *[(g, "''") for g in GONE], (r"(?i)<(/?)h1\b", r"'<\1h2'"), (r"(?i)<(/?)h[56]\b", r"'<\1h3'"),
+    (SAFE.format('"'), SAFE_SQL), (SAFE.format("'"), SAFE_SQL), (r"(?is)<a\b[^>]*>(.*?)</a\s*>", r"'\1'"),
+    (STAY, r"chr(1) || '\1\2' || chr(2)"), (r"(?s)<[!/a-zA-Z][^>]*>", "''"),
+)
+CANONICAL_SQL = f"""WITH src AS (
+    SELECT 'page' AS kind, page_id AS item, html AS source FROM pages
+    UNION ALL SELECT 'document', doc_id, text FROM documents),
+  seen AS (SELECT *, regexp_matches(source, {q(r'<\s*/?\s*[a-zA-Z][a-zA-Z0-9]*')}) AS raw, regexp_matches(source, {q(lx.ENCODED_TAG)}) AS enc FROM src),
+  marked AS (SELECT kind, item, string_split(translate({SHOWN_SQL}, chr(1) || chr(2), '<>'), '</p>') AS ps
+    FROM (SELECT kind, item, CASE WHEN raw THEN source ELSE {"replace(" * 8}source{"".join(f", {q(x)}, {q(y)})" for x, y in markup.BASIC_ENTITIES)} END AS m FROM seen WHERE raw OR enc)),
+  by_p AS (SELECT kind, item, string_split(array_to_string(list_filter(ps, lambda x, i: i = 1 OR x <> ps[i - 1] OR length(regexp_replace(x, '<[^>]*>', '', 'g')) <= 80), '</p>'), '</li>') AS ls FROM marked),
+  cleaned AS (SELECT kind, item, array_to_string(list_filter(ls, lambda x, i: i = 1 OR x <> ls[i - 1] OR length(regexp_replace(x, '<[^>]*>', '', 'g')) <= 80), '</li>') AS c FROM by_p),
+  blocks AS (SELECT kind, item, list_filter(list_transform(string_split_regex(t, {q(chr(10) + "[ " + chr(9) + "]*" + chr(10) + "[ " + chr(9) + chr(10) + chr(12) + chr(13) + "]*")}),
+      lambda b: list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(x)), lambda x: x <> '')), lambda b: len(b) > 0) AS bs
+    FROM (SELECT kind, item, {_replaced("replace(replace(replace(translate(" + _replaced("source", (chr(13) + chr(10) + "?", "chr(10)")) + ", chr(1) || chr(2), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')",
+      (r'\[([^\]\n]+)\]\((https?://[^\s)"]+|mailto:[^\s)"]+)\)', "'<a href=" + '"' + r"\2" + '"' + ' rel="noopener noreferrer nofollow" target="_blank">' + r"\1</a>'"))} AS t
+      FROM seen WHERE NOT raw AND NOT enc)),
+  written AS (SELECT kind, item, nullif(array_to_string(list_transform(bs, lambda b: CASE WHEN len(b) > 1 AND len(list_filter(b, lambda x: regexp_matches(x, {q('^(?:[-*•]|[0-9]+[.])[ ' + chr(9) + ']+')}))) = len(b)
+      THEN '<ul>' || array_to_string(list_transform(b, lambda x: '<li>' || regexp_replace(x, {q('^(?:[-*•]|[0-9]+[.])[ ' + chr(9) + ']+')}, '') || '</li>'), '') || '</ul>'
+      ELSE '<p>' || array_to_string(b, '<br/>') || '</p>' END), ''), '') AS c FROM blocks),
+  every AS (SELECT kind, item, CASE WHEN {text_sql('c')} IS NOT NULL THEN trim(c) END AS c FROM (FROM cleaned UNION ALL FROM written))
+  SELECT kind, item, c AS description_html_clean, {text_sql('c')} AS description_text_clean FROM every"""
+
+
+@query("canonical_description", "P27", CANONICAL_SQL)
+def _(spark, sf):
+    none = F.lit(None).cast("string")
+    pages = fx.table(spark, sf, "pages").select(F.lit("page").alias("kind"), C("page_id").alias("item"), C("html").alias("description_html"), none.alias("description_text"))
+    texts = fx.table(spark, sf, "documents").select(F.lit("document").alias("kind"), C("doc_id").alias("item"), none.alias("description_html"), C("text").alias("description_text"))
+    both = union_all([markup.canonical_description(pages), markup.canonical_description(texts)])
+    return both.select("kind", "item", "description_html_clean", "description_text_clean")
 
 
 OPEN_TAG_SQL = r"<\s*/?\s*[a-zA-Z][a-zA-Z0-9]*"
