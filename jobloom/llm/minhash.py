@@ -14,46 +14,54 @@ empty or blank text has no shingle: its fingerprint is empty, like only to
 another empty one; equal texts have equal fingerprints.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from jobloom.llm.prefix import ranged
+from jobloom.llm.prefix import ranked
+from jobloom.runtime import broadcast_if_small, settle
 
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
 WIDTH = 5
+QUANTILES, BUCKET_ROWS = 64, 1024
 
 
 def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    """A hash per word of a text without white space at its ends."""
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))
 
 
 def shingle_hashes(words: str, width: int = WIDTH) -> Column:
     """One hash per shingle of the word hashes in the column ``words``, which must be a plain column: it is read at every place."""
     hashed = F.col(words)
-    last = F.greatest(F.size(hashed) - width, F.lit(0))
-    part = lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(width)])
-    return F.when(F.size(hashed) > 0, F.transform(F.sequence(F.lit(0), last), part)).otherwise(F.array().cast("array<bigint>"))
+    starts = F.slice(hashed, 1, F.greatest(F.size(hashed) - (width - 1), F.lit(1)))
+    return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(hashed, i + k) for k in range(1, width)]))
 
 
 def bin_of(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BIN_BITS).cast("int")
+    return F.shiftrightunsigned(h, 64 - BIN_BITS)
 
 
 def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Add the packed fingerprint of ``text`` under ``name``; each step is a column of its own, computed once."""
+    """Add the packed fingerprint of ``text`` under ``name``; each step is a column of its own.
+
+    A column that is named twice or more is computed once; one that is named
+    once would be computed anew for every item of the lambda it stands in.
+    """
     t = lambda s: f"_{name}_{s}"
-    low = lambda h: h.bitwiseAND(F.lit((1 << LOW_BITS) - 1))
-    at = rows.withColumn(t("words"), word_hashes(F.col(text)))
+    mask = (1 << LOW_BITS) - 1
+    low = lambda h: h.bitwiseAND(F.lit(mask))
+    at = rows.withColumn(t("words"), word_hashes(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))))
     at = at.withColumn(t("sorted"), F.sort_array(shingle_hashes(t("words"))))
     least = F.filter(t("sorted"), lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(F.col(t("sorted")), i - 1))))
     at = at.withColumn(t("least"), least)
-    full = F.map_from_arrays(F.transform(t("least"), bin_of), F.transform(t("least"), low))
-    at = at.withColumn(t("full"), full)
-    nearest = lambda b: F.array_min(F.transform(t("least"), lambda h: F.struct(F.xxhash64(b, bin_of(h)).alias("turn"), low(h).alias("low"))))["low"]
-    filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.lower(F.lpad(F.hex(F.coalesce(F.try_element_at(F.col(t("full")), b), nearest(b))), LOW_BITS // 4, "0")))
-    at = at.withColumn(name, F.when(F.size(t("least")) > 0, F.array_join(filled, "")).otherwise(F.lit("")))
+    at = at.withColumn(t("full"), F.map_from_arrays(F.transform(t("least"), bin_of), F.transform(t("least"), low)))
+    turn = lambda b: F.array_min(F.transform(t("least"), lambda h: F.xxhash64(b, bin_of(h)).bitwiseAND(F.lit(~mask)).bitwiseOR(low(h))))
+    filled = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), lambda b: F.coalesce(F.try_element_at(F.col(t("full")), b), low(turn(b))))
+    digits = F.array_join(F.transform(filled, lambda v: F.substring(F.hex(v + (mask + 1)), 2, LOW_BITS // 4)), "")
+    at = at.withColumn(name, F.when(F.size(t("full")) > 0, F.lower(digits)).otherwise(F.lit("")))
     return at.drop(t("words"), t("sorted"), t("least"), t("full"))
 
 
@@ -66,35 +74,60 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(found)
 
 
-def with_edited(docs: DataFrame, carry: tuple = ()) -> DataFrame:
-    """Add n_chars, edited, and next_<c> of each carried column to ``docs(doc_id, text, ...)``.
+def id_bucket(docs: DataFrame) -> Column:
+    """A number that grows with doc_id and holds about ``BUCKET_ROWS`` rows.
 
-    The edit replaces the last half of the code points by the first as many of
-    the next text in the order of ids (all of it where it is shorter); the
-    first text follows the last.  Rows are dealt out by ranges of ids and
-    sorted within them; only a range's last row, which has its next in a later
-    range, is looked up, through one row per range.
+    Ids are cut at approximate quantiles (a fixed number), and each stretch
+    evenly.  Null ids come first, cut by the hash of their text.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash")]
-    led = ("text", *carry)
-    whole = ranged(docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_hash", F.xxhash64("text")), order, "ordered")
-    within = Window.partitionBy("_range").orderBy(*order)
-    placed = whole.withColumns({"_follows": F.lead(F.struct(*led)).over(within), "_first": F.row_number().over(within) == 1})
-    ring = Window.orderBy("_range")  # one row per range
-    after = whole.select("_range").distinct().withColumn("_after", F.coalesce(F.lead("_range").over(ring), F.min("_range").over(Window.partitionBy())))
-    heads = placed.filter("_first").select(F.col("_range").alias("_after"), F.struct(*led).alias("_head")).join(after, "_after").select("_range", "_head")
-    inner, last = placed.filter("_follows is not null"), placed.filter("_follows is null")
-    joined = last.join(heads, "_range").withColumn("_follows", F.col("_head")).drop("_head")
-    both = inner.unionByName(joined).drop("_range", "_first", "_hash")
-    size = F.length("text")
-    half = F.floor(size / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), size - half), F.substring("_follows.text", F.lit(1), half))
-    return both.withColumns({"n_chars": size.cast("long"), "edited": edited, **{f"next_{c}": F.col(f"_follows.{c}") for c in carry}}).drop("_follows")
+    steps = [i / QUANTILES for i in range(1, QUANTILES)]
+    seen = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", steps, 10_000).alias("cuts")).first()
+    low, high = (seen["low"], seen["high"]) if seen["low"] is not None else (0, 0)
+    edges = [low, *sorted({c for c in seen["cuts"] or [] if low < c}), high + 1]
+    parts = math.ceil(seen["n"] / QUANTILES / BUCKET_ROWS) or 1
+    at = F.col("doc_id")
+    stretch = F.lit(0)
+    for edge in edges[1:-1]:
+        stretch = stretch + (at >= edge).cast("int")
+    begin, end = (F.element_at(F.array(*map(F.lit, values)), stretch + 1) for values in (edges[:-1], edges[1:]))
+    inner = F.floor((at - begin) / (end - begin) * parts)
+    blank = F.floor(F.shiftrightunsigned("_hash", 11) / F.lit(float(1 << 53)) * QUANTILES * parts)
+    return F.coalesce(stretch * parts + F.least(inner, F.lit(parts - 1)), blank - QUANTILES * parts).cast("long")
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """Add fingerprint and the struct next (text, fingerprint) to ``docs(doc_id, text)``, in the order of ids.
+
+    The first row follows the last; rows of equal id are ordered by the hash
+    of their text.  Texts move once, by stretches of ids, and are sorted
+    within them.  The last row of a stretch takes the first of the next one,
+    which is found through one slim row per stretch.
+    """
+    order = ["doc_id", "_hash"]
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text"))
+    placed = whole.withColumn("_stretch", id_bucket(docs))
+    firsts = ranked(placed.groupBy("_stretch").agg(F.min(F.struct(*order)).alias("_first")), [F.col("_stretch")], "_place")
+    firsts = settle(firsts.select("_stretch", "_place", F.col("_first.doc_id").alias("_id"), F.col("_first._hash").alias("_text")), "stretches")
+    before = F.pmod(F.col("_place") - 1, F.lit(max(1, firsts.count())))
+    heads = firsts.select(before.alias("_place"), "_id", "_text").join(firsts.select("_place", "_stretch"), "_place").drop("_place")
+    head = whole.join(broadcast_if_small(heads), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))).dropDuplicates(["_stretch"])
+    led = F.struct("text", "fingerprint")
+    head = with_fingerprint(head, "text", "fingerprint").select("_stretch", led.alias("_head"))
+    within = Window.partitionBy("_stretch").orderBy(F.col("doc_id").asc_nulls_first(), "_hash")
+    follows = with_fingerprint(placed, "text", "fingerprint").withColumn("_follows", F.lead(led).over(within))
+    return follows.join(head, "_stretch").select("doc_id", "text", "fingerprint", F.coalesce("_follows", "_head").alias("next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited, both fingerprints, and the likeness of a text's to its edit's and to the next text's."""
-    own = with_fingerprint(docs.select("doc_id", "text"), "text", "fingerprint")
-    made = with_fingerprint(with_edited(own, carry=("fingerprint",)).drop("text"), "edited", "edited_fingerprint")
+    """doc_id, n_chars, edited, both fingerprints, and the likeness of a text's to its edit's and to the next text's.
+
+    The edit replaces the last half of the code points by the first as many of
+    the next text (all of it where it is shorter).
+    """
+    size = F.length("text")
+    half = F.floor(size / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), size - half), F.substring("next.text", F.lit(1), half))
+    both = with_next(docs).select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"))
+    made = with_fingerprint(both, "edited", "edited_fingerprint")
     near = lambda c: likeness(F.col("fingerprint"), F.col(c))
     return made.withColumns({"near_edited": near("edited_fingerprint"), "near_next": near("next_fingerprint")}).drop("next_fingerprint")
