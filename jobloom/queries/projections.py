@@ -177,7 +177,7 @@ def _(spark, sf):
     return role_rows(spark, sf).select("id", tx.looks_technical(C("title"), C("departments")).alias("technical"))
 
 
-@query("technical_category", "P16", ROLE_CTE + f" SELECT id, coalesce({any_like(chr(108) + 'ower(array_to_string(departments, chr(32)))', lx.TECH_CATEGORY_WORDS)}, false) AS technical FROM r")
+@query("technical_category", "P16", ROLE_CTE + f" SELECT id, coalesce({any_like("lower(array_to_string(departments, ' '))", lx.TECH_CATEGORY_WORDS)}, false) AS technical FROM r")
 def _(spark, sf):
     return role_rows(spark, sf).select("id", tx.technical_category(C("departments")).alias("technical"))
 
@@ -419,9 +419,18 @@ def _(spark, sf):
     return board_urls(spark, sf).select("seq", urls.board_ref(C("url")).alias("r")).select("seq", "r.ats_type", "r.ats_slug")
 
 
-@query("region_for", "P32", f"WITH {sv.REGISTRY} SELECT seq, CASE WHEN {any_like(chr(40) + 'lower(coalesce(name, chr(45)) || chr(32) || coalesce(ats_slug, chr(45))))', ['board-1', '#000000002'])} THEN 'both' ELSE 'global' END AS region FROM registry")
+# Every employer of the fixed list, and near misses, as part of a board's name or slug; written out anew for the check.
+NAMED_BOARDS = ["", " Careem Pay", " Motive", "-i2cinc", " Afiniti", " CureMD", " Techlogix", " tkxel ", " Cubix", " S&P Global", " spglobal", " Systems Limited", " Contour Software", " VentureDive", " folio 3", " Folio3", " Confiz", " Devsinc", " Arbisoft", " 10Pearls", " NetSol", " Bazaar", " Educative", " Securiti", " systemsltd", " i 2 c"]
+REGION_SQL = f"""WITH {sv.REGISTRY}, named AS (SELECT seq, lower(coalesce(name, '') || {sv.pick(NAMED_BOARDS, f'seq % {len(NAMED_BOARDS)}')} || ' ' || coalesce(ats_slug, '')) AS k FROM registry)
+  SELECT seq, CASE WHEN regexp_matches(k, 'careem|motive|afiniti|securiti|educative|bazaar|systemsltd|systemslimited|systems limited|arbisoft|10pearls|netsol|contoursoftware|contour software|venturedive|folio3|confiz|devsinc|i2c|techlogix|curemd|tkxel|cubix|s&p global|spglobal')
+    THEN 'both' ELSE 'global' END AS region FROM named"""
+
+
+@query("region_for", "P32", REGION_SQL)
 def _(spark, sf):
-    return fx.registry(spark, sf).select("seq", enrich.region_for(C("name"), C("ats_slug"), ("board-1", "#000000002")).alias("region"))
+    boards = fx.registry(spark, sf)
+    named = F.concat(tx.text(C("name")), fx.pick(NAMED_BOARDS, C("seq") % len(NAMED_BOARDS)))
+    return boards.select("seq", enrich.region_for(named, C("ats_slug")).alias("region"))
 
 
 ENUM_BY_RAW = "CASE lower(coalesce(employment_type, '')) WHEN 'full-time' THEN 'FULL_TIME' WHEN 'contract' THEN 'CONTRACTOR' WHEN 'part time' THEN 'PART_TIME' WHEN 'internship' THEN 'INTERN' END"

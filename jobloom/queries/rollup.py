@@ -95,9 +95,12 @@ def _(spark, sf):
     return rollups.company_landing(fx.listings(spark, sf), "supplier-000000003", NOW, DAYS)
 
 
+PLACE = "lower(coalesce(location_raw, '-'))"
+
+
 def landing_sql(places, base):
     parts = [
-        f"SELECT {q(s)} AS slug, {q(l)} AS label, count(*) AS count, {q(base + s)} AS href FROM enriched WHERE {FRESH} AND ({any_like(chr(108) + 'ower(coalesce(location_raw, chr(45)))', p)}{' OR region_friendly' if r else ''})"
+        f"SELECT {q(s)} AS slug, {q(l)} AS label, count(*) AS count, {q(base + s)} AS href FROM enriched WHERE {FRESH} AND ({any_like(PLACE, p)}{' OR region_friendly' if r else ''})"
         for s, l, p, r in places]
     return with_enriched("SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE count >= 8")
 

@@ -100,7 +100,7 @@ def skill_list(blob: str, lexicon: dict) -> str:
 
 BLOB = r"(title || E'\n' || description_text || E'\n' || coalesce(location_raw, ''))"
 _CITY = "coalesce(" + any_like("lower(location_raw)", [c for c, _ in lx.CITY_LABELS]) + ", false)"
-REGION = f"(workplace_type = 'remote' AND ({_CITY} OR {rx('(coalesce(location_raw, chr(0)) || chr(32) || description_text)'.replace('chr(0)', q('')), lx.REGION_PATTERN)}))"
+REGION = f"(workplace_type = 'remote' AND ({_CITY} OR {rx("(coalesce(location_raw, '') || ' ' || description_text)", lx.REGION_PATTERN)}))"
 # The production lexicon is ASCII and its c# row has a pattern that needs a
 # word character before a dot; both engines read the remaining rows alike.
 SQL_LEXICON = {n: [p for p in ps if p != r"\b\.net\b"] for n, ps in lx.SKILL_LEXICON.items()}
