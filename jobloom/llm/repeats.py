@@ -12,9 +12,11 @@ alone.  The steps are those of the difference-cover algorithm:
    cannot repeat, and all else is dropped;
 2. name them anew by all bytes that the windows of the position reach; equal
    names settle all their windows at once, which is most of the work;
-3. what is left, windows whose position has several such names, is keyed by
-   (name, distance, hash of the window's bytes), once per name, and equal keys
-   stand side by side.
+3. recurse on what is left, positions with several such names, once per name:
+   their windows fall into blocks, each named by the bytes that all its
+   windows share and by those they reach.  A block whose shared bytes are
+   found once holds no repeat, one that is found whole again is a repeat
+   throughout, and others are cut into smaller blocks, down to single windows.
 
 Names are hashes instead of ranks, so that no global sort is needed; a window
 is settled by 128 bits or more.
@@ -35,10 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from jobloom.llm.common import small_batches
-from jobloom.runtime import settle
+from jobloom.runtime import settle, union_all
 
 SIZE, GRAM = 200, 40
+BLOCKS = (16, 4, 1)
 SEGMENT = 1 << 20
+MASK = (1 << 64) - 1
 POSITION = np.uint64(SEGMENT * 2 - 1)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -101,12 +105,17 @@ def anchors(data: bytes) -> list[tuple]:
     return out
 
 
-def window_keys(data: bytes, wanted: list) -> list[tuple]:
-    """(gram, distance, hash, start) of the windows of the wanted positions."""
+def blocks(gram: int, at: int, low: int, high: int, data: bytes, size: int) -> list[tuple]:
+    """(core, union, low, high) of the windows from low to high, in blocks of ``size`` by their distance to ``at``.
+
+    A block's core is what all its windows hold, its union what they reach.
+    """
     out: list = []
-    for w in wanted:
-        h = rolling(np.frombuffer(data[w["low"]:w["high"] + SIZE], np.uint8), SIZE).view(np.int64)
-        out += [(w["gram"], w["at"] - s, x, s) for s, x in enumerate(h.tolist(), w["low"])]
+    for k in range((at - high) // size, (at - low) // size + 1):
+        a, b = max(low, at - k * size - size + 1), min(high, at - k * size)
+        core = at - k * size - low
+        names = (xxhash.xxh3_64_intdigest(data[core:core - size + 1 + SIZE], (gram ^ k) & MASK), xxhash.xxh3_64_intdigest(data[a - low:b - low + SIZE], at - b))
+        out.append((*[n - (n >> 63 << 64) for n in names], a, b))
     return out
 
 
@@ -137,30 +146,58 @@ def sample(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole_sha256"), run(text).alias("anchors"))
 
 
+def _cutter(size: int):
+    @F.pandas_udf("array<struct<core: long, union: long, low: int, high: int>>")
+    def cut(core: pd.Series, at: pd.Series, low: pd.Series, high: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([_structs(blocks(*row, size), "core union low high") for row in zip(core, at, low, high, data)], dtype=object)
+
+    return cut
+
+
+def _settle_names(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Settle ``rows(core, union, n, low, high, ...)`` by their names.
+
+    A core found once holds no repeat.  Where all of a core have one union,
+    or a union is found twice, its windows are repeats: these rows are
+    returned first.  The rest, one row per union, is returned second; there n
+    tells whether the union itself is settled and only stands for comparison.
+    """
+    names = rows.groupBy("core").agg(F.sum("n").alias("of_core"), F.min("union").alias("u0"), F.max("union").alias("u1")).filter("of_core > 1")
+    met = settle(rows.join(names.select("core", (F.col("u0") != F.col("u1")).alias("several")), "core"), f"{label}-met")
+    carried = [c for c in rows.columns if c not in ("core", "union", "n")]
+    unions = met.filter("several").groupBy("core", "union").agg(F.sum("n").alias("n"), F.min(F.struct(*carried)).alias("r"))
+    unions = settle(unions.select("core", "union", "n", "r.*"), f"{label}-unions")
+    open_cores = unions.groupBy("core").agg(F.min("n").alias("least")).filter("least = 1").select("core")
+    twice = met.filter("several").join(unions.filter("n > 1").select("core", "union"), ["core", "union"], "left_semi")
+    return met.filter("not several").unionByName(twice), unions.join(open_cores, "core", "left_semi")
+
+
 def repeated(docs: DataFrame, sampled: DataFrame) -> DataFrame:
     """(_key, low, high): stretches that are covered by repeated strings, unmerged."""
     places = sampled.select("_key", F.explode("anchors").alias("a")).select("_key", "a.*")
-    names = places.groupBy("gram").agg(F.sum("times").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("n > 1")
-    met = settle(places.join(names.select("gram", (F.col("c0") != F.col("c1")).alias("several")), "gram"), "met")
-    one = met.filter("not several")
-    several = met.filter("several")
-    contexts = settle(several.groupBy("gram", "context").agg(F.sum("times").alias("n"), F.min(F.struct("_key", "at", "low", "high", "times")).alias("r")), "contexts")
-    twice = several.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
-    wanted = contexts.select("gram", F.col("n").alias("n"), "r._key", "r.at", "r.low", "r.high", "r.times")
-    first = F.when(F.col("times") > 1, F.col("at")).otherwise(F.col("high"))  # a periodic row stands for its first position
-    wanted = wanted.withColumn("high", F.least("high", first))
-    keyed = wanted.groupBy("_key").agg(F.collect_list(F.struct("gram", "at", "low", "high", "n")).alias("wanted"))
-
-    @F.pandas_udf("array<struct<gram: long, distance: int, h: long, start: int>>")
-    def run(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([_structs(window_keys(t.encode(), w), "gram distance h start") for t, w in zip(texts, wanted)], dtype=object)
-
-    texts = with_text(docs, keyed.join(keyed.groupBy("_key").count().select("_key"), "_key"))
-    windows = settle(texts.select("_key", F.explode(run("text", "wanted")).alias("w")).select("_key", "w.*"), "windows")
-    shared = windows.groupBy("gram", "distance", "h").agg(F.count("*").alias("c")).filter("c > 1")
-    hit = windows.join(shared, ["gram", "distance", "h"], "left_semi").select("_key", F.col("start").alias("low"), (F.col("start") + SIZE).alias("high"))
-    settled = one.unionByName(twice).select("_key", "low", (F.col("high") + SIZE).alias("high"))
-    return settled.unionByName(hit)
+    places = places.withColumnsRenamed({"gram": "core", "context": "union", "times": "n"})
+    settled, rest = _settle_names(places, "places")
+    spans = [settled.select("_key", "low", "high")]
+    rest = rest.withColumn("high", F.least("high", F.when(F.col("n") > 1, F.col("at")).otherwise(F.col("high"))))  # a periodic row stands for its first position
+    reached = F.struct("core", "n", "at", "low", "high")
+
+    @F.pandas_udf("array<binary>")
+    def fetch(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([[data[w["low"]:w["high"] + SIZE] for w in ws] for data, ws in zip(map(str.encode, texts), wanted)], dtype=object)
+
+    texts = with_text(docs, rest.groupBy("_key").agg(F.collect_list(reached).alias("wanted")))
+    held = texts.select("_key", F.explode(F.arrays_zip("wanted", fetch("text", "wanted").alias("data"))).alias("z")).select("_key", "z.wanted.*", "z.data")
+    for size in BLOCKS:
+        held = settle(held.withColumn("id", F.monotonically_increasing_id()), f"held-{size}")
+        parts = held.select("id", "n", F.explode(_cutter(size)("core", "at", "low", "high", "data")).alias("b")).select("id", "n", "b.*")
+        settled, rest = _settle_names(parts, f"blocks-{size}")
+        owners = held.select("id", "_key")
+        spans.append(settled.filter("n = 1").join(owners, "id").select("_key", "low", "high"))
+        if size > 1:
+            parent = held.select("id", "_key", "at", "data", F.col("low").alias("begin"))
+            inner = F.substring("data", F.col("low") - F.col("begin") + 1, F.col("high") - F.col("low") + SIZE)
+            held = rest.join(parent, "id").select("_key", "core", "n", "at", "low", "high", inner.alias("data"))
+    return union_all(spans).select("_key", "low", (F.col("high") + SIZE).alias("high"))
 
 
 def with_text(docs: DataFrame, keyed: DataFrame) -> DataFrame:
