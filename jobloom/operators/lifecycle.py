@@ -29,16 +29,21 @@ def clip_row(df: DataFrame) -> DataFrame:
     return df.withColumns(clipped)
 
 
-def upsert(current: DataFrame, batch: DataFrame, as_of) -> DataFrame:
+def upsert(current: DataFrame, batch: DataFrame, as_of, stamp: str | None = None) -> DataFrame:
     """Next snapshot after inserting or updating by (source, external_id).
 
     One full outer join on the unique key; the key is a listing's own, so it
-    cannot be hot.  Old text and vector hash survive unless content changed.
+    cannot be hot.  Old text and vector hash survive unless content changed;
+    columns that the batch lacks keep their stored value.  With ``stamp``, a
+    column of the batch, each row carries its own time, and a row older than
+    the stored one changes nothing.
     """
-    now = times.at(as_of)
+    now = F.col(f"n.{stamp}") if stamp else times.at(as_of)
     c, n = current.alias("c"), batch.alias("n")
     both = c.join(n, [F.col("c.source") == F.col("n.source"), F.col("c.external_id") == F.col("n.external_id")], "full_outer")
     seen, old = F.col("n.external_id").isNotNull(), F.col("c.external_id").isNotNull()
+    if stamp:
+        seen = seen & ~F.coalesce(F.col("c.last_seen_at") > now, F.lit(False))
     same = [F.col(f"c.{x}").eqNullSafe(F.col(f"n.{x}")) for x in CONTENT if x in batch.columns]
     changed = ~same[0]
     for s in same[1:]:
@@ -65,11 +70,13 @@ def upsert(current: DataFrame, batch: DataFrame, as_of) -> DataFrame:
         if x == "posted_at":
             return F.coalesce(fresh_value, stored)
         if x in ("description_text", "description_html"):
-            return F.when(seen & (~old | changed), fresh_value).otherwise(stored)
+            return F.when(seen & (~old | changed), fresh_value).otherwise(stored) if x in batch.columns else stored
         if x == "embedding_hash":
             return F.when(seen & (~old | changed), F.lit(None).cast("string")).otherwise(stored)
-        if x in REPLACED:
+        if x in REPLACED and x in batch.columns:
             return F.when(seen, fresh_value).otherwise(stored)
+        if x in REPLACED:
+            return F.when(old, stored).otherwise(fresh_value)
         return stored
 
     return both.select(*[value(x).alias(x) for x in current.columns])

@@ -36,14 +36,21 @@ PICKED = f"""usable AS (SELECT *, lower({CANON}) AS link FROM batch WHERE {HOST}
 picked AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY source, link ORDER BY length(description_text) DESC, id) = 1)"""
 
 
-@query("stream_upsert", "E1 D1", with_listings(UPSERT.replace("FULL JOIN batch n", "FULL JOIN picked n"), BATCH + ", " + PICKED))
+LATER = "2024-02-20T00:00:00"
+STREAMED = UPSERT.replace("FULL JOIN batch n", "FULL JOIN picked n").replace(AS_OF, f"TIMESTAMP '{LATER.replace('T', ' ')}'")
+
+
+@query("stream_upsert", "E1 D1", with_listings(STREAMED, BATCH + ", " + PICKED))
 def _(spark, sf):
     landed, store = shared_folder(spark, "rows"), shared_folder(spark, "store")
     catalogue.create_bucketed(current(spark, sf), store, 16)
     rows = next_batch(spark, sf).withColumns({
-        "last_seen_at": F.lit(NOW + "Z").cast("timestamp"), "description_html": F.lit(None).cast("string"), "seq": C("id")})
-    rows.write.parquet(landed)
-    stream = spark.readStream.schema(rows.schema).parquet(landed)
+        "last_seen_at": F.lit(LATER + "Z").cast("timestamp"), "description_html": F.lit(None).cast("string"), "seq": C("id")})
+    rows.coalesce(1).write.parquet(landed)
+    # The second batch is older than the first: a late delivery, which must change nothing.
+    late = rows.withColumns({"last_seen_at": C("last_seen_at") - F.expr("INTERVAL 60 DAYS"), "title": F.lit("late")})
+    late.coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     catalogue.stream_upsert(stream, store, shared_folder(spark, "offsets"), buckets=16).awaitTermination()
     return spark.read.parquet(store).select(*SHOWN)
 

@@ -32,9 +32,11 @@ def create_bucketed(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def apply_batch(batch: DataFrame, path: str, as_of, buckets: int = BUCKETS) -> None:
+def apply_batch(batch: DataFrame, path: str, stamp: str, buckets: int = BUCKETS) -> None:
     """Upsert one deduplicated batch, rewriting only the buckets it touches.
 
+    Each row is stamped with its own time; what is stored newer stays.
+
     Applying the same batch again gives the same catalogue, so a batch that is
     replayed after a lost executor or driver does no harm.
     """
@@ -45,23 +47,23 @@ def apply_batch(batch: DataFrame, path: str, as_of, buckets: int = BUCKETS) -> N
         return
     stored = spark.read.parquet(path)
     current = stored.filter(F.col("bucket").isin(touched)).drop("bucket")
-    after = settle(upsert(current, rows.drop("bucket"), as_of).withColumn("bucket", _bucket(buckets)), "after")
+    after = settle(upsert(current, rows.drop("bucket"), None, stamp).withColumn("bucket", _bucket(buckets)), "after")
     after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def stream_upsert(rows: DataFrame, path: str, checkpoint: str, as_of_column: str = "last_seen_at", buckets: int = BUCKETS):
     """Start the upsert of a stream of canonical rows; available data, then stop.
 
-    Within a batch the newest row of a listing wins, by ``seq`` where rows
-    carry one; the batch clock is its newest ``as_of_column``.
+    The row with the newest ``as_of_column`` wins, within a batch (then by
+    ``seq``, where rows carry one) and across batches in any order; rows
+    without a time are left out.
     """
 
     def run(batch, _batch_id):
-        clock = batch.agg(F.max(as_of_column)).first()[0]
-        if clock is None:
-            return
-        newest = batch if "seq" in batch.columns else batch.withColumn("seq", F.unix_micros(as_of_column))
-        apply_batch(batch_dedupe(newest, "seq").drop("seq", "first_seq"), path, F.lit(clock), buckets)
+        own = [F.col("seq")] if "seq" in batch.columns else []
+        timed = batch.filter(F.col(as_of_column).isNotNull())
+        newest = timed.withColumn("seq", F.struct(F.unix_micros(as_of_column).alias("at"), *own))
+        apply_batch(batch_dedupe(newest, "seq").drop("seq", "first_seq"), path, as_of_column, buckets)
 
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

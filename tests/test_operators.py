@@ -69,10 +69,10 @@ def test_learning_path(spark):
 
 
 def test_intent(spark):
-    df = spark.createDataFrame([(1, "assistant curator remote"), (2, "winter intern java"), (3, "golang karachi")], "query_id long, q string")
+    df = spark.createDataFrame([(1, "assistant curator remote"), (2, "winter intern golang"), (3, "golang karachi")], "query_id long, q string")
     r = {x.query_id: x for x in intent.parse_intent(df).collect()}
     assert r[1].hint_stage is None and r[1].hint_workplace == "remote"
-    assert r[2].hint_stage == "internship" and r[2].hint_skills == ["java"] and r[3].hint_region and r[3].hint_skills == ["go"]
+    assert r[2].hint_stage == "internship" and r[2].hint_skills == ["go"] and r[3].hint_region and r[3].hint_skills == ["go"]
 
 
 def test_search_forms(spark):
@@ -255,3 +255,17 @@ def test_ingest_run(spark):
     new = after.filter("external_id = 'acme:L1'").collect()
     assert len(new) == 1 and new[0].is_active and new[0].career_stage == "unknown" and new[0].id is not None
     assert counts["purged"] > 0 and after.count() == current.count() + 1 - counts["purged"]
+
+
+def test_upsert_newest_wins_in_any_order(spark):
+    """A late row changes nothing, an absent column keeps its value, and each row has its own stamp."""
+    schema = "id long, source string, external_id string, title string, company_url string, description_text string, first_seen_at timestamp, last_seen_at timestamp, is_active boolean, missed_runs int"
+    row = lambda i, key, title, day: spark.sql(f"SELECT {i}L id, 'lever' source, '{key}' external_id, '{title}' title, 'https://c.example' company_url, 'x' description_text, timestamp'2030-05-01' first_seen_at, timestamp'2030-05-{day:02d}' last_seen_at, true is_active, 0 missed_runs")
+    store = spark.createDataFrame(row(1, "k1", "old", 3).collect(), schema)
+    newer = row(1, "k1", "new", 20).unionByName(row(2, "k2", "other", 8)).drop("company_url")
+    late = row(1, "k1", "late", 5).unionByName(row(2, "k2", "same", 8)).drop("company_url")
+    one_way = lifecycle.upsert(lifecycle.upsert(store, newer, None, "last_seen_at"), late, None, "last_seen_at")
+    other_way = lifecycle.upsert(lifecycle.upsert(store, late, None, "last_seen_at"), newer, None, "last_seen_at")
+    facts = lambda df: {(r.external_id, r.company_url, r.last_seen_at.day) for r in df.collect()}
+    assert facts(one_way) == facts(other_way) == {("k1", "https://c.example", 20), ("k2", None, 8)}
+    assert {r.title for r in one_way.collect()} == {"new", "same"} and {r.title for r in other_way.collect()} == {"new", "other"}
