@@ -49,7 +49,7 @@ def row_count(df: DataFrame) -> Column:
 
 
 def listings(spark: SparkSession, sf: str) -> DataFrame:
-    documents, pages, events = (table(spark, sf, t) for t in ("documents", "pages", "events"))
+    documents, pages, events, parts, suppliers = (table(spark, sf, t) for t in ("documents", "pages", "events", "part", "supplier"))
     documents = spread(documents.select("doc_id", "text", "source"), "doc_id")
     doc = F.col("doc_id")
     rows = documents.select(
@@ -58,14 +58,14 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
         (doc % row_count(pages)).alias("g"),
         (doc * 7919 % row_count(events)).alias("ek"),
         (doc % 25).cast("int").alias("nk"),
-    ).withColumns({"pk": F.col("g") % 40, "sk": F.col("g") % 10})
-    part = table(spark, sf, "part").filter("p_partkey < 40").select(F.col("p_partkey").alias("pk"), "p_name")
-    supplier = table(spark, sf, "supplier").filter("s_suppkey < 10").select(F.col("s_suppkey").alias("sk"), "s_name")
-    nation = table(spark, sf, "nation").filter("n_nationkey < 25").select(F.col("n_nationkey").alias("nk"), "n_name")
+    ).withColumns({"pk": F.col("g") % row_count(parts), "sk": F.col("g") % row_count(suppliers)})
+    part = parts.select(F.col("p_partkey").alias("pk"), "p_name")
+    supplier = suppliers.select(F.col("s_suppkey").alias("sk"), "s_name")
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nk"), "n_name")
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     rows = (
         rows.join(pages.select(F.col("page_id").alias("g"), "url", "html"), "g")
-        .join(F.broadcast(part), "pk").join(F.broadcast(supplier), "sk").join(F.broadcast(nation), "nk")
+        .join(part, "pk").join(supplier, "sk").join(nation, "nk")
         .join(events.select(F.col("event_id").alias("ek"), instant("ts").alias("ts")), "ek")
         .join(vectors, "doc_id", "left")
     )
@@ -179,6 +179,12 @@ def saved_searches(spark: SparkSession, sf: str) -> DataFrame:
         pick(["10", "90", None, "x", "3"], key % 5).alias("posted_within"),
         pick([None, "junior", None, "senior", None], key % 5).alias("career_stage"),
         (key % 6 == 5).alias("region_friendly"), last.alias("last_checked_at"),
+        pick([None, None, "Berlin", None, " lahore", None, None], key % 7).alias("city"),
+        pick([None, None, None, "germany", None, None, "CANADA", None], key % 8).alias("country"),
+        pick([None, "supplier", None], key % 3).alias("company"),
+        pick([None, None, None, None, "full"], key % 5).alias("employment_type"),
+        pick([None] * 8 + ["lever"], key % 9).alias("source"),
+        (key % 8 == 3).alias("junior_eligible"), (key % 10 != 9).alias("is_active"),
     )
 
 

@@ -107,7 +107,7 @@ def embedding_document(title, company, skills, stage, workplace, description) ->
     return F.concat_ws(
         "\n", some(title), some(company), F.concat(F.lit("Skills: "), listed),
         F.concat(F.lit("Stage: "), known(stage)), F.concat(F.lit("Workplace: "), known(workplace)),
-        some(F.left(description, F.lit(1500))),
+        some(description),
     )
 
 

@@ -47,7 +47,7 @@ def postal_address(location: Column) -> Column:
     got = F.aggregate(F.reverse(parts), start, step)
     place = F.struct(
         got["country"].alias("country"), got["region"].alias("region"),
-        F.when(F.size(got["rest"]) > 0, F.left(F.array_join(got["rest"], ", "), F.lit(80))).alias("locality"),
+        F.when(F.size(got["rest"]) > 0, F.array_join(got["rest"], ", ")).alias("locality"),
     )
     vague = (F.length(flat) == 0) | flat.rlike(lx.VAGUE_LOCATION) | squash(text(location)).rlike(lx.VAGUE_LOCATION)
     return F.when(~vague & place["country"].isNotNull(), place)

@@ -6,8 +6,8 @@ from jobloom import lexicons as lx
 from jobloom.functions.text import blank_to_null, has_any, strip, text
 
 
-def _head(title: Column, description: Column, size: int, sep: str) -> Column:
-    return F.concat(text(title), F.lit(sep), F.left(text(description), F.lit(size)))
+def _whole(title: Column, description: Column, sep: str) -> Column:
+    return F.concat(text(title), F.lit(sep), text(description))
 
 
 def level_stage(source_level: Column) -> Column:
@@ -30,14 +30,14 @@ def career_stage(title: Column, description: Column, source_level: Column, emplo
         .when(t.rlike(lx.JUNIOR_TITLE) | (hint == "junior"), "junior")
         .when(t.rlike(lx.MID_TITLE) | (hint == "mid"), "mid")
         .when(hint == "senior", "senior")
-        .when(_head(t, description, 800, " ").rlike(lx.INTERN_TITLE), "internship")
+        .when(_whole(t, description, " ").rlike(lx.INTERN_TITLE), "internship")
         .otherwise("unknown")
     )
 
 
 def years_required_min(title: Column, description: Column, ceiling: int = 15) -> Column:
-    """Smallest lower bound named near the top of the posting."""
-    blob = _head(title, description, 2500, "\n")
+    """Smallest lower bound named in the posting."""
+    blob = _whole(title, description, "\n")
     bounds = F.transform(
         F.regexp_extract_all(blob, F.lit(lx.YEARS_PATTERN), F.lit(1)), lambda y: y.try_cast("int")
     )
@@ -46,14 +46,14 @@ def years_required_min(title: Column, description: Column, ceiling: int = 15) ->
 
 
 def _snippet(blob: Column, pattern: str) -> Column:
-    return blank_to_null(F.left(F.regexp_extract(blob, pattern, 0), F.lit(120)))
+    return blank_to_null(F.regexp_extract(blob, pattern, 0))
 
 
 def seniority_signals(title: Column, description: Column, source_level: Column) -> Column:
-    blob = _head(title, description, 2500, "\n")
+    blob = _whole(title, description, "\n")
     flag = lambda p: F.when(blob.rlike(p), F.lit(True))
     return F.struct(
-        blank_to_null(F.left(source_level, F.lit(80))).alias("source_level"),
+        blank_to_null(source_level).alias("source_level"),
         flag(lx.NO_SPONSOR).alias("no_sponsorship"),
         _snippet(blob, lx.NO_SPONSOR).alias("no_sponsorship_snippet"),
         flag(lx.DEGREE).alias("degree_required"),

@@ -87,8 +87,8 @@ def partition_tags(*groups: Column) -> Column:
         single = ~t.contains(" ")
         return F.when(tool != cap, tool).otherwise(single)
 
-    tools = F.slice(F.filter(tags, is_tool), 1, 48)
-    caps = F.slice(F.filter(tags, lambda t: ~is_tool(t)), 1, 40)
+    tools = F.filter(tags, is_tool)
+    caps = F.filter(tags, lambda t: ~is_tool(t))
     derived = F.when((F.size(caps) == 0) & (F.size(tools) > 0), capability_buckets(tools)).otherwise(caps)
     return F.struct(derived.alias("skills"), tools.alias("technologies"))
 

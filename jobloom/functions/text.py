@@ -74,8 +74,8 @@ def ascii_fold(c: Column) -> Column:
 
 def slugify(name: Column, default: str = "company") -> Column:
     dashed = F.regexp_replace(F.lower(ascii_fold(text(name))), r"[^a-z0-9]+", "-")
-    cut = F.left(F.regexp_replace(dashed, r"^-+|-+$", ""), F.lit(80))
-    return F.when(F.length(cut) > 0, cut).otherwise(F.lit(default))
+    whole = F.regexp_replace(dashed, r"^-+|-+$", "")
+    return F.when(F.length(whole) > 0, whole).otherwise(F.lit(default))
 
 
 def title_key(title: Column) -> Column:
@@ -83,7 +83,7 @@ def title_key(title: Column) -> Column:
     t = squash(text(title))
     t = F.regexp_replace(t, r"(?i)\s*[-|–—]\s*(remote|hybrid|wfh|work from home).*$", "")
     t = F.regexp_replace(t, r"(?i)\s*\((remote|hybrid)\)\s*$", "")
-    return F.left(strip(t), F.lit(100))
+    return strip(t)
 
 
 def split_company_role(title: Column) -> Column:
@@ -120,7 +120,7 @@ def software_role(title: Column, description: Column) -> Column:
     t = F.lower(text(title))
     named = has_any(t, lx.SOFTWARE_TITLE_WORDS)
     training = has_any(t, lx.TRAINING_TITLE_WORDS) & has_any(t, lx.TRAINING_FIELD_WORDS)
-    body = F.lower(F.concat(text(title), F.lit("\n"), F.left(text(description), F.lit(5000))))
+    body = F.lower(F.concat(text(title), F.lit("\n"), text(description)))
     plus = count_hits(body, lx.SOFTWARE_BODY_WORDS)
     minus = count_hits(body, lx.PHYSICAL_BODY_WORDS)
     return named | training | ((plus > 0) & (plus >= minus))

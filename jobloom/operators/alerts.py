@@ -1,5 +1,8 @@
 """Saved searches run against the catalogue, many at once."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobloom.functions import seniority, times
@@ -10,17 +13,22 @@ from jobloom.operators.relations import not_yet_sent
 from jobloom.runtime import broadcast_if_small, top_per_key, union_all
 from jobloom.search.textindex import build_index, match_queries, search_atoms, search_words
 
-LOOK = 20   # newest matches a search looks at
 SEND = 5    # alerts a search may send per run
+WAYS = 64   # parts of the listings that a search without any anchor meets
+LOOSE = {"city": "location_raw", "country": "location_raw", "company": "company_name", "employment_type": "employment_type"}
+FILTERS = ["w_workplace", "w_skills", "w_days", "w_stage", "w_region", "w_junior", "w_source", *[f"w_{c}" for c in LOOSE]]
 
 
 def typed_searches(searches: DataFrame) -> DataFrame:
-    """Stored parameters as typed columns."""
+    """Parameters of the searches that are on, as typed columns; a parameter the table lacks asks for nothing."""
     skills = F.split(F.coalesce("skills_csv", F.lit("")), ",")
-    return searches.select(
+    said = lambda c: blank_to_null(F.lower(F.trim(c))) if c in searches.columns else F.lit(None).cast("string")
+    flag = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in searches.columns else F.lit(default)
+    return searches.filter(flag("is_active", True)).select(
         "search_id", "user_id", "name", blank_to_null(F.trim("q")).alias("q"), F.lower("workplace").alias("w_workplace"),
         clean_tags(skills).alias("w_skills"), times.clamp_window(F.col("posted_within")).alias("w_days"),
         F.col("career_stage").alias("w_stage"), F.col("region_friendly").alias("w_region"), "last_checked_at",
+        flag("junior_eligible", False).alias("w_junior"), said("source").alias("w_source"), *[said(c).alias(f"w_{c}") for c in LOOSE],
     )
 
 
@@ -31,25 +39,27 @@ def _fits(as_of) -> Column:
         (times.age_anchor(F.col("posted_at"), F.col("first_seen_at")) >= cutoff)
         & (F.col("w_workplace").isNull() | (F.col("workplace_type") == F.col("w_workplace")))
         & ((F.size(skills) == 0) | F.arrays_overlap("skills", skills) | F.arrays_overlap("tech_tags", skills))
-        & seniority.stage_matches(F.col("w_stage"), F.lit(False), F.col("career_stage"), F.col("junior_eligible"))
+        & seniority.stage_matches(F.col("w_stage"), F.col("w_junior"), F.col("career_stage"), F.col("junior_eligible"))
         & (~F.coalesce("w_region", F.lit(False)) | F.col("region_friendly"))
+        & (F.col("w_source").isNull() | (F.col("source") == F.col("w_source")))
+        & reduce(and_, [F.col(f"w_{c}").isNull() | F.coalesce(F.lower(F.col(own)).contains(F.col(f"w_{c}")), F.lit(False)) for c, own in LOOSE.items()])
     )
 
 
-def search_matches(searches: DataFrame, listings: DataFrame, as_of, look: int | None = LOOK) -> DataFrame:
+def search_matches(searches: DataFrame, listings: DataFrame, as_of, look: int | None = None) -> DataFrame:
     """(search_id, id, position) of the newest matches of every search.
 
     Searches with words meet listings through the term index.  Searches
     without words are reduced to their distinct filters and meet listings by
-    an anchor: a wanted tag, else the wanted workplace, else a common key.
-    ``look=None`` keeps every match.
+    an anchor: a wanted tag, else the wanted workplace, else every part of the
+    listings.  Every match is kept, with position 0, unless ``look`` asks for
+    that many of the newest.
     """
     asked = typed_searches(searches)
-    filters = ["w_workplace", "w_skills", "w_days", "w_stage", "w_region"]
     live = listings.filter("is_active")
     slim = live.select(
         "id", "source", "posted_at", "first_seen_at", "workplace_type", "skills", "tech_tags", "career_stage",
-        "junior_eligible", "region_friendly",
+        "junior_eligible", "region_friendly", "location_raw", "company_name", "employment_type",
     )
     worded = asked.filter("q is not null")
     queries = worded.select(F.xxhash64("q").alias("query_id"), "q").dropDuplicates(["query_id"])
@@ -59,13 +69,13 @@ def search_matches(searches: DataFrame, listings: DataFrame, as_of, look: int |
     order = newest_order()
     cut = lambda df, keys: top_per_key(df, keys, order, look) if look else df.withColumn("position", F.lit(0))
     first = cut(by_word, ["search_id"]).select("search_id", "id", "position")
-    plain = asked.filter("q is null").withColumn("filter_key", F.sha2(F.to_json(F.struct(*filters)), 256))
-    kinds = plain.select("filter_key", *filters).dropDuplicates(["filter_key"])
+    plain = asked.filter("q is null").withColumn("filter_key", F.sha2(F.to_json(F.struct(*FILTERS)), 256))
+    kinds = plain.select("filter_key", *FILTERS).dropDuplicates(["filter_key"])
     anchors = F.when(F.size("w_skills") > 0, F.transform("w_skills", lambda s: F.concat(F.lit("tag:"), s))).otherwise(
-        F.array(F.coalesce(F.concat(F.lit("place:"), "w_workplace"), F.lit("any"))))
+        F.when(F.col("w_workplace").isNotNull(), F.array(F.concat(F.lit("place:"), "w_workplace"))).otherwise(F.array(*[F.lit(f"any:{i}") for i in range(WAYS)])))
     kinds = kinds.withColumn("anchor", F.explode(anchors))
     tags = F.transform(F.array_distinct(F.concat("skills", "tech_tags")), lambda s: F.concat(F.lit("tag:"), s))
-    own = F.concat(F.array(F.lit("any"), F.concat(F.lit("place:"), "workplace_type")), tags)
+    own = F.concat(F.array(F.concat(F.lit("any:"), F.pmod(F.xxhash64("id"), F.lit(WAYS)).cast("string")), F.concat(F.lit("place:"), "workplace_type")), tags)
     met = slim.withColumn("anchor", F.explode(own)).join(broadcast_if_small(kinds), "anchor").filter(_fits(as_of))
     met = met.select("filter_key", "id", "source", "posted_at", "first_seen_at").dropDuplicates(["filter_key", "id"])
     by_filter = cut(met, ["filter_key"]).select("filter_key", "id", "position")
@@ -73,15 +83,15 @@ def search_matches(searches: DataFrame, listings: DataFrame, as_of, look: int |
     return union_all([first, second])
 
 
-def saved_search_alerts(searches: DataFrame, listings: DataFrame, sent: DataFrame, as_of, look=LOOK, send=SEND):
-    """(notices, next searches): newest matches not seen at the last check."""
+def saved_search_alerts(searches: DataFrame, listings: DataFrame, sent: DataFrame, as_of, send=SEND):
+    """(notices, next searches): the newest ``send`` matches of each search that came since its last check."""
     now = times.at(as_of)
-    matches = search_matches(searches, listings, as_of, look)
-    facts = listings.select("id", "title", "company_name", "workplace_type", "first_seen_at", "posted_at")
+    matches = search_matches(searches, listings, as_of)
+    facts = listings.select("id", "title", "company_name", "workplace_type", "first_seen_at", "posted_at", "source")
     rows = matches.join(searches.select("search_id", "user_id", "name", "last_checked_at"), "search_id").join(facts, "id")
     seen = F.coalesce("first_seen_at", "posted_at")
     new = rows.filter(F.col("last_checked_at").isNull() | (seen > F.col("last_checked_at")))
-    few = top_per_key(new, ["search_id"], [F.asc("position")], send, "place")
+    few = top_per_key(new, ["search_id"], newest_order(), send, "place")
     body = F.concat("name", F.lit(": "), "company_name", F.lit(" · "), "workplace_type", F.lit(" · new catalogue match"))
     notices = few.select(
         "user_id", "search_id", F.concat(F.lit("Pulse: "), "title").alias("title"), body.alias("body"),
@@ -91,7 +101,8 @@ def saved_search_alerts(searches: DataFrame, listings: DataFrame, sent: DataFram
     one = notices.groupBy("user_id", "link").agg(F.min_by(F.struct("search_id", "title", "body", "is_read", "created_at"), "search_id").alias("n"))
     fresh_ones = not_yet_sent(one.select("user_id", "link", "n.*"), sent)
     told = fresh_ones.select("search_id").distinct().withColumn("_told", F.lit(True))
+    on = F.coalesce("is_active", F.lit(True)) if "is_active" in searches.columns else F.lit(True)
     after = searches.join(told, "search_id", "left").withColumns({
-        "last_checked_at": now, "last_notified_at": F.when(F.col("_told"), now),
+        "last_checked_at": F.when(on, now).otherwise(F.col("last_checked_at")), "last_notified_at": F.when(F.col("_told"), now),
     }).drop("_told")
     return fresh_ones, after

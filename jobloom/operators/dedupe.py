@@ -22,7 +22,7 @@ def last_per_listing(df: DataFrame, seq: str = "seq") -> DataFrame:
     later ties.  The row itself travels as one struct under ``max_by``.
     """
     row = F.struct(*[F.col(c) for c in df.columns])
-    keys = [F.col("source").alias("_source"), F.left("external_id", F.lit(240)).alias("_ext")]
+    keys = [F.col("source").alias("_source"), F.col("external_id").alias("_ext")]
     best = df.groupBy(*keys).agg(F.max_by(row, F.col(seq)).alias("_row"), F.min(seq).alias("first_seq"))
     return best.select("_row.*", "first_seq")
 

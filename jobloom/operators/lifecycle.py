@@ -19,7 +19,7 @@ REPLACED = [
 
 
 def clip_row(df: DataFrame) -> DataFrame:
-    """Length caps of the stored catalogue."""
+    """Length limits of a store that has them; nothing in this library calls it by itself."""
     sizes = {
         "title": 500, "company_name": 240, "location_raw": 480, "employment_type": 60, "external_id": 240,
         "apply_url": 2000, "company_url": 1000, "career_page_url": 1000, "workplace_type": 32,
@@ -137,18 +137,17 @@ def refresh_enrichment(df: DataFrame) -> DataFrame:
 # ---- registry --------------------------------------------------------------
 
 def load_registry(df: DataFrame, known_names: DataFrame | None = None, seq: str = "seq") -> DataFrame:
-    """Clean registry rows: typed, last per board, clipped, with defaults."""
+    """Clean registry rows: typed, last per board, with defaults."""
     kind, slug = F.trim(text(F.col("ats_type"))), F.trim(text(F.col("ats_slug")))
     rows = df.withColumns({"_kind": kind, "_slug": slug}).filter("_kind <> '' and _slug <> ''")
     row = F.struct(*[F.col(c) for c in df.columns])
     last = rows.groupBy("_kind", "_slug").agg(F.max_by(row, F.col(seq)).alias("r"))
     name = F.coalesce(blank_to_null(F.col("r.name")), F.col("_slug"))
-    clip = lambda c, n: blank_to_null(F.left(c, F.lit(n)))
     optional = lambda c: F.col(f"r.{c}") if c in df.columns else F.lit(None)
     out = last.select(
-        F.left("_kind", F.lit(64)).alias("ats_type"), F.left("_slug", F.lit(128)).alias("ats_slug"),
-        F.left(name, F.lit(255)).alias("name"), clip(F.col("r.website"), 512).alias("website"),
-        F.left(F.coalesce(blank_to_null(F.col("r.region_focus")), F.lit("global")), F.lit(32)).alias("region_focus"),
+        F.col("_kind").alias("ats_type"), F.col("_slug").alias("ats_slug"),
+        name.alias("name"), blank_to_null(F.col("r.website")).alias("website"),
+        F.coalesce(blank_to_null(F.col("r.region_focus")), F.lit("global")).alias("region_focus"),
         F.coalesce(F.col("r.is_enabled"), F.lit(True)).alias("is_enabled"),
         F.coalesce(optional("hires_juniors").cast("boolean"), F.lit(False)).alias("hires_juniors"),
     )

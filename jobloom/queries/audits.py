@@ -27,10 +27,10 @@ def supported(p, body):
     return f"({p} = '' OR contains({body}, {p}) OR len({words}) = 0 OR CASE WHEN len({words}) <= 3 THEN {hits} = len({words}) ELSE {hits} / len({words}) >= 0.85 END)"
 
 
-@query("phrase_supported", "R2", f"WITH {sv.PAIRS}, p AS (SELECT doc_id, {NORM('original')} AS body, {NORM('left(derived, 40)')} AS phrase FROM pairs UNION ALL SELECT doc_id, {NORM('original')}, 'grew by python' FROM pairs) SELECT doc_id, phrase, {supported('phrase', 'body')} AS supported FROM p")
+@query("phrase_supported", "R2", f"WITH {sv.PAIRS}, p AS (SELECT doc_id, {NORM('original')} AS body, {NORM('derived')} AS phrase FROM pairs UNION ALL SELECT doc_id, {NORM('original')}, 'grew by python' FROM pairs) SELECT doc_id, phrase, {supported('phrase', 'body')} AS supported FROM p")
 def _(spark, sf):
     p = fx.grounding_pairs(spark, sf).withColumn("body", grounding.norm(C("original")))
-    both = p.select("doc_id", "body", F.explode(F.array(grounding.norm(F.left("derived", F.lit(40))), F.lit("grew by python"))).alias("phrase"))
+    both = p.select("doc_id", "body", F.explode(F.array(grounding.norm(C("derived")), F.lit("grew by python"))).alias("phrase"))
     return both.select("doc_id", "phrase", grounding.phrase_supported(C("phrase"), C("body")).alias("supported"))
 
 
@@ -133,7 +133,7 @@ def _(spark, sf):
 
 @query("aligned_entries", "R10")
 def _(spark, sf):
-    base = fx.sections(spark, sf).select("doc_id", "pos", F.left("item", F.lit(60)).alias("label"))
+    base = fx.sections(spark, sf).select("doc_id", "pos", C("item").alias("label"))
     derived = base.filter("pos % 3 <> 1").select("doc_id", (C("pos") + 100).alias("pos"), F.concat("label", F.lit(" lead")).alias("label"))
     return grounding.aligned_entries(base, derived)
 

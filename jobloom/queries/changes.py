@@ -159,20 +159,24 @@ def _(spark, sf):
 
 
 TOK = r"'[\pL\p{Nd}]+[+#]*'"
-WANTED = """typed AS (SELECT search_id, user_id, name, last_checked_at, q, workplace, greatest(1, least(30, coalesce(TRY_CAST(posted_within AS INT), 7))) AS days, career_stage_wanted, region_wanted,
-  list_filter(list_transform(string_split(coalesce(skills_csv, ''), ','), lambda s: lower(trim(s))), lambda s: s <> '') AS wskills FROM searches)"""
-WORDS = f"""words AS (SELECT id, list_distinct(regexp_extract_all(lower(title || ' ' || company_name || ' ' || array_to_string(skills, ' ') || ' ' || left(description_text, 8000)), {TOK})) AS ws FROM enriched)"""
+WANTED = """typed AS (SELECT search_id, user_id, name, last_checked_at, q, workplace, greatest(1, least(30, coalesce(TRY_CAST(posted_within AS INT), 7))) AS days, career_stage_wanted, region_wanted, city, country, company, employment, wanted_source, junior_wanted,
+  list_filter(list_transform(string_split(coalesce(skills_csv, ''), ','), lambda s: lower(trim(s))), lambda s: s <> '') AS wskills FROM searches WHERE search_on)"""
+WORDS = f"""words AS (SELECT id, list_distinct(regexp_extract_all(lower(title || ' ' || company_name || ' ' || array_to_string(skills, ' ') || ' ' || description_text), {TOK})) AS ws FROM enriched)"""
 MATCH = f"""m AS (SELECT t.search_id, t.user_id, t.name, t.last_checked_at, e.id, e.title, e.company_name, e.workplace_type, e.first_seen_at,
   row_number() OVER (PARTITION BY t.search_id ORDER BY e.posted_at DESC NULLS LAST, e.first_seen_at DESC, {sv.TRUST}, CASE WHEN e.posted_at IS NULL THEN 1 ELSE 0 END, e.id) AS position
   FROM typed t JOIN (enriched JOIN words USING (id)) e ON e.is_active AND e.anchor >= {AS_OF} - to_days(t.days)
   AND (t.q IS NULL OR list_has_all(e.ws, string_split(t.q, ' '))) AND (t.workplace IS NULL OR e.workplace_type = t.workplace)
   AND (len(t.wskills) = 0 OR list_has_any(e.skills, t.wskills) OR list_has_any(e.tech_tags, t.wskills))
-  AND CASE t.career_stage_wanted WHEN 'junior' THEN e.junior_eligible AND NOT (e.career_stage IN ('junior', 'new_grad') AND coalesce(e.years_required_min >= 4, false)) WHEN 'senior' THEN e.career_stage = 'senior' ELSE true END AND (NOT t.region_wanted OR e.region_friendly)
+  AND CASE CASE WHEN t.junior_wanted THEN 'junior' ELSE t.career_stage_wanted END WHEN 'junior' THEN e.junior_eligible AND NOT (e.career_stage IN ('junior', 'new_grad') AND coalesce(e.years_required_min >= 4, false)) WHEN 'senior' THEN e.career_stage = 'senior' ELSE true END AND (NOT t.region_wanted OR e.region_friendly)
+  AND (t.city IS NULL OR e.location_raw ILIKE '%' || t.city || '%') AND (t.country IS NULL OR e.location_raw ILIKE '%' || t.country || '%')
+  AND (t.company IS NULL OR e.company_name ILIKE '%' || t.company || '%') AND (t.employment IS NULL OR e.employment_type ILIKE '%' || t.employment || '%')
+  AND (t.wanted_source IS NULL OR e.source = t.wanted_source)
   QUALIFY position <= 20)"""
 SENT = "sent AS (SELECT event_id % 7 AS user_id, '/jobs/' || (event_id % 200) AS link FROM events WHERE event_id % 3 = 0)"
 NOTES = """n5 AS (SELECT *, '/jobs/' || id AS link FROM m WHERE first_seen_at > last_checked_at QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY position) <= 5),
 one AS (SELECT * FROM n5 WHERE (user_id, link) NOT IN (SELECT (user_id, link) FROM sent) QUALIFY row_number() OVER (PARTITION BY user_id, link ORDER BY search_id) = 1)"""
-ALERT_CTES = ", ".join([sv.SEARCHES, WANTED, WORDS, MATCH, SENT, NOTES])
+NEWEST_CTES = ", ".join([sv.SEARCHES, WANTED, WORDS, MATCH, SENT, NOTES])
+ALERT_CTES = NEWEST_CTES.replace("QUALIFY position <= 20", "")
 
 
 def _alerts(spark, sf):
@@ -180,9 +184,9 @@ def _alerts(spark, sf):
     return alerts.saved_search_alerts(fx.saved_searches(spark, sf), fx.stored(spark, sf), sent, NOW)
 
 
-@query("search_matches", "J11", with_enriched("SELECT search_id, id, position FROM m", ALERT_CTES))
+@query("search_matches", "J11", with_enriched("SELECT search_id, id, position FROM m", NEWEST_CTES))
 def _(spark, sf):
-    return alerts.search_matches(fx.saved_searches(spark, sf), fx.stored(spark, sf), NOW)
+    return alerts.search_matches(fx.saved_searches(spark, sf), fx.stored(spark, sf), NOW, look=20)
 
 
 @query("saved_search_alerts", "D11 J5", with_enriched("SELECT user_id, search_id, 'Pulse: ' || title AS title, name || ': ' || company_name || ' · ' || workplace_type || ' · new catalogue match' AS body, link FROM one", ALERT_CTES))
@@ -190,7 +194,7 @@ def _(spark, sf):
     return _alerts(spark, sf)[0].select("user_id", "search_id", "title", "body", "link")
 
 
-@query("saved_search_checkpoints", "D11", with_enriched(f"SELECT search_id, {AS_OF} AS last_checked_at, CASE WHEN search_id IN (SELECT search_id FROM one) THEN {AS_OF} END AS last_notified_at FROM searches", ALERT_CTES))
+@query("saved_search_checkpoints", "D11", with_enriched(f"SELECT search_id, CASE WHEN search_on THEN {AS_OF} ELSE last_checked_at END AS last_checked_at, CASE WHEN search_id IN (SELECT search_id FROM one) THEN {AS_OF} END AS last_notified_at FROM searches", ALERT_CTES))
 def _(spark, sf):
     return _alerts(spark, sf)[1].select("search_id", "last_checked_at", "last_notified_at")
 

@@ -18,13 +18,13 @@ LINK = f"""CASE WHEN source = 'personio' THEN 'https://' || board || '.jobs.pers
   WHEN source = 'smartrecruiters' AND contains(apply_url, 'api.smartrecruiters.com/') THEN 'https://jobs.smartrecruiters.com/' || board || '/' || id || '-' || {SLUG} || '-software-engineer?oga=true'
   ELSE regexp_replace(regexp_replace(apply_url, '#.*$', ''), '\\?$', '') END"""
 FEED_SQL = with_listings(f"""SELECT source, CASE WHEN source IN ({BOARDED}) THEN board || ':' || id ELSE CAST(id AS VARCHAR) END AS external_id, title || ' software engineer' AS title, company_name,
-  {LINK} AS apply_url, CASE WHEN source = 'personio' AND posted_at < {CUTOFF} THEN NULL ELSE posted_at END AS posted_at, left(description_text, 12) AS body
+  {LINK} AS apply_url, CASE WHEN source = 'personio' AND posted_at < {CUTOFF} THEN NULL ELSE posted_at END AS posted_at, description_text AS body
   FROM (SELECT *, split_part(external_id, ':', 1) AS board FROM listings) WHERE source NOT IN ({DROPS}) OR posted_at IS NULL OR posted_at >= {CUTOFF}""")
 SHOWN = ["source", "external_id", "title", "company_name", "apply_url", "posted_at"]
 
 
 def shown(df):
-    return df.select(*SHOWN, F.left("description_text", F.lit(12)).alias("body"))
+    return df.select(*SHOWN, C("description_text").alias("body"))
 
 
 @query("normalize_feed", "S1 F10", FEED_SQL)

@@ -28,7 +28,7 @@ ELIGIBLE = "(junior_eligible AND NOT (career_stage IN ('junior', 'new_grad') AND
 PAIRS = f"""prof AS (SELECT user_id, {GROW('list_concat(skills, technologies)')} AS universe, coalesce(nullif(experience_level, ''), 'junior') AS level, remote_preference AS pref,
     coalesce(desired_roles, []) AS roles, cities, location_preference AS lp, region_friendly_wanted AS wants FROM profiles),
 pk AS (SELECT *, (user_id * 13 + k * 37) % (SELECT count(*) FROM documents) AS listing_id, k * 20.0 AS search_score FROM (SELECT *, unnest([0, 1, 2]) AS k FROM prof)),
-side AS (SELECT id AS listing_id, title, lower(title) AS low_title, ' ' || lower(title) || ' ' || lower(left(description_text, 4000)) || ' ' AS blob, {GROW('list_concat(skills, tech_tags)')} AS tags,
+side AS (SELECT id AS listing_id, title, lower(title) AS low_title, ' ' || lower(title) || ' ' || lower(description_text) || ' ' AS blob, {GROW('list_concat(skills, tech_tags)')} AS tags,
     career_stage, years_required_min, {ELIGIBLE} AS junior_eligible, workplace_type AS wt, lower(coalesce(location_raw, '')) AS place, region_friendly AS region_open, anchor, company_name FROM enriched),
 j AS (SELECT *, regexp_replace(blob, '[.\\-]', '', 'g') AS squeezed FROM pk JOIN side USING (listing_id)),
 m AS (SELECT *, list_sort(list_filter(universe, lambda s: length(s) >= 2 AND (list_contains(tags, s) OR len(list_filter(coalesce({VARIANTS}[s], [s]), lambda v: length(v) >= 2 AND

@@ -127,7 +127,7 @@ def _(spark, sf):
 
 def snippet(p):
     body = p.replace("(?i)\\b", "").removesuffix("\\b")
-    return f"nullif(regexp_extract({sv.HEAD2500}, {q('(?i)(?:^|[^A-Za-z0-9_])' + body + '(?:$|[^A-Za-z0-9_])')}, 1), '')"
+    return f"nullif(regexp_extract({sv.LINED}, {q('(?i)(?:^|[^A-Za-z0-9_])' + body + '(?:$|[^A-Za-z0-9_])')}, 1), '')"
 
 
 @query("seniority_signals", "P12", with_listings(f"""SELECT id, {snippet(lx.NO_SPONSOR)} AS no_sponsorship_snippet, {snippet(lx.DEGREE)} AS degree_snippet,
@@ -186,12 +186,12 @@ def hits_sql(c, words):
     return "(" + " + ".join(f"CAST(contains({c}, {q(w)}) AS INT)" for w in words) + ")"
 
 
-BODY5000 = r"lower(title || E'\n' || left(description_text, 5000))"
+WHOLE_BODY = r"lower(title || E'\n' || description_text)"
 
 
 @query("software_role", "P17", with_listings(f"""SELECT id, {any_like('lower(title)', lx.SOFTWARE_TITLE_WORDS)}
   OR ({any_like('lower(title)', lx.TRAINING_TITLE_WORDS)} AND {any_like('lower(title)', lx.TRAINING_FIELD_WORDS)})
-  OR ({hits_sql(BODY5000, lx.SOFTWARE_BODY_WORDS)} > 0 AND {hits_sql(BODY5000, lx.SOFTWARE_BODY_WORDS)} >= {hits_sql(BODY5000, lx.PHYSICAL_BODY_WORDS)}) AS software FROM listings"""))
+  OR ({hits_sql(WHOLE_BODY, lx.SOFTWARE_BODY_WORDS)} > 0 AND {hits_sql(WHOLE_BODY, lx.SOFTWARE_BODY_WORDS)} >= {hits_sql(WHOLE_BODY, lx.PHYSICAL_BODY_WORDS)}) AS software FROM listings"""))
 def _(spark, sf):
     return fx.listings(spark, sf).select("id", tx.software_role(C("title"), C("description_text")).alias("software"))
 
@@ -219,7 +219,7 @@ def _(spark, sf):
     return e.select("id", tx.fingerprint(F.concat(F.lit("  "), C("title"), F.lit(" ")), C("company_name"), C("career_stage")).alias("fingerprint"))
 
 
-DOC = r"concat_ws(E'\n', title, company_name, 'Skills: ' || array_to_string(skills, ', '), 'Stage: ' || career_stage, 'Workplace: ' || workplace_type, nullif(left(description_text, 1500), ''))"
+DOC = r"concat_ws(E'\n', title, company_name, 'Skills: ' || array_to_string(skills, ', '), 'Stage: ' || career_stage, 'Workplace: ' || workplace_type, nullif(description_text, ''))"
 
 
 @query("embedding_document", "P21", with_enriched(f"SELECT id, length({DOC}) AS document_length, left(sha256({DOC}), 40) AS hash FROM enriched"))
@@ -240,16 +240,13 @@ def _(spark, sf):
     return fx.listings(spark, sf).select("id", urls.repair_source_url(*four).alias("repaired"), urls.visible_apply_url(*four).alias("visible"))
 
 
-NAME_SQL = "left(text, 60)"
-
-
 @query("slugify", "P23", """SELECT doc_id AS id, CASE WHEN slug = '' THEN 'company' ELSE slug END AS slug FROM (
-  SELECT doc_id, left(trim(regexp_replace(lower(regexp_replace(strip_accents(left(text, 60)), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 80) AS slug FROM documents)""")
+  SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents)""")
 def _(spark, sf):
-    return fx.table(spark, sf, "documents").select(C("doc_id").alias("id"), tx.slugify(F.left("text", F.lit(60))).alias("slug"))
+    return fx.table(spark, sf, "documents").select(C("doc_id").alias("id"), tx.slugify(C("text")).alias("slug"))
 
 
-@query("title_key", "P24", with_listings(f"""SELECT id, left({strip("regexp_replace(regexp_replace(title, '(?i)\\s*[-|–—]\\s*(remote|hybrid|wfh|work from home).*$', ''), '(?i)\\s*\\((remote|hybrid)\\)\\s*$', '')")}, 100) AS key FROM listings"""))
+@query("title_key", "P24", with_listings(f"""SELECT id, {strip("regexp_replace(regexp_replace(title, '(?i)\\s*[-|–—]\\s*(remote|hybrid|wfh|work from home).*$', ''), '(?i)\\s*\\((remote|hybrid)\\)\\s*$', '')")} AS key FROM listings"""))
 def _(spark, sf):
     return fx.listings(spark, sf).select("id", tx.title_key(C("title")).alias("key"))
 
@@ -468,12 +465,12 @@ def _(spark, sf):
         times.is_indexable(C("is_active"), anchor, fx.AS_OF, fx.DAYS).alias("indexable"), F.round(times.age_days(anchor, fx.AS_OF), 6).alias("age_days"))
 
 
-SHORT = f"left(text, CAST(doc_id % 90 AS INT))"
+SHORT = "text"
 
 
 @query("thin_description", "P36", f"SELECT doc_id AS id, length({squash(SHORT)}) < 60 OR lower({squash(SHORT)}) = 'x' AS thin FROM documents")
 def _(spark, sf):
-    return fx.table(spark, sf, "documents").select(C("doc_id").alias("id"), tx.thin_description(F.lit("x"), F.left("text", (C("doc_id") % 90).cast("int"))).alias("thin"))
+    return fx.table(spark, sf, "documents").select(C("doc_id").alias("id"), tx.thin_description(F.lit("x"), C("text")).alias("thin"))
 
 
 @query("result_view", "P37", with_listings("""SELECT id, CASE WHEN length(description_text) > 500 THEN left(description_text, 500) || '…' ELSE description_text END AS description_text,

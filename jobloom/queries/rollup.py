@@ -50,12 +50,12 @@ def _(spark, sf):
 
 
 def prefixes(spark, sf):
-    return fx.table(spark, sf, "part").filter("p_partkey < 40").select(
+    return fx.table(spark, sf, "part").select(
         C("p_partkey").alias("query_id"), F.when(C("p_partkey") % 2 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.left("p_name", F.lit(6))).alias("q"))
 
 
-PREFIX = "asked AS (SELECT p_partkey AS query_id, lower(CASE WHEN p_partkey % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE left(p_name, 6) END) AS p FROM part WHERE p_partkey < 40)"
-TKEY = r"trim(left(trim(regexp_replace(regexp_replace(title, '(?i)\s*[-|–—]\s*(remote|hybrid|wfh|work from home).*$', ''), '(?i)\s*\((remote|hybrid)\)\s*$', '')), 100))"
+PREFIX = "asked AS (SELECT p_partkey AS query_id, lower(CASE WHEN p_partkey % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE left(p_name, 6) END) AS p FROM part)"
+TKEY = r"trim(trim(regexp_replace(regexp_replace(title, '(?i)\s*[-|–—]\s*(remote|hybrid|wfh|work from home).*$', ''), '(?i)\s*\((remote|hybrid)\)\s*$', '')))"
 
 
 @query("title_suggestions", "G5", with_listings(f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cnt DESC, mkey) AS rank, display AS title, cnt AS count
@@ -134,7 +134,7 @@ def _(spark, sf):
     return rollups.run_totals(fx.run_log(spark, sf))
 
 
-@query("append_run_log", "S4", with_listings(f"SELECT source, {AS_OF} AS started_at, count(*) AS jobs_fetched, count(*) FILTER (WHERE id % 3 = 0) AS jobs_upserted, CASE WHEN source = 'lever' THEN repeat('e', 2000) END AS errors FROM listings GROUP BY source"))
+@query("append_run_log", "S4", with_listings(f"SELECT source, {AS_OF} AS started_at, count(*) AS jobs_fetched, count(*) FILTER (WHERE id % 3 = 0) AS jobs_upserted, CASE WHEN source = 'lever' THEN repeat('e', 3000) END AS errors FROM listings GROUP BY source"))
 def _(spark, sf):
     from jobloom.functions.times import at
     from jobloom.sources.sinks import run_log_rows

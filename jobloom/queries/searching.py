@@ -21,7 +21,7 @@ def toks(c, w):
     return f"list_transform(regexp_extract_all(lower({c}), {TOK}), lambda t: {{'term': t, 'w': {w}}})"
 
 
-DOCS = f"""docs AS (SELECT id, list_concat(list_concat({toks('title', 1.0)}, {toks('company_name', 1.0)}), list_concat({toks("array_to_string(skills, ' ')", 0.4)}, {toks('left(description_text, 8000)', 0.2)})) AS fields FROM enriched),
+DOCS = f"""docs AS (SELECT id, list_concat(list_concat({toks('title', 1.0)}, {toks('company_name', 1.0)}), list_concat({toks("array_to_string(skills, ' ')", 0.4)}, {toks('description_text', 0.2)})) AS fields FROM enriched),
 idx AS (SELECT id, f.term AS term, sum(f.w) AS weighted, count(*) AS tf FROM (SELECT id, unnest(fields) AS f FROM docs) GROUP BY ALL)"""
 ATOMS = """atoms AS (SELECT query_id, 0 AS alt, unnest(range(len(string_split(q, ' ')))) AS atom, false AS neg, [unnest(string_split(q, ' '))] AS words FROM query_set WHERE query_id < 16
   UNION ALL SELECT * FROM (VALUES (16, 0, 0, false, ['bolt']), (16, 1, 0, false, ['anvil']), (17, 0, 0, false, ['gear']), (17, 0, 1, true, ['senior']), (18, 0, 0, false, ['small', 'bolt']), (18, 0, 1, false, ['remote']),

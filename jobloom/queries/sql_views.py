@@ -49,11 +49,11 @@ def squash(c):
 
 LISTINGS = f"""
 listings AS (
-  SELECT d.doc_id AS id, 'b' || (b.g % 10) || ':' || d.doc_id AS external_id,
+  SELECT d.doc_id AS id, 'b' || (b.g % (SELECT count(*) FROM supplier)) || ':' || d.doc_id AS external_id,
     {pick(lx.SOURCE_PREFERENCE, "CAST(regexp_extract(d.source, '([0-9]+)', 1) AS INT) % 19")} AS source,
     {pick(fx.TITLE_PREFIX, "b.g % 8")} || pt.p_name || CASE WHEN b.g % 3 = 0 THEN ' - Remote' ELSE '' END AS title,
     s.s_name AS company_name,
-    CASE WHEN d.doc_id % 23 = 0 THEN 'https://api.smartrecruiters.com/v1/companies/b' || (b.g % 10) || '/postings/' || d.doc_id
+    CASE WHEN d.doc_id % 23 = 0 THEN 'https://api.smartrecruiters.com/v1/companies/b' || (b.g % (SELECT count(*) FROM supplier)) || '/postings/' || d.doc_id
          WHEN d.doc_id % 2 = 1 THEN regexp_replace(p.url, '^http:', 'https:') ELSE p.url END AS apply_url,
     CASE WHEN d.doc_id % 2 = 0 THEN (d.doc_id % 9) || '+ years. ' ELSE '' END || {pick(fx.BODY_NOTES, "d.doc_id % 7")} || d.text AS description_text,
     p.html AS description_html,
@@ -69,26 +69,26 @@ listings AS (
   FROM documents d
   JOIN (SELECT doc_id, doc_id % (SELECT count(*) FROM pages) AS g, (doc_id * 7919) % (SELECT count(*) FROM events) AS ek FROM documents) b USING (doc_id)
   JOIN pages p ON p.page_id = b.g
-  JOIN part pt ON pt.p_partkey = b.g % 40
-  JOIN supplier s ON s.s_suppkey = b.g % 10
+  JOIN part pt ON pt.p_partkey = b.g % (SELECT count(*) FROM part)
+  JOIN supplier s ON s.s_suppkey = b.g % (SELECT count(*) FROM supplier)
   JOIN nation n ON n.n_nationkey = d.doc_id % 25
   JOIN events e ON e.event_id = b.ek
   LEFT JOIN embeddings v ON v.vec_id = d.doc_id
 )"""
 
-HEAD800 = "(title || ' ' || left(description_text, 800))"
-HEAD2500 = r"(title || E'\n' || left(description_text, 2500))"
+SPACED = "(title || ' ' || description_text)"
+LINED = r"(title || E'\n' || description_text)"
 _STAGE = f"""CASE
       WHEN {rx('title', lx.INTERN_TITLE)} OR contains(lower(coalesce(employment_raw, '')), 'intern') THEN 'internship'
       WHEN {rx('title', lx.SENIOR_TITLE)} THEN 'senior'
       WHEN {rx('title', lx.NEW_GRAD_TITLE)} THEN 'new_grad'
       WHEN {rx('title', lx.JUNIOR_TITLE)} THEN 'junior'
       WHEN {rx('title', lx.MID_TITLE)} THEN 'mid'
-      WHEN {rx(HEAD800, lx.INTERN_TITLE)} THEN 'internship'
+      WHEN {rx(SPACED, lx.INTERN_TITLE)} THEN 'internship'
       ELSE 'unknown' END"""
 _YEARS_RE = lx.YEARS_PATTERN.replace(r"(?i)\b", "(?i)(?:^|[^\\pL\\p{Nd}_])", 1).removesuffix(r"\b")
-_YEARS = f"""CASE WHEN {rx(HEAD2500, lx.ZERO_YEARS)} THEN 0 ELSE
-      list_min(list_filter(list_transform(regexp_extract_all({HEAD2500}, {q(_YEARS_RE)}, 1), lambda x: TRY_CAST(x AS INT)), lambda x: x <= 15)) END"""
+_YEARS = f"""CASE WHEN {rx(LINED, lx.ZERO_YEARS)} THEN 0 ELSE
+      list_min(list_filter(list_transform(regexp_extract_all({LINED}, {q(_YEARS_RE)}, 1), lambda x: TRY_CAST(x AS INT)), lambda x: x <= 15)) END"""
 
 
 def skill_list(blob: str, lexicon: dict) -> str:
@@ -192,7 +192,10 @@ searches AS (
     {pick([None, None, 'the, and', 'python'], 'n_nationkey % 4')} AS skills_csv,
     {pick(['10', '90', None, 'x', '3'], 'n_nationkey % 5')} AS posted_within,
     {pick([None, 'junior', None, 'senior', None], 'n_nationkey % 5')} AS career_stage_wanted,
-    n_nationkey % 6 = 5 AS region_wanted, TIMESTAMP '2024-01-24 00:00:00' AS last_checked_at
+    n_nationkey % 6 = 5 AS region_wanted, TIMESTAMP '2024-01-24 00:00:00' AS last_checked_at,
+    CASE n_nationkey % 7 WHEN 2 THEN 'berlin' WHEN 4 THEN 'lahore' END AS city, CASE n_nationkey % 8 WHEN 3 THEN 'germany' WHEN 6 THEN 'canada' END AS country,
+    CASE WHEN n_nationkey % 3 = 1 THEN 'supplier' END AS company, CASE WHEN n_nationkey % 5 = 4 THEN 'full' END AS employment,
+    CASE WHEN n_nationkey % 9 = 8 THEN 'lever' END AS wanted_source, n_nationkey % 8 = 3 AS junior_wanted, n_nationkey % 10 <> 9 AS search_on
   FROM nation
 )"""
 

@@ -55,10 +55,7 @@ def _(spark, sf):
     return spark.read.parquet(store).select(*SHOWN)
 
 
-ALL_MATCHES = ALERT_CTES.replace("QUALIFY position <= 20", "")
-
-
-@query("stream_alerts", "E2 J11", with_enriched("SELECT search_id, id AS listing_id FROM m", ALL_MATCHES))
+@query("stream_alerts", "E2 J11", with_enriched("SELECT search_id, id AS listing_id FROM m", ALERT_CTES))
 def _(spark, sf):
     landed, out = shared_folder(spark, "rows"), shared_folder(spark, "alerts")
     rows = fx.enriched(spark, sf).drop("embedding", "seniority_signals", "description_html")

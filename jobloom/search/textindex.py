@@ -15,7 +15,6 @@ from jobloom.runtime import broadcast_if_small, hot_join
 
 TOKEN = r"[\p{L}\p{Nd}]+[+#]*"
 WEIGHT_TITLE, WEIGHT_TAGS, WEIGHT_BODY = 1.0, 0.4, 0.2
-BODY_CHARS = 8000  # length of body that the index covers, as its definition says
 
 
 def tokens(c: Column) -> Column:
@@ -34,7 +33,7 @@ def build_index(df: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     tags = F.array_join(F.coalesce("skills", F.array().cast(NO_TAGS)), " ")
     fields = F.concat(
         part(F.col("title"), WEIGHT_TITLE), part(F.col("company_name"), WEIGHT_TITLE),
-        part(tags, WEIGHT_TAGS), part(F.left("description_text", F.lit(BODY_CHARS)), WEIGHT_BODY),
+        part(tags, WEIGHT_TAGS), part(F.col("description_text"), WEIGHT_BODY),
     )
     rows = df.select("id", "title", "company_name", "skills", "description_text").repartition("id").select("id", fields.alias("fields"))
     rows = rows.select("id", F.size("fields").alias("doc_length"), F.posexplode("fields").alias("pos", "f"))

@@ -309,12 +309,12 @@ def normalize_source(raw: DataFrame, source: str, as_of, days: int) -> DataFrame
     fields = F.struct(title.alias("title"), raw_title.alias("raw"), body_text.alias("body"), tags.alias("tags"))
     kept = let(fields, lambda x: _keeps(spec, x["title"], x["raw"], x["body"], x["tags"]))
     rows = items.filter(kept).select(
-        F.lit(source).alias("source"), F.left(external, F.lit(240)).alias("external_id"), title.alias("title"),
+        F.lit(source).alias("source"), external.alias("external_id"), title.alias("title"),
         company.alias("company_name"), (urls.normalize_url(_first(spec["company_url"])) if "company_url" in spec else F.col("company_url")).alias("company_url"),
         F.coalesce(urls.normalize_url(_first(spec["career"])) if "career" in spec else F.lit(None), F.col("career_page_url"), link).alias("career_page_url"),
         link.alias("apply_url"), (F.coalesce(blank_to_null(body_text), title) if spec.get("body_or_title") else body_text).alias("description_text"),
         html.alias("description_html"), place.alias("location_raw"), workplace.alias("workplace_type"),
-        F.left(employment, F.lit(60)).alias("employment_type"), level.alias("source_level"), tags.alias("source_tags"),
+        employment.alias("employment_type"), level.alias("source_level"), tags.alias("source_tags"),
         stage_title.alias("stage_title"), posted.alias("posted_at"),
         (times.parse_instant(_first(spec["expires"])) if "expires" in spec else F.lit(None).cast("timestamp")).alias("expires_at"), *carry,
     ).filter("title <> '' and company_name <> ''")

@@ -4,10 +4,10 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def run_log_rows(batch: DataFrame, upserted: DataFrame, errors: DataFrame, started_at, finished_at) -> DataFrame:
-    """One row per source: fetched and stored counts, error cut to 2000."""
+    """One row per source: fetched and stored counts, and the whole error."""
     fetched = batch.groupBy("source").agg(F.count(F.lit(1)).alias("jobs_fetched"))
     stored = upserted.groupBy("source").agg(F.count(F.lit(1)).alias("jobs_upserted"))
-    said = errors.select("source", F.left("error", F.lit(2000)).alias("errors"))
+    said = errors.select("source", F.col("error").alias("errors"))
     j = fetched.join(stored, "source", "full_outer").join(said, "source", "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return j.select("source", started_at.alias("started_at"), finished_at.alias("finished_at"), zero("jobs_fetched"), zero("jobs_upserted"), "errors")
