@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobloom.functions import origin, urls
 from jobloom.functions.text import strip, text
-from jobloom.runtime import earliest
+from jobloom.runtime import earliest, settle, union_all
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -40,45 +40,59 @@ def batch_dedupe(df: DataFrame, seq: str = "seq") -> DataFrame:
     return best_per_link(last_per_listing(usable(df), seq))
 
 
-def _flag_losers(df: DataFrame, candidates: DataFrame, keys, order, flag: str) -> DataFrame:
-    """Mark the candidate rows that are not first in their key."""
-    winners = earliest(candidates.select(*keys, *order, "id"), keys, [F.col(c) for c in order], ["id"])
-    losers = candidates.select("id").join(winners.select("id"), "id", "left_anti").withColumn(flag, F.lit(True))
-    return df.join(losers, "id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+def _losers(candidates: DataFrame, keys, order) -> DataFrame:
+    """Ids of the candidate rows that are not first in their key."""
+    winners = earliest(candidates.select(*keys, *order), keys, [F.col(c) for c in order], ["id"])
+    return candidates.select("id").join(winners.select("id"), "id", "left_anti")
 
 
-def flag_link_duplicates(df: DataFrame) -> DataFrame:
-    """``dup_link`` on active rows whose coarse link has a better row.
+def _flagged(df: DataFrame, losers: DataFrame, flag: str) -> DataFrame:
+    return df.join(losers.withColumn(flag, F.lit(True)), "id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+LINK_ORDER = ["_pref", "first_seen_at", "id"]
+TITLE_ORDER = ["_pref", "_dated", "first_seen_at", "id"]
+TITLE_KEY = ["_title", "_company", "_stage"]
+
+
+def _linked(df: DataFrame) -> DataFrame:
+    """Rows with a link; the others would all meet under one empty key."""
+    return df.withColumn("_key", urls.catalogue_apply_key(F.col("apply_url"))).filter("_key <> ''")
 
-    Rows without a link are left out first; otherwise they would all meet
-    under one empty key.
-    """
-    slim = df.select("id", "source", "first_seen_at", "apply_url", "is_active").filter("is_active").withColumns({
-        "_key": urls.catalogue_apply_key(F.col("apply_url")),
-        "_pref": origin.source_preference(F.col("source")),
-    }).filter("_key <> ''")
-    return _flag_losers(df, slim, ["_key"], ["_pref", "first_seen_at", "id"], "dup_link")
 
+def _titled(df: DataFrame) -> DataFrame:
+    return df.withColumns({
+        "_title": F.lower(F.trim("title")), "_company": F.lower(F.trim("company_name")),
+        "_stage": F.coalesce("career_stage", F.lit("unknown")), "_dated": F.when(F.col("posted_at").isNotNull(), 0).otherwise(1),
+    })
 
-def title_company_key() -> list[Column]:
-    return [
-        F.lower(F.trim("title")).alias("_title"), F.lower(F.trim("company_name")).alias("_company"),
-        F.coalesce("career_stage", F.lit("unknown")).alias("_stage"),
-    ]
+
+def _live(df: DataFrame) -> DataFrame:
+    return df.filter("is_active").withColumn("_pref", origin.source_preference(F.col("source")))
+
+
+def flag_link_duplicates(df: DataFrame) -> DataFrame:
+    """``dup_link`` on active rows whose coarse link has a better row."""
+    return _flagged(df, _losers(_linked(_live(df)), ["_key"], LINK_ORDER), "dup_link")
 
 
 def flag_title_duplicates(df: DataFrame, among: Column | None = None) -> DataFrame:
     """``dup_title`` on active rows whose title, company and stage has a better row."""
-    live = F.col("is_active") if among is None else F.col("is_active") & among
-    slim = df.filter(live).select(
-        "id", "first_seen_at", *title_company_key(), origin.source_preference(F.col("source")).alias("_pref"),
-        F.when(F.col("posted_at").isNotNull(), 0).otherwise(1).alias("_dated"),
-    )
-    return _flag_losers(df, slim, ["_title", "_company", "_stage"], ["_pref", "_dated", "first_seen_at", "id"], "dup_title")
+    rows = _live(df) if among is None else _live(df).filter(among)
+    return _flagged(df, _losers(_titled(rows), TITLE_KEY, TITLE_ORDER), "dup_title")
 
 
 def suppress_duplicates(df: DataFrame) -> DataFrame:
-    """Deactivate link duplicates, then title duplicates among the survivors."""
-    df = flag_link_duplicates(df)
-    df = flag_title_duplicates(df, ~F.col("dup_link"))
-    return df.withColumn("is_active", F.col("is_active") & ~F.col("dup_link") & ~F.col("dup_title"))
+    """Deactivate link duplicates, then title duplicates among the survivors.
+
+    Both rules work on one slim table of keys, written once; the catalogue is
+    read for it and for the final join, whatever stands below it.  Adds
+    ``dup_link`` and ``dup_title``.
+    """
+    slim = _titled(_live(df).withColumn("_key", urls.catalogue_apply_key(F.col("apply_url"))))
+    slim = settle(slim.select("id", "_key", *TITLE_KEY, "_pref", "_dated", "first_seen_at"), "keys")
+    by_link = settle(_losers(slim.filter("_key <> ''"), ["_key"], LINK_ORDER), "losers")
+    by_title = _losers(slim.join(by_link, "id", "left_anti"), TITLE_KEY, TITLE_ORDER)
+    losers = union_all([by_link.withColumn("_why", F.lit("link")), by_title.withColumn("_why", F.lit("title"))])
+    why = df.join(losers, "id", "left").withColumns({c: F.coalesce(F.col("_why") == w, F.lit(False)) for c, w in (("dup_link", "link"), ("dup_title", "title"))})
+    return why.withColumn("is_active", F.col("is_active") & F.col("_why").isNull()).drop("_why")
