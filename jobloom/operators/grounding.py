@@ -69,7 +69,7 @@ def match_panel(original: Column, keywords: Column, found_skills: Column) -> Col
     )
 
 
-KEY_TABLE = {alias: key for key, names in lx.SECTION_KEYS.items() for alias in names}
+KEY_TABLE = lx.SECTION_KEY
 
 
 def section_key(heading: Column) -> Column:
@@ -147,7 +147,7 @@ def merge_sections(items: DataFrame) -> DataFrame:
     """
     clean = F.regexp_replace(squash(text(F.col("item"))), r"^[•\-*–—]+\s*", "")
     rows = items.select("doc_id", "pos", section_key(F.col("heading")).alias("section"), strip_heading_echo(clean, F.col("heading")).alias("item"))
-    bare = (F.size(F.split("item", " ")) <= 4) & section_key(F.col("item")).isin(list(lx.SECTION_KEYS)) & (F.length("item") <= 48)
+    bare = (F.size(F.split("item", " ")) <= 4) & section_key(F.col("item")).isin(sorted(set(lx.SECTION_KEY.values()))) & (F.length("item") <= 48)
     rows = rows.withColumn("nk", norm_item(F.col("item"))).filter((F.length("nk") > 0) & ~bare)
     once = rows.groupBy("doc_id", "section", "item", "nk").agg(F.min("pos").alias("pos"))
     lists = once.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "nk", "item"))).alias("xs"))
@@ -229,7 +229,7 @@ def aligned_entries(base: DataFrame, derived: DataFrame) -> DataFrame:
 
 def category(skill: Column) -> Column:
     """Category of a skill by name, else by a shared fragment."""
-    by_name = {s: c for c, names in lx.SKILL_CATEGORIES.items() for s in names}
+    by_name = lx.SKILL_CATEGORY
     part = F.lit(lx.CATEGORY_FALLBACK)
     for name, cat in reversed(list(by_name.items())):
         if len(name) >= 3:

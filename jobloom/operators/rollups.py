@@ -131,7 +131,7 @@ def title_suggestions(df: DataFrame, prefixes: DataFrame, as_of, days, limit: in
 
 def landing_dim(spark, table: dict | None = None) -> DataFrame:
     """tag -> landing slug: a fixed table of a few dozen rows."""
-    rows = sorted((table or lx.landing_slug_by_tag()).items())
+    rows = sorted((table or lx.SKILL_LANDING_SLUGS).items())
     return spark.createDataFrame(rows, "tag string, slug string")
 
 

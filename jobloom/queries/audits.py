@@ -90,7 +90,7 @@ def _(spark, sf):
 
 BULLET = r"'^[•\-*–—]+\s*'"
 NK = lambda c: squash(f"regexp_replace(regexp_replace(lower({c}), {BULLET}, ''), '[^\\pL\\p{{Nd}}_\\s]', ' ', 'g')")
-SECTION_NAMES = ", ".join(q(k) for k in lx.SECTION_KEYS)
+SECTION_NAMES = ", ".join(q(k) for k in sorted(set(lx.SECTION_KEY.values())))
 ITEM_CLEAN = squash(r"regexp_replace(lower(it), '[^\pL\p{Nd}_\s&+/]', ' ', 'g')")
 ITEM_KEY = f"coalesce({map_sql(grounding.KEY_TABLE, q)}[{ITEM_CLEAN}], '')"
 FOLD = """list_reduce(list_transform(xs, lambda x: [{'nk': x.nk, 'it': x.it}]), lambda acc, b: CASE
@@ -121,13 +121,13 @@ def _(spark, sf):
     return grounding.flattened_documents(fx.table(spark, sf, "documents").select("doc_id", headed.alias("text")))
 
 
-BAN_NOTE = ["", "Tailored for you.", "An AI-generated draft generated for review", "job match score: 9"]
+BAN_NOTE = ["", "Tailored for you.", "An AI-generated draft generated for review", "job match score: 9", "OPTIMIZED FOR robots, prepared for all", "Optimized using AI; ats score 7"]
 BAN_HITS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {q(sv.wordy(p))}) THEN {q(n)} END" for n, p in lx.BANNED_PHRASES) + "], lambda x: x IS NOT NULL)"
 
 
-@query("banned_phrases", "R11", f"SELECT doc_id, unnest({BAN_HITS}) AS phrase FROM (SELECT doc_id, text || chr(10) || {sv.pick(BAN_NOTE, 'doc_id % 4')} AS text FROM documents)")
+@query("banned_phrases", "R11", f"SELECT doc_id, unnest({BAN_HITS}) AS phrase FROM (SELECT doc_id, text || chr(10) || {sv.pick(BAN_NOTE, 'doc_id % 6')} AS text FROM documents)")
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n"), fx.pick(BAN_NOTE, C("doc_id") % 4)).alias("text"))
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n"), fx.pick(BAN_NOTE, C("doc_id") % 6)).alias("text"))
     return grounding.banned_phrases(docs)
 
 

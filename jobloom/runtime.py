@@ -28,12 +28,16 @@ def local_session(cores: str = "8", shuffle: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's checkpoint folder.
 
-    Only where the session names none, as in tests, is a local one set.
+    Only where the session names none and runs on one machine, as in tests, is
+    a local one set; a cluster without a shared folder is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isEmpty():
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get()
