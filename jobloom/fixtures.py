@@ -4,6 +4,8 @@ Each view is a join of whole tables, so its work grows with them.  The same
 rules are stated in SQL in ``queries/sql_views.py`` for the checks.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobloom import lexicons as lx
@@ -48,17 +50,24 @@ def row_count(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
+def sizes(**tables: DataFrame) -> DataFrame:
+    """One row with the number of rows of each table, under the names given."""
+    counted = [df.agg(F.count(F.lit(1)).alias(name)) for name, df in tables.items()]
+    return reduce(DataFrame.crossJoin, counted)
+
+
 def listings(spark: SparkSession, sf: str) -> DataFrame:
     documents, pages, events, parts, suppliers = (table(spark, sf, t) for t in ("documents", "pages", "events", "part", "supplier"))
     documents = spread(documents.select("doc_id", "text", "source"), "doc_id")
     doc = F.col("doc_id")
-    rows = documents.select(
+    counts = sizes(n_pages=pages, n_events=events, n_parts=parts, n_suppliers=suppliers)
+    rows = documents.crossJoin(F.broadcast(counts)).select(
         "doc_id", F.col("text").alias("body"),
         (F.regexp_extract("source", r"(\d+)", 1).cast("int") % 19).alias("si"),
-        (doc % row_count(pages)).alias("g"),
-        (doc * 7919 % row_count(events)).alias("ek"),
-        (doc % 25).cast("int").alias("nk"),
-    ).withColumns({"pk": F.col("g") % row_count(parts), "sk": F.col("g") % row_count(suppliers)})
+        (doc % F.col("n_pages")).alias("g"),
+        (doc * 7919 % F.col("n_events")).alias("ek"),
+        (doc % 25).cast("int").alias("nk"), "n_parts", "n_suppliers",
+    ).withColumns({"pk": F.col("g") % F.col("n_parts"), "sk": F.col("g") % F.col("n_suppliers")})
     part = parts.select(F.col("p_partkey").alias("pk"), "p_name")
     supplier = suppliers.select(F.col("s_suppkey").alias("sk"), "s_name")
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nk"), "n_name")
