@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from jobloom import fixtures as fx, lexicons as lx
+from jobloom.functions import enrich
 from jobloom.operators import filters, throttle
 from jobloom.operators.matching import profile_side
 from jobloom.operators.ranking import relevance_order
@@ -152,21 +153,27 @@ def _(spark, sf):
 
 
 HASHED = f"hashed AS (SELECT *, left(sha256({DOC}), 40) AS new_hash FROM enriched)"
-DUE = f"{FRESH} AND apply_url IS NOT NULL AND (embedding IS NULL OR embedding_provider <> 'a' OR id % 3 <> 0)"
+KEPT = "(embedding IS NOT NULL AND embedding_provider = 'a' AND id % 3 = 1)"
+DUE = f"{FRESH} AND apply_url IS NOT NULL AND NOT {KEPT}"
 
 
-@query("plan_embedding", "T9 F8 P21", with_enriched(f"SELECT id, new_hash, CASE WHEN row_number() OVER (ORDER BY last_seen_at DESC, id) <= 100 THEN 'selected' ELSE 'deferred' END AS outcome FROM hashed WHERE {DUE}", HASHED))
+def hashed(spark, sf):
+    """Listings whose vector is of an old text, of the present one, or of none known."""
+    df = fx.enriched(spark, sf)
+    now = enrich.embedding_hash(*[C(c) for c in ("title", "company_name", "skills", "career_stage", "workplace_type", "description_text")])
+    return df.withColumn("embedding_hash", F.when(C("id") % 3 == 0, "old").when(C("id") % 3 == 1, now))
+
+
+@query("plan_embedding", "T9 F8 P21", with_enriched(f"SELECT id, new_hash, CASE WHEN row_number() OVER (ORDER BY last_seen_at DESC, id) <= 100 THEN 'selected' ELSE 'deferred' END AS outcome FROM hashed WHERE {DUE} UNION ALL SELECT id, new_hash, 'skipped' FROM hashed WHERE {FRESH} AND apply_url IS NOT NULL AND {KEPT}", HASHED))
 def _(spark, sf):
-    df = fx.enriched(spark, sf).withColumn("embedding_hash", F.when(C("id") % 3 == 0, "known"))
-    return embedding.plan_embedding(df, "a", NOW, DAYS, 100).select("id", "new_hash", "outcome")
+    return embedding.plan_embedding(hashed(spark, sf), "a", NOW, DAYS, 100).select("id", "new_hash", "outcome")
 
 
 @query("embed_pass_stats", "G13 T9", with_enriched(f"SELECT least(count(*), 100) AS candidates, least(count(*), 100) AS processed, 0 AS skipped, 0 AS failed, 0 AS remaining, 'SUCCESS' AS status FROM hashed WHERE {DUE}", HASHED))
 def _(spark, sf):
     from jobloom.operators.rollups import embed_pass_stats
 
-    df = fx.enriched(spark, sf).withColumn("embedding_hash", F.when(C("id") % 3 == 0, "known"))
-    return embed_pass_stats(embedding.incremental_embed(df, "a", NOW, DAYS, 100))
+    return embed_pass_stats(embedding.incremental_embed(hashed(spark, sf), "a", NOW, DAYS, 100))
 
 
 @query("search_pages", "O1 O4 T3", with_enriched(f"SELECT query_id, id, 11.0 - row_number() OVER (PARTITION BY query_id ORDER BY {FADED} DESC, {TRUST}, CASE WHEN posted_at IS NULL THEN 1 ELSE 0 END, posted_at DESC NULLS LAST, id) AS score FROM hits JOIN enriched USING (id) WHERE {FRESH} QUALIFY score > 0", TEXT))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from jobloom.functions.enrich import embedding_document, embedding_hash
-from jobloom.operators.filters import embed_candidates
+from jobloom.operators.filters import fresh
 
 
 def _parts():
@@ -15,12 +15,13 @@ def _parts():
 
 
 def plan_embedding(df: DataFrame, provider: str, as_of, days, cap: int) -> DataFrame:
-    """Candidates with their new hash and what this pass does with each.
+    """Fresh rows with a link, their new hash, and what this pass does with each.
 
-    Newest-seen rows come first; ``cap`` is the size of one pass and rows past
+    A row whose vector is of this model and of its present text is ``skipped``;
+    a row whose text changed is due again.  Newest-seen rows come first; ``cap`` is the size of one pass and rows past
     it are ``deferred`` to the next.
     """
-    rows = embed_candidates(df, provider, as_of, days).withColumns({
+    rows = fresh(df, as_of, days).filter(F.col("apply_url").isNotNull()).withColumns({
         "new_hash": embedding_hash(*_parts()), "document": embedding_document(*_parts()),
     })
     current = (
