@@ -6,8 +6,8 @@ occurrences that stand within reach of the entity, and PMI(t; e) over the
 entity's own information content, -log p(e), is the part of it that the term
 discloses.  Terms above the upper threshold are removed, those above the
 lower one generalised to their kind.  A term counts only if it accompanies
-the entity in several different surroundings, so that copies of one text, or
-of one passage, are no evidence.
+the entity in several surroundings that differ in most of their terms, so that
+copies of one text or passage, exact or near, are no evidence.
 
 Edge cases: a null or empty text has no spans; equal rows have equal spans;
 entities and terms may be very frequent (counts combine before the shuffle);
@@ -111,16 +111,21 @@ def find(docs: DataFrame, reach: int = 4, text: str = "text") -> DataFrame:
     return docs.withColumn("pii", run(F.col(text)))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, support: int = 3, generalise: float = 0.5, remove: float = 0.9, text: str = "text") -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, support: int = 3, companions: int = 16, generalise: float = 0.5, remove: float = 0.9, text: str = "text") -> DataFrame:
     """(entity, term, disclosed, action): the terms that tell too much about an entity.
 
     ``found`` has the column ``near``; the terms are counted over the texts of
-    ``docs``.  Only terms seen near one entity in ``support`` surroundings are
-    looked up; if they are few they go to the texts, else counts come to them.
+    ``docs``.  Only terms seen near one entity in ``support`` surroundings, and
+    there beside as many different ``companions`` in all (near copies have few),
+    are looked up; if they are few they go to the texts, else counts come to
+    them.
     """
     near = found.select(F.explode("near").alias("n")).select("n.*")
     joint = near.groupBy("entity", "term", "window").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("windows"))
-    pairs = settle(joint.filter(F.col("windows") >= support), "pairs")
+    windows = near.groupBy("entity", "window").agg(F.collect_set("term").alias("terms"))  # the terms within reach
+    beside = windows.select("entity", F.explode("terms").alias("term"), "terms").select("entity", "term", F.explode("terms").alias("other")).filter("term <> other")
+    varied = beside.distinct().groupBy("entity", "term").agg(F.count("*").alias("others")).filter(F.col("others") >= companions)
+    pairs = settle(joint.filter(F.col("windows") >= support).join(varied.select("entity", "term"), ["entity", "term"], "left_semi"), "pairs")
     empty = pairs.isEmpty()
     wanted = pairs.select("term").distinct()
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM_SQL), F.lit(0))).alias("term"))

@@ -60,6 +60,7 @@ def test_disclosing_terms(spark):
     rows = [(i, f"{word()} {word()} Zoebella wrote from {mail} the {word()} {word()}") for i in range(8)]
     rows += [(100 + i, f"{word()} the {word()} x{i}@mail.example.com {word()}") for i in range(30)]
     rows += [(200 + i, f"same words stand beside copy@mail.example.com here always") for i in range(20)]
+    rows += [(240 + i, f"near copies {'of' if i % 3 else 'or'} this passage name near@mail.example.com {'to' if i % 2 else 'for'} all who read it") for i in range(12)]
     rows += [(300, None), (301, ""), (302, "the Zoebella alone"), (303, "the from wrote " * 40)]
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n_chars long, marks string")
     got = {r.doc_id: r for r in pii.search(docs).collect()}
