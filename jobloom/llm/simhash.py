@@ -20,6 +20,7 @@ rows are equal links; ids may repeat or be null (a null id is never the
 least); an empty table gives an empty result.
 """
 
+import math
 import re
 from functools import reduce
 from itertools import combinations
@@ -31,13 +32,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobloom.llm.common import LOWER, SPACED_WORD, UPPER, small_batches
 from jobloom.llm.components import components
-from jobloom.runtime import settle
+from jobloom.runtime import broadcast_if_small, settle
 
 WORD = re.compile(SPACED_WORD)
 LOWERED = str.maketrans(UPPER, LOWER)
 SEED = 42
 CROWD = 32
 PARTS = 16
+COMMON = 1 << 18
 CHUNK = 1 << 16
 
 
@@ -160,28 +162,89 @@ def partial_prints(digests: np.ndarray, similarity: float) -> list[int]:
     return sorted(out)
 
 
-def similar_links(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (u, v) between texts (by hash) whose shingle sets are as similar as asked.
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of shingles that are common among every 32nd text, sorted, with levels that grow with their count.
 
-    Texts that meet under a posting are compared with its least member, so a
-    posting costs its members and not their pairs; a text has up to
-    ``3 * PARTS`` postings and so meets several members of its group.
+    They only shape the order in which the shingles of a text are looked at:
+    any order that is the same for all texts finds the same pairs, and one
+    with rare shingles first makes few candidates.  At most ``COMMON`` rows
+    reach the driver.
     """
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<long>")
-    def posted(texts: pd.Series) -> pd.Series:
-        return pd.Series([partial_prints(shingle_digests(t, width), similarity) for t in texts], dtype=object)
+    def digests(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_digests(t, width).view(np.int64) for t in texts], dtype=object)
+
+    sample = texts.filter(F.pmod("same", F.lit(32)) == 0).dropDuplicates(["same"])
+    counted = sample.select(F.explode(digests("text")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 2")
+    found = counted.orderBy(F.desc("n"), "digest").limit(COMMON).toPandas()
+    hot, level = found["digest"].to_numpy(np.int64).view(np.uint64), np.minimum(127, 8 * np.log2(found["n"].to_numpy(np.float64))).astype(np.uint64)
+    order = np.argsort(hot)
+    return hot[order], level[order]
+
+
+def prefix(digests: np.ndarray, similarity: float, hot: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first shingles in the common order; two sets as similar as asked share one of them at least."""
+    keys = digests >> np.uint64(8)
+    if len(hot) and len(keys):
+        at = np.minimum(np.searchsorted(hot, digests), len(hot) - 1)
+        keys |= np.where(hot[at] == digests, level[at], np.uint64(0)) << np.uint64(56)
+    n = len(keys)
+    return np.sort(keys)[:n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)
+
+
+def shingled(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """same, partial prints, number of shingles and their prefix, of every row of ``texts(same, text)``."""
+    hot, level = common_shingles(texts, width)
+    shared = texts.sparkSession.sparkContext.broadcast((hot, level))
+
+    @F.pandas_udf("parts array<long>, n int, keys array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            digests = shingle_digests(t, width)
+            rows.append((partial_prints(digests, similarity), len(digests), prefix(digests, similarity, *shared.value)))
+        return pd.DataFrame(rows, columns=["parts", "n", "keys"])
+
+    return texts.select("same", run("text").alias("s")).select("same", "s.*")
+
+
+def head_pairs(sketch: DataFrame) -> DataFrame:
+    """Pairs of every text and the least member of each of its postings under partial prints."""
+    postings = settle(sketch.select("same", F.explode("parts").alias("part")).distinct(), "parts")
+    heads = postings.groupBy("part").agg(F.min("same").alias("u"), F.count("*").alias("n")).filter("n > 1")
+    return postings.join(heads, "part").filter(F.col("same") != F.col("u")).select("u", F.col("same").alias("v")).distinct()
+
+
+def open_pairs(sketch: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u, v) of different roots that may be as similar as asked.
+
+    Every such pair shares a shingle of its prefixes, so none is lost.  Only
+    shingles found under several roots are joined.  A pair's common shingles
+    up to the end of the prefix that ends first are all counted, and beyond it
+    no more can be common than that text has left.
+    """
+    placed = sketch.join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    posts = placed.select("same", "root", F.explode("keys").alias("key"))
+    mixed = posts.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    shared = settle(posts.join(mixed, "key").select("key", "same", "root").distinct(), "shared")
+    side = lambda c: shared.select("key", F.col("same").alias(c), F.col("root").alias(f"root_{c}"))
+    met = side("u").join(side("v"), "key").filter("u < v and root_u <> root_v").groupBy("u", "v").agg(F.count("*").alias("c"))
+    slim = settle(sketch.select("same", "n", (F.col("n") - F.size("keys")).alias("left"), F.array_max("keys").alias("end")).filter("n > 0").dropDuplicates(["same"]), "ends")
+    ends = lambda c: slim.select(F.col("same").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "left", "end")])
+    most = F.col("c") + F.when(F.col("end_u") < F.col("end_v"), F.col("left_u")).when(F.col("end_u") > F.col("end_v"), F.col("left_v")).otherwise(F.least("left_u", "left_v"))
+    alike = (most >= similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v")) - 1e-6) & (F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-6)
+    return met.join(ends("u"), "u").join(ends("v"), "v").filter(alike).select("u", "v")
+
+
+def similar_links(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of texts (by hash) whose shingle sets are as similar as asked."""
 
     @F.pandas_udf("array<int>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique((shingle_digests(t, width) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in texts], dtype=object)
 
-    texts = docs.select(F.xxhash64("text").alias("same"), F.coalesce("text", F.lit("")).alias("text"))
-    postings = settle(texts.select("same", F.explode(posted("text")).alias("part")).distinct(), "parts")
-    heads = postings.groupBy("part").agg(F.min("same").alias("u"), F.count("*").alias("n")).filter("n > 1")
-    pairs = settle(postings.join(heads, "part").filter(F.col("same") != F.col("u")).select("u", F.col("same").alias("v")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("same")).distinct()
+    wanted = broadcast_if_small(settle(pairs.select(F.explode(F.array("u", "v")).alias("same")).distinct(), "wanted"))
     sets = settle(texts.join(wanted, "same", "left_semi").dropDuplicates(["same"]).select("same", shingles("text").alias("set")), "sets")
     side = lambda c: sets.select(F.col("same").alias(c), F.col("set").alias(f"set_{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
@@ -189,6 +252,23 @@ def similar_links(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return both.filter(shared >= similarity * (F.size("set_u") + F.size("set_v") - shared)).select("u", "v")
 
 
+def linked(docs: DataFrame, known: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, root) over ``known`` links and all links between texts as similar as asked.
+
+    Texts are first compared with the heads of their postings only, which
+    connects most groups at the cost of their members; then all pairs that are
+    still apart and may be similar are compared.
+    """
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.xxhash64("text").alias("same"), F.coalesce("text", F.lit("")).alias("text"))
+    sketch = settle(shingled(texts, width, similarity), "sketch")
+    roots = components(known.union(similar_links(texts, settle(head_pairs(sketch), "pairs"), width, similarity)))
+    apart = settle(open_pairs(sketch, roots, similarity), "apart")
+    if apart.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(similar_links(texts, apart, width, similarity)))
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of every group of near-duplicates, with all its columns.
 
@@ -202,7 +282,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     grouped = rows.join(classes(rows), "fingerprint").select("same", "component_id").distinct()
     heads = grouped.groupBy("component_id").agg(F.min("same").alias("u"))
     by_print = grouped.join(heads, grouped.component_id.eqNullSafe(heads.component_id)).select("u", F.col("same").alias("v")).filter("u <> v")
-    roots = components(by_print.union(similar_links(docs, width, similarity))).withColumnRenamed("node", "same")
+    roots = linked(docs, by_print, width, similarity).withColumnRenamed("node", "same")
     placed = rows.join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
     chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_best"))
     return docs.withColumn("_key", key).join(chosen.select("_best._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

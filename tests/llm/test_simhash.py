@@ -129,3 +129,34 @@ def test_keep_one_finds_similar_texts(spark):
     want = {i for i in range(len(texts)) if find(i) == i}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+
+
+def test_keep_one_links_a_star(spark):
+    """One base with copies that resemble it but not each other, against all pairs."""
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=7))
+    base = [word() for _ in range(304)]
+    texts = [" ".join(base)]
+    for _ in range(500):
+        w = list(base)
+        at = rng.randrange(0, 50)
+        for k in range(6):
+            w[at + 50 * k] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(word() for _ in range(300)) for _ in range(20)]
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    near = [len(s & sets[0]) / len(s | sets[0]) for s in sets[1:501]]
+    assert 0.81 < min(near) and max(near) < 0.85
+    for a in range(len(texts)):
+        for b in range(a):
+            if find(a) != find(b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
