@@ -4,8 +4,9 @@ A text of natural language compresses by a factor that depends on its length.
 Each length band has a lower and an upper limit for the zstandard ratio
 (bytes before over bytes after); beyond them a whole document is repetitive
 or incompressible.  Long documents are also cut into fixed chunks, whose
-ratios have limits of their own: a document fails if chunks outside them hold
-too large a share of its bytes.
+ratios have limits of their own; a shorter last chunk has those of a whole
+document of its length.  A document fails if chunks outside them hold too large
+a share of its bytes.
 
 Edge cases: a null or empty text has no words and fails the base rule; rows
 are judged one by one, so repeated rows and extra columns have no effect.
@@ -48,11 +49,14 @@ def ratio(data: bytes, compressor) -> float:
 def band_verdict(data: bytes, bands: Bands, compressor) -> tuple[float, float, bool]:
     """Ratio of the whole, share of bytes in chunks outside the limits, passed."""
     whole = ratio(data, compressor)
-    low, high = next((a, b) for upto, a, b in bands.whole if upto is None or len(data) <= upto)
+    limits = lambda n: next((a, b) for upto, a, b in bands.whole if upto is None or n <= upto)
+    low, high = limits(len(data))
     size = bands.chunk_bytes
     bad = 0
-    for at in range(0, len(data) - size + 1, size):
-        bad += size * (not bands.chunk[0] <= ratio(data[at:at + size], compressor) <= bands.chunk[1])
+    for at in range(0, len(data) if len(data) >= size else 0, size):
+        chunk = data[at:at + size]
+        least, most = bands.chunk if len(chunk) == size else limits(len(chunk))
+        bad += len(chunk) * (not least <= ratio(chunk, compressor) <= most)
     share = bad / len(data) if data else 0.0
     return whole, share, low <= whole <= high and share < bands.bad_share
 

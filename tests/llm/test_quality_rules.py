@@ -51,3 +51,23 @@ def test_edge_cases(spark):
         assert counts(rows[i]) == brute(t)
     assert rows[5].kept and not rows[4].kept and not rows[6].in_bands and not rows[7].kept
     assert quality_rules.measures(docs.limit(0)).count() == 0
+
+
+def test_every_part_is_judged():
+    rng = random.Random(8)
+    letters = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(n)).encode()[:n]
+    compressor = quality_rules.zstandard.ZstdCompressor(level=3)
+    verdict = lambda *parts: quality_rules.band_verdict(b"".join(parts), quality_rules.Bands(), compressor)
+    noise = lambda n: base64.b64encode(rng.randbytes(n))[:n]
+    again = lambda n: (b"the same again " * n)[:n]
+    for size in (5000, 8000, 12000):
+        assert verdict(letters(size))[1:] == (0.0, True)
+        for bad in (noise, again):
+            n = size * 3 // 4
+            k = size - n
+            for parts in ((bad(n), letters(k)), (letters(k // 2), bad(n), letters(k - k // 2)), (letters(k), bad(n))):
+                assert not verdict(*parts)[2], (size, bad(9), [len(x) for x in parts])
+    for tail, size in ((noise, 8000), (noise, 6000), (again, 6000)):
+        n = size - 4096
+        _, share, passed = verdict(letters(4096), tail(n))
+        assert share == n / size and not passed
