@@ -7,7 +7,9 @@ entity's own information content, -log p(e), is the part of it that the term
 discloses.  Terms above the upper threshold are removed, those above the
 lower one generalised to their kind.  A term counts only if it accompanies
 the entity in several surroundings that differ in most of their terms, so that
-copies of one text or passage, exact or near, are no evidence.
+copies of one text or passage, exact or near, are no evidence.  A term that
+discloses an entity does so wherever it stands, also in texts without the
+entity, and is treated everywhere.
 
 Edge cases: a null or empty text has no spans; equal rows have equal spans;
 entities and terms may be very frequent (counts combine before the shuffle);
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from jobloom.llm.common import small_batches
-from jobloom.runtime import broadcast_if_small, settle
+from jobloom.runtime import BROADCAST_ROWS, broadcast_if_small, settle
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -34,6 +36,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 TERM = re.compile(r"[^\W_]+")
 TERM_SQL = r"[\p{L}\p{N}]+"
+ENOUGH = 16
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -111,20 +114,23 @@ def find(docs: DataFrame, reach: int = 4, text: str = "text") -> DataFrame:
     return docs.withColumn("pii", run(F.col(text)))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, support: int = 3, companions: int = 16, generalise: float = 0.5, remove: float = 0.9, text: str = "text") -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, support: int = 3, companions: float = 1 / 3, generalise: float = 0.5, remove: float = 0.9, text: str = "text") -> DataFrame:
     """(entity, term, disclosed, action): the terms that tell too much about an entity.
 
     ``found`` has the column ``near``; the terms are counted over the texts of
     ``docs``.  Only terms seen near one entity in ``support`` surroundings, and
-    there beside as many different ``companions`` in all (near copies have few),
-    are looked up; if they are few they go to the texts, else counts come to
-    them.
+    whose further surroundings bring that share ``companions`` of new neighbours on
+    average (near copies bring few; past ``ENOUGH`` surroundings no more are asked,
+    as words of a language recur), are looked up; if they are few they go to the
+    texts, else counts come to them.
     """
     near = found.select(F.explode("near").alias("n")).select("n.*")
     joint = near.groupBy("entity", "term", "window").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("windows"))
     windows = near.groupBy("entity", "window").agg(F.collect_set("term").alias("terms"))  # the terms within reach
     beside = windows.select("entity", F.explode("terms").alias("term"), "terms").select("entity", "term", F.explode("terms").alias("other")).filter("term <> other")
-    varied = beside.distinct().groupBy("entity", "term").agg(F.count("*").alias("others")).filter(F.col("others") >= companions)
+    others = beside.groupBy("entity", "term", "other").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("others"), F.sum("n").alias("beside"))
+    each, more = F.col("beside") / F.col("windows"), F.least("windows", F.lit(ENOUGH)) - 1
+    varied = others.join(joint, ["entity", "term"]).filter(F.col("others") >= each * (1 + companions * more) - 1e-9)
     pairs = settle(joint.filter(F.col("windows") >= support).join(varied.select("entity", "term"), ["entity", "term"], "left_semi"), "pairs")
     empty = pairs.isEmpty()
     wanted = pairs.select("term").distinct()
@@ -152,11 +158,61 @@ def term_marks(found: DataFrame, told: DataFrame) -> DataFrame:
     return hit.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("first", "last", "action"))).alias("marks"))
 
 
-def search(docs: DataFrame, reach: int = 4, **limits) -> DataFrame:
-    """doc_id, spans and marks of every row of ``docs(doc_id, text)``."""
-    found = settle(find(docs.select("doc_id", "text"), reach).select("doc_id", _key().alias("_key"), "pii.*"), "found")
+MARKS = "array<struct<first: long, last: long, action: string>>"
+
+
+def marks_of(text: str, told: dict[str, str]) -> list[tuple[int, int, str]]:
+    """Every occurrence of a told term outside base spans."""
+    hits = [(m.start(), m.end(), action) for m in TERM.finditer(text) if (action := told.get(m.group().lower()))]
+    if not hits:
+        return hits
+    begins, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base_spans(text)):
+        begins.append(a)
+        ends.append(max(b, ends[-1] if ends else 0))
+    return [(x, y, action) for x, y, action in hits if not (k := bisect_left(begins, y)) or ends[k - 1] <= x]
+
+
+def with_marks(docs: DataFrame, told: DataFrame, name: str = "marks") -> DataFrame:
+    """Add the places of all terms of ``told``, which tell wherever they stand; null if a text has none.
+
+    A bounded number of terms goes to the texts; more are joined to the terms of
+    the texts, of which each is sent once per text.
+    """
+    terms = told.groupBy("term").agg(F.max("action").alias("action"))
+    few = terms.limit(BROADCAST_ROWS + 1).collect()
+    if len(few) <= BROADCAST_ROWS:
+        shared = docs.sparkSession.sparkContext.broadcast({r.term: r.action for r in few})
+
+        @F.pandas_udf(MARKS)
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series([[dict(zip(("first", "last", "action"), m)) for m in marks_of(t, shared.value)] or None for t in texts.fillna("")], dtype=object)
+
+        return docs.withColumn(name, run("text"))
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({w.lower() for w in TERM.findall(t)}) for t in texts.fillna("")], dtype=object)
+
+    @F.pandas_udf(MARKS)
+    def placed(texts: pd.Series, found: pd.Series) -> pd.Series:
+        none = lambda f: f is None or len(f) == 0
+        return pd.Series([None if none(f) else [dict(zip(("first", "last", "action"), m)) for m in marks_of(t, {x["term"]: x["action"] for x in f})] or None for t, f in zip(texts.fillna(""), found)], dtype=object)
+
+    held = docs.select(_key().alias("_key"), F.explode(words("text")).alias("term")).distinct().join(terms, "term")
+    held = held.groupBy("_key").agg(F.collect_list(F.struct("term", "action")).alias("_told"))
+    return docs.withColumn("_key", _key()).join(held, "_key", "left").withColumn(name, placed("text", "_told")).drop("_key", "_told")
+
+
+def search(docs: DataFrame, reach: int = 4, everywhere: bool = False, **limits) -> DataFrame:
+    """doc_id, spans and marks of every row of ``docs(doc_id, text)``; marks of terms beside their entity, or ``everywhere``."""
+    slim = docs.select("doc_id", "text")
+    found = settle(find(slim, reach).select("doc_id", _key().alias("_key"), "pii.*"), "found")
     told = settle(disclosing(found, docs, **limits), "told")
-    return found.join(term_marks(found, told), "_key", "left").select("doc_id", "spans", "marks")
+    if not everywhere:
+        return found.join(term_marks(found, told), "_key", "left").select("doc_id", "spans", "marks")
+    marks = settle(with_marks(slim, told).filter("marks is not null").select(_key().alias("_key"), "marks").dropDuplicates(["_key"]), "marks")
+    return found.join(marks, "_key", "left").select("doc_id", "spans", "marks")
 
 
 def redacted(text: str, marks: list[tuple[int, int, str]]) -> str:
@@ -175,14 +231,13 @@ def sanitised(docs: DataFrame, reach: int = 4, **limits) -> DataFrame:
     slim = docs.select("doc_id", "text")
     found = settle(find(slim, reach).select(_key().alias("_key"), "pii.*").filter(F.size("spans") > 0), "found")
     told = settle(disclosing(found, slim, **limits), "told")
-    marks = term_marks(found, told)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, marked: pd.Series) -> pd.Series:
         none = lambda m: m is None or len(m) == 0
         return pd.Series([t if t is None else redacted(t, [] if none(m) else [(x["first"], x["last"], x["action"]) for x in m]) for t, m in zip(texts, marked)], dtype=object)
 
-    out = docs.withColumn("_key", _key()).join(marks.withColumnRenamed("marks", "_marks"), "_key", "left").withColumn("text", run("text", "_marks"))
+    out = with_marks(docs, told, "_marks").withColumn("text", run("text", "_marks"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -45,7 +45,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text: counts, and digests of the spans."""
-    out = pii.search(table(spark, sf_dir, "documents"))
+    out = pii.search(table(spark, sf_dir, "documents"), everywhere=True)
     told = F.transform(F.coalesce("marks", F.array().cast("array<struct<first: long, last: long, action: string>>")), lambda m: F.struct(F.lit("term").alias("kind"), m["first"].alias("first"), m["last"].alias("last")))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["last"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -73,3 +73,24 @@ def test_disclosing_terms(spark):
     assert pii.sanitised(docs.limit(0)).count() == 0 and pii.search(docs.limit(0)).count() == 0
     assert pii.sanitised(docs.union(docs)).count() == 2 * len(rows)
     assert pii.redacted("a 1.2.3.4@b.cd x", []) == "a [EMAIL] x"
+
+
+def test_terms_are_treated_everywhere(spark, monkeypatch):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    far = lambda: " ".join(word() for _ in range(40))
+    rows = [(i, f"{word()} {word()} Zoebella from zoe@mail.example.com the {word()} {word()} {far()}" + " zoebella" * (i == 0)) for i in range(8)]
+    rows += [(50 + i, f"{word()} {word()} Yorick at yor@mail.example.com the {word()} of") for i in range(3)]
+    rows += [(100 + i, f"{word()} the from of at {word()} x{i}@mail.example.com {word()}") for i in range(30)]
+    rows += [(240 + i, f"near {word()} this passage name near@mail.example.com for all who read") for i in range(12)]
+    rows += [(300, None), (302, "the Zoebella alone"), (303, "the at from of wrote " * 40), (304, "zoebella@else.example.com and Yorick")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _marks string").drop("_marks")
+    for bound in (pii.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", bound)
+        got = {r.doc_id: r for r in pii.search(docs, everywhere=True).collect()}
+        texts = dict(rows)
+        said = {i: [texts[i][m["first"]:m["last"]] for m in r.marks or []] for i, r in got.items()}
+        assert said[0] == ["Zoebella", "zoebella"] and said[302] == ["Zoebella"] and said[304] == ["Yorick"] and said[50] == ["Yorick"]
+        assert {w for x in said.values() for w in x} == {"Zoebella", "zoebella", "Yorick"} and len(got) == len(rows)
+        out = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+        assert not any("zoebella" in t.lower() for i, t in out.items() if t) and out[300] is None and out[304].startswith("[EMAIL] and ") and "Yorick" not in out[304]
