@@ -31,7 +31,16 @@ HIDDEN = frozenset("script style template noscript iframe object svg math canvas
 ASIDES = frozenset("nav footer aside form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager skip masthead copyright disclaimer reply replies".split())
-IMPLIED_END = frozenset("p li dt dd tr td th option".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
+# Start tags that end open elements whose end tag is left out, and the elements beyond which they end none.
+IMPLIED_END = (
+    {"li": ({"li"}, BLOCKS - {"address", "div", "p", "li"}), "option": ({"option"}, {"select", "datalist", "optgroup"}), "tr": ({"tr", "td", "th"}, SECTIONS | {"table"})}
+    | dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, BLOCKS - {"address", "div", "p", "dt", "dd"}))
+    | dict.fromkeys(("td", "th"), ({"td", "th"}, SECTIONS | {"table", "tr"}))
+    | dict.fromkeys(SECTIONS, (SECTIONS | {"tr", "td", "th"}, {"table"}))
+    | {"p": ({"p"}, BLOCKS - {"p"})}
+)
+MODIFIERS = frozenset("has no with without".split())  # such a name tells what an element has, not what it is
 PLAIN = frozenset("html body article main".split())
 
 TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -47,6 +56,7 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.linked = 0
         self.stack: list[tuple[str, str]] = []  # tag and kind of the open elements
+        self.at: dict[str, list[int]] = {}  # places of the open elements of a tag
         self.depth = {"aside": 0, "hidden": 0, "article": 0, "link": 0}
 
     def end_line(self) -> None:
@@ -71,7 +81,8 @@ class Lines(HTMLParser):
 
     @staticmethod
     def marked(a: dict) -> bool:
-        return any(t.lower() in MARKS for t in TOKEN.findall(a.get("class", "") + " " + a.get("id", "")))
+        names = (TOKEN.findall(name) for name in (a.get("class", "") + " " + a.get("id", "")).split())
+        return any(t.lower() in MARKS for words in names if words and words[0].lower() not in MODIFIERS for t in words)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -80,9 +91,12 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        if tag in IMPLIED_END and self.stack and self.stack[-1][0] == tag:
-            self.close_top()
+        if tag in IMPLIED_END:
+            ended, beyond = IMPLIED_END[tag]
+            bound = max((self.at[t][-1] for t in beyond if self.at.get(t)), default=-1)
+            self.close_from(min((k for t in ended if self.at.get(t) and (k := self.at[t][-1]) > bound), default=len(self.stack)))
         kind = self.kind(tag, attrs)
+        self.at.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, kind))
         if kind:
             self.depth[kind] += 1
@@ -92,19 +106,18 @@ class Lines(HTMLParser):
         if tag not in VOID and tag not in BLOCKS:  # a slash closes foreign and inline elements only
             self.handle_endtag(tag)
 
-    def close_top(self) -> None:
-        kind = self.stack.pop()[1]
-        if kind:
-            self.depth[kind] -= 1
+    def close_from(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag, kind = self.stack.pop()
+            self.at[tag].pop()
+            if kind:
+                self.depth[kind] -= 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
-        for k in range(len(self.stack) - 1, max(-1, len(self.stack) - 200), -1):
-            if self.stack[k][0] == tag:
-                while len(self.stack) > k:
-                    self.close_top()
-                return
+        if self.at.get(tag):
+            self.close_from(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.depth["hidden"]:

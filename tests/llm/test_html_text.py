@@ -45,3 +45,18 @@ def test_edge_cases(spark):
     assert [rows[i].text for i in (0, 1, 2, 7)] == ["", "", "", "deep words"] and rows[0].n_chars == 7
     assert rows[6].text == "\n\n".join(["word é more"] * 30_000)
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+def test_omitted_end_tags_and_modifiers():
+    body = "<h1>Heading</h1>" + "".join(f"<p>{p}</p>" for p in PARAS)
+    rows = {"table": "<tr><td>cell<td>cell", "dl": "<dt>term<dd>what it is", "ul": "<li>entry <b>bold"}
+    for tag, row in rows.items():
+        many = f"<{tag}>" + row * 300 + f"</{tag}>"
+        for page in (f"<aside>{many}</aside><article>{body}</article>", f"<article>{body}</article><aside>{many}</aside>"):
+            assert "\n\n".join(html_text.blocks(f"<html><body>{page}</body></html>")) == WANT, tag
+        inside = html_text.blocks(f"<article>{body}{many}</article><p>Not part of the article.")
+        assert len(inside) > 300 and inside[-1] != "Not part of the article."
+    deep = "<aside>" + "<i>" * 500 + "menu</aside>" + f"<article>{body}</article>"
+    assert "\n\n".join(html_text.blocks(deep)) == WANT
+    for name in ("has-sidebar", "no-sidebar", "layout with-nav", "hasSidebar"):
+        assert "\n\n".join(html_text.blocks(f'<div class="{name}">{body}</div>')) == WANT, name
