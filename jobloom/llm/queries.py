@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobloom.llm import bpe, classifier, html_text, licences, minhash, mixing, pii, quality_rules, repeats, simhash
+from jobloom.llm import bpe, classifier, html_text, licences, minhash, mixing, pii, quality_rules, repeats, simhash, spelling
 from jobloom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -71,5 +71,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
-QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op3_source_mix": op3_source_mix, "op4_main_text": op4_main_text, "op5_repeats": op5_repeats, "op6_quality_classifier": op6_quality_classifier, "op7_personal_data": op7_personal_data, "op8_byte_bpe": op8_byte_bpe, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their neighbours one edit away, usual form and root."""
+    counts = spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), every=97)
+    return spelling.variants(counts.filter("n >= 3"))
+
+
+QUERIES = {"op1_licence_scan": op1_licence_scan, "op2_quality_rules": op2_quality_rules, "op3_source_mix": op3_source_mix, "op4_main_text": op4_main_text, "op5_repeats": op5_repeats, "op6_quality_classifier": op6_quality_classifier, "op7_personal_data": op7_personal_data, "op8_byte_bpe": op8_byte_bpe, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints, "op12_spelling_variants": op12_spelling_variants}
 ORACLES: dict[str, str] = {}
