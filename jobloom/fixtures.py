@@ -249,20 +249,20 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_set(spark: SparkSession, sf: str) -> DataFrame:
-    """Twenty searches: part names, corpus words, OR, minus and phrase forms."""
-    part = table(spark, sf, "part").filter("p_partkey < 16").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q"))
-    special = [
-        (16, "bolt OR anvil"), (17, "gear -senior"), (18, '"small bolt" remote'), (19, "junior the python internship"),
-    ]
-    nation = table(spark, sf, "nation").filter("n_nationkey < 4")
-    extra = nation.select(
-        (F.col("n_nationkey") + 16).cast("bigint").alias("query_id"), pick([q for _, q in special], F.col("n_nationkey")).alias("q")
+    """A search of every part whose id 50 divides: its name, OR, minus, phrase and hinting forms in turn."""
+    words = F.split("p_name", " ")
+    first, last = words[0], F.element_at(words, -1)
+    forms = F.array(
+        F.col("p_name"), F.concat(first, F.lit(" OR "), last), F.concat(last, F.lit(" -senior")),
+        F.concat(F.lit('"'), F.col("p_name"), F.lit('" remote')), F.concat(F.lit("junior "), last, F.lit(" internship OR the python")),
     )
-    return part.unionByName(extra)
+    key = F.col("p_partkey")
+    return table(spark, sf, "part").filter(key % 50 == 0).select(key.alias("query_id"), F.element_at(forms, (key / 50 % 5).cast("int") + 1).alias("q"))
 
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").filter("vec_id < 20").select(
+    """Every vector whose id 50 divides."""
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
     )
 

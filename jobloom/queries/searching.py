@@ -24,13 +24,15 @@ def toks(c, w):
 
 DOCS = f"""docs AS (SELECT id, list_concat(list_concat({toks('title', 1.0)}, {toks('company_name', 1.0)}), list_concat({toks("array_to_string(skills, ' ')", 0.4)}, {toks('description_text', 0.2)})) AS fields FROM enriched),
 idx AS (SELECT id, f.term AS term, sum(f.w) AS weighted, count(*) AS tf FROM (SELECT id, unnest(fields) AS f FROM docs) GROUP BY ALL)"""
-ATOMS = """atoms AS (SELECT query_id, 0 AS alt, unnest(range(len(string_split(q, ' ')))) AS atom, false AS neg, [unnest(string_split(q, ' '))] AS words FROM query_set WHERE query_id < 16
-  UNION ALL SELECT * FROM (VALUES (16, 0, 0, false, ['bolt']), (16, 1, 0, false, ['anvil']), (17, 0, 0, false, ['gear']), (17, 0, 1, true, ['senior']), (18, 0, 0, false, ['small', 'bolt']), (18, 0, 1, false, ['remote']),
-    (19, 0, 0, false, ['junior']), (19, 0, 1, false, ['the']), (19, 0, 2, false, ['python']), (19, 0, 3, false, ['internship'])))"""
-HITS = """need AS (SELECT query_id, alt, count(*) AS needed FROM atoms WHERE NOT neg GROUP BY ALL), ah AS (SELECT query_id, alt, atom, neg, id, sum(weighted) AS weighted FROM (SELECT *, unnest(words) AS term FROM atoms) JOIN idx USING (term) GROUP BY query_id, alt, atom, neg, id, words
-  HAVING count(*) = len(words) AND (len(words) = 1 OR id IN (SELECT id FROM docs WHERE contains(' ' || array_to_string(list_transform(fields, lambda f: f.term), ' ') || ' ', ' small bolt ')))),
+# Searches read by the same rules: alternatives, atoms, their words.
+ATOMS = f"""alternatives AS (SELECT query_id, unnest(range(len(p))) AS alt, unnest(p) AS said FROM (SELECT query_id, string_split(q, ' OR ') AS p FROM query_set)),
+spoken AS (SELECT query_id, alt, unnest(range(len(p))) AS atom, unnest(p) AS raw FROM (SELECT *, regexp_extract_all(said, '-?"[^"]*"|\\S+') AS p FROM alternatives)),
+atoms AS (SELECT query_id, alt, atom, starts_with(raw, '-') AS neg, regexp_extract_all(lower(raw), {TOK}) AS words FROM spoken)"""
+HITS = """need AS (SELECT query_id, alt, count(*) AS needed FROM atoms WHERE NOT neg GROUP BY ALL), lines AS (SELECT id, ' ' || array_to_string(list_transform(fields, lambda f: f.term), ' ') || ' ' AS line, len(fields) AS n FROM docs),
+ah AS (SELECT query_id, alt, atom, neg, id, sum(weighted) AS weighted FROM (SELECT *, unnest(words) AS term FROM atoms) JOIN idx USING (term) JOIN lines USING (id) GROUP BY query_id, alt, atom, neg, id, words
+  HAVING count(*) = len(words) AND (len(words) = 1 OR contains(any_value(line), ' ' || array_to_string(words, ' ') || ' '))),
 alts AS (SELECT query_id, alt, id, sum(weighted) AS weighted FROM ah JOIN need USING (query_id, alt) WHERE NOT neg GROUP BY query_id, alt, id, needed HAVING count(*) = needed),
-hits AS (SELECT query_id, id, sum(weighted) / (1 + ln(any_value(len(fields)))) AS text_rank FROM alts JOIN docs USING (id) WHERE (query_id, alt, id) NOT IN (SELECT (query_id, alt, id) FROM ah WHERE neg) GROUP BY ALL)"""
+hits AS (SELECT query_id, id, sum(weighted) / (1 + ln(any_value(n))) AS text_rank FROM alts JOIN lines USING (id) WHERE (query_id, alt, id) NOT IN (SELECT (query_id, alt, id) FROM ah WHERE neg) GROUP BY ALL)"""
 TEXT = ", ".join([DOCS, sv.QUERY_SET, ATOMS, HITS])
 
 
@@ -104,7 +106,7 @@ def _(spark, sf):
     return hybrid.reciprocal_rank_fusion(a, b).select("query_id", "id", F.round("fused", 9).alias("fused"))
 
 
-QVEC = "qv AS (SELECT vec_id AS query_id, embedding AS query_vector FROM embeddings WHERE vec_id < 20)"
+QVEC = "qv AS (SELECT vec_id AS query_id, embedding AS query_vector FROM embeddings WHERE vec_id % 50 = 0)"
 COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(query_vector AS DOUBLE[]))"
 
 
@@ -115,10 +117,21 @@ def _(spark, sf):
     return top.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "position")
 
 
-@query("ann_topk", "T7")
+LISTS, PROBES = 32, 26
+UNIT_COS = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+IVF = f"""rowset AS (SELECT id, embedding FROM listings WHERE {FRESH} AND embedding IS NOT NULL), centres AS (SELECT id AS list, embedding AS centre FROM rowset ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT {LISTS}),
+placed AS (SELECT id, embedding, list FROM rowset, centres QUALIFY row_number() OVER (PARTITION BY id ORDER BY {UNIT_COS.format('embedding', 'centre')} DESC, list) = 1),
+probed AS (SELECT query_id, query_vector, list FROM qv, centres QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {UNIT_COS.format('query_vector', 'centre')} DESC, list) <= {PROBES})"""
+
+
+@query("ann_topk", "T7", sv.with_listings(f"SELECT query_id, id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY {COS} DESC, id) AS position FROM probed JOIN placed USING (list) QUALIFY position <= 10", QVEC + ", " + IVF))
 def _(spark, sf):
-    live = filters.fresh(fx.listings(spark, sf), NOW, DAYS)
-    return vectors.ann_topk(live, fx.query_vectors(spark, sf), 64, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "position")
+    from jobloom.runtime import shared_folder
+
+    live = filters.fresh(fx.listings(spark, sf), NOW, DAYS).select("id", "embedding")
+    centres, where = vectors.fit_lists(live, LISTS), shared_folder(spark, "lists")
+    vectors.write_lists(live, where, centres)
+    return vectors.ann_topk(spark.read.parquet(where), fx.query_vectors(spark, sf), centres, PROBES, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "position")
 
 
 OBEYS = """(hint_workplace IS NULL OR workplace_type = hint_workplace) AND (NOT hint_region OR region_friendly) AND (len(hint_skills) = 0 OR list_has_any(skills, hint_skills) OR list_has_any(tech_tags, hint_skills))

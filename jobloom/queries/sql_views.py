@@ -216,9 +216,9 @@ sections AS (
   FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS item FROM documents)
 )"""
 
-QUERY_SET = f"""
+QUERY_SET = """
 query_set AS (
-  SELECT p_partkey AS query_id, p_name AS q FROM part WHERE p_partkey < 16
-  UNION ALL
-  SELECT CAST(n_nationkey + 16 AS BIGINT), {pick(['bolt OR anvil', 'gear -senior', '"small bolt" remote', 'junior the python internship'], 'n_nationkey')} FROM nation WHERE n_nationkey < 4
+  SELECT p_partkey AS query_id, CASE p_partkey // 50 % 5 WHEN 0 THEN p_name WHEN 1 THEN p_first || ' OR ' || p_last WHEN 2 THEN p_last || ' -senior'
+    WHEN 3 THEN '"' || p_name || '" remote' ELSE 'junior ' || p_last || ' internship OR the python' END AS q
+  FROM (SELECT *, string_split(p_name, ' ')[1] AS p_first, string_split(p_name, ' ')[-1] AS p_last FROM part WHERE p_partkey % 50 = 0)
 )"""

@@ -6,10 +6,10 @@ from jobloom.functions import seniority
 from jobloom.functions.enrich import NO_TAGS
 from jobloom.operators.filters import fresh
 from jobloom.operators.ranking import relevance_order
-from jobloom.runtime import top_per_key, union_all
+from jobloom.runtime import broadcast_if_small, top_per_key, union_all
 from jobloom.search.intent import parse_intent
 from jobloom.search.textindex import search
-from jobloom.search.vectors import FETCH, vector_topk
+from jobloom.search.vectors import cell_topk, vector_topk
 
 K = 60
 
@@ -68,31 +68,19 @@ def hybrid_search(
 
 
 HINTS = ["hint_workplace", "hint_stage", "hint_region", "hint_skills"]
-HINT_SETS = 64  # distinct hint sets tested in one scan
 
 
 def vector_leg(vectors: DataFrame, asked: DataFrame, query_vectors: DataFrame, depth: int, use_hints: bool) -> DataFrame:
     """Vector list per query, filtered by its hints before the cut.
 
-    Queries that hint alike share one test per row.  One scan serves up to
-    ``HINT_SETS`` distinct hint sets; more of them take more scans.
+    Queries that hint alike form a cell; a listing stands in the cells whose
+    hints it meets.  Hint sets come from the words that hint, so they are few.
     """
     if not use_hints:
-        return vector_topk(vectors, query_vectors, FETCH).filter(F.col("position") <= depth).select("query_id", "id", "position")
-    key = F.to_json(F.struct(*HINTS)).alias("hint_key")
+        return vector_topk(vectors, query_vectors, depth).select("query_id", "id", "position")
+    key = F.sha2(F.to_json(F.struct(*HINTS)), 256).alias("cell")
     keyed = query_vectors.join(asked.select("query_id", key, *HINTS), "query_id")
-    slices = F.pmod(F.xxhash64("hint_key"), F.lit(max(1, -(-keyed.select("hint_key").distinct().count() // HINT_SETS))))
-    parts = []
-    for n in [r[0] for r in keyed.select(slices.alias("n")).distinct().collect()]:
-        mine = keyed.filter(slices == n)
-        sets = mine.select("hint_key", *HINTS).dropDuplicates(["hint_key"]).orderBy("hint_key").collect()
-
-        def literal(s):
-            kinds = {"hint_region": "boolean", "hint_skills": NO_TAGS}
-            lit = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
-            return lambda name: lit(s[name]).cast(kinds.get(name, "string"))
-
-        rows = vectors.select("id", "embedding", F.array(*[obeys_hints(literal(s)) for s in sets]).alias("allowed"))
-        place = F.array_position(F.array(*[F.lit(s["hint_key"]) for s in sets]), F.col("hint_key")) - 1
-        parts.append(vector_topk(rows, mine.select("query_id", "query_vector", place.alias("hint")), FETCH))
-    return union_all(parts).filter(F.col("position") <= depth).select("query_id", "id", "position")
+    sets = broadcast_if_small(keyed.select("cell", *HINTS).dropDuplicates(["cell"]))
+    facts = ["workplace_type", "career_stage", "junior_eligible", "region_friendly", "skills", "tech_tags"]
+    rows = vectors.select("id", "embedding", *facts).join(sets, obeys_hints()).select("cell", "id", "embedding")
+    return cell_topk(rows, keyed.select("cell", "query_id", "query_vector"), depth).select("query_id", "id", "position")

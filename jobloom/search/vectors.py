@@ -1,11 +1,19 @@
-"""Vector search: exact and bucketed top-k for many queries at once.
-
-Each task scores its Arrow batches against one block of queries and keeps a
-running top-k, so it emits at most k rows per query; pairs are never
-materialised and the only shuffle carries those few rows.
+"""Vector search: exact and list-probed top-k for many queries, joined inside Spark.
+
+Rows and queries are packed into blocks where they lie.  A row block meets the
+query blocks of its cell by an equi-join on (cell, salt), so neither side is
+collected or broadcast, and a crowded cell is worked on by as many tasks as
+there are salts.  A task reads one query block and then row block after row
+block, keeps the best ``k`` of every query and hands on those alone.
+
+The approximate search draws its lists' centres from a bounded sample of rows
+(``MAX_LISTS`` at most) and stores every row under the list of its nearest
+centre; a query probes the lists whose centres are nearest to it, and the rows
+there are scored exactly.
 """
 
-import itertools
+import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +21,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobloom.runtime import top_per_key, union_all
 
-BLOCK = 2_000  # queries held by a task at a time
+QUERY_BLOCK = 1_000
+ROW_BLOCK = 4_096
+HELD = 65_536      # rows that a task holds while it packs
+WAYS = 32          # tasks that may share the rows of one cell
+MAX_LISTS = 4_096  # bound of the fitted centres
 FETCH = 120
 
 
@@ -30,106 +42,141 @@ def _unit(matrix):
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _blocks(queries: DataFrame, block: int):
-    """Bounded slices of the query table; each is checked before it is read."""
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    while True:
-        key = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-        sizes = queries.groupBy(key.alias("b")).count().agg(F.max("count")).first()[0] or 0
-        if sizes <= 2 * block or parts >= n:
-            break
-        parts *= 2
-    for b in range(parts):
-        yield queries.filter(key == b)
-
-
-def _scan(rows: DataFrame, block: DataFrame, k: int) -> DataFrame:
-    """Per-task top-k of ``rows`` for one query block.
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Blocks (cell, salt, ids, vectors) of ``rows(cell, id, vector)``, at most ``size`` rows each.
 
-    With ``probes`` a query sees rows of those codes only; with ``hint`` it
-    sees rows whose ``allowed`` array is true at that index.
+    ``salt`` numbers the blocks of a task from 0 to ``WAYS - 1`` and round again.
     """
-    found = block.collect()
-    ids = np.array([r["query_id"] for r in found], dtype=np.int64)
-    wanted = _unit(np.array([r["query_vector"] for r in found], dtype=np.float64)) if found else None
-    probes = [set(r["probes"]) for r in found] if "probes" in block.columns else None
-    hints = [r["hint"] for r in found] if "hint" in block.columns else None
-
-    def run(batches):
-        best = {}
-        for pdf in batches:
-            if not len(pdf) or wanted is None:
-                continue
-            score = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64)) @ wanted.T
-            row_ids = pdf["id"].to_numpy()
-            codes = pdf["code"].to_numpy() if probes is not None else None
-            allowed = np.stack(pdf["allowed"].to_numpy()).astype(bool) if hints is not None else None
-            for j in range(len(ids)):
-                s, r = score[:, j], row_ids
-                if codes is not None:
-                    near = np.isin(codes, list(probes[j]))
-                    s, r = s[near], r[near]
-                if allowed is not None:
-                    s, r = s[allowed[:, hints[j]]], r[allowed[:, hints[j]]]
-                if j in best:
-                    s, r = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], r])
-                order = np.lexsort((r, -s))[:k]
-                best[j] = (s[order], r[order])
-        for j, (s, r) in best.items():
-            yield pd.DataFrame({"query_id": np.full(len(s), ids[j]), "id": r, "similarity": s})
-
-    columns = ["id", "embedding"] + [c for c, used in (("code", probes), ("allowed", hints)) if used is not None]
-    return rows.select(*columns).mapInPandas(run, "query_id long, id long, similarity double")
-
-
-def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 50, block: int = BLOCK) -> DataFrame:
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n, made = {}, 0, 0
+
+        def out(cells):
+            nonlocal n, made
+            for cell in cells:
+                part = pd.concat(held.pop(cell))
+                n -= len(part)
+                for at in range(0, len(part), size):
+                    some = part.iloc[at:at + size]
+                    vectors = np.stack(some["vector"].to_numpy()).astype("<f8")
+                    yield pd.DataFrame({"cell": [cell], "salt": [made % WAYS], "ids": [some["id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()]})
+                    made += 1
+
+        for frame in frames:
+            for cell, part in frame.groupby("cell", sort=False):
+                held.setdefault(cell, []).append(part)
+                n += len(part)
+            yield from out([c for c, parts in held.items() if sum(map(len, parts)) >= size])
+            if n >= HELD:
+                yield from out(list(held))
+        yield from out(list(held))
+
+    return rows.select("cell", "id", "vector").mapInPandas(run, "cell string, salt int, ids binary, vectors binary")
+
+
+class _Best:
+    """The best ``k`` rows of every query of a block so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, _unit(vectors), k
+        self.query, self.row, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        scores = self.vectors @ _unit(vectors).T
+        bar = self.least
+        if len(ids) > self.k:
+            bar = np.maximum(bar, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        at, row = np.nonzero(scores >= bar[:, None])
+        query, found, score = np.r_[self.query, at], np.r_[self.row, ids[row]], np.r_[self.score, scores[at, row]]
+        order = np.lexsort((found, -score, query))
+        query, found, score = query[order], found[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.k
+        self.least[query[place == self.k - 1]] = score[place == self.k - 1]
+        self.query, self.row, self.score = query[kept], found[kept], score[kept]
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.ids[self.query], "id": self.row, "similarity": self.score})
+
+
+def _tops(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    best = None
+    for frame in frames:
+        for asked, ids, vectors in zip(frame["asked"], frame["ids"], frame["vectors"]):
+            ids = np.frombuffer(ids, np.int64)
+            matrix = np.frombuffer(vectors, "<f8").reshape(len(ids), -1)
+            if asked:
+                if best is not None:
+                    yield best.frame()
+                best = _Best(ids, matrix, k)
+            else:
+                best.add(ids, matrix)
+    if best is not None:
+        yield best.frame()
+
+
+def cell_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Top-k by cosine of ``queries(cell, query_id, query_vector)`` among ``rows(cell, id, embedding)`` of their cells; ids are long."""
+    row_blocks = _packed(rows.select(F.col("cell").cast("string"), "id", F.col("embedding").alias("vector")), ROW_BLOCK)
+    query_blocks = _packed(queries.select(F.col("cell").cast("string"), F.col("query_id").alias("id"), F.col("query_vector").alias("vector")), QUERY_BLOCK)
+    # A block of queries is told from others of its cell by its ids.
+    salted = query_blocks.withColumn("block", F.sha2("ids", 256)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    here = row_blocks.join(salted.select("cell", "salt", "block"), ["cell", "salt"])
+    met = union_all([salted.withColumn("asked", F.lit(True)), here.withColumn("asked", F.lit(False))])
+    ordered = met.repartition("cell", "block", "salt").sortWithinPartitions("cell", "block", "salt", F.desc("asked"))
+    partial = ordered.select("asked", "ids", "vectors").mapInPandas(functools.partial(_tops, k=k), "query_id long, id long, similarity double")
+    return top_per_key(partial, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+
+
+def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """Exact top-k by cosine for every query (query_id, query_vector)."""
-    rows = rows.filter("embedding is not null")
-    parts = [_scan(rows, q, k) for q in _blocks(queries, block)]
-    return top_per_key(union_all(parts), ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+    everywhere = lambda df: df.withColumn("cell", F.lit("all"))
+    return cell_topk(everywhere(rows.filter("embedding is not null")), everywhere(queries.filter("query_vector is not null")), k)
+
 
+def fit_lists(rows: DataFrame, lists: int) -> pd.DataFrame:
+    """Centres (list, vector): as many rows as lists, those whose ids have the least digests, unit length.
 
-def planes(width: int, bits: int, seed: int = 7):
-    """Fixed random hyperplanes; the same rule for rows and queries."""
-    return np.random.RandomState(seed).normal(size=(bits, width)).round(4)
+    ``lists`` is cut to ``MAX_LISTS``, which bounds what the driver gets.
+    """
+    drawn = rows.filter("embedding is not null").orderBy(F.md5(F.col("id").cast("string")), "id").limit(min(lists, MAX_LISTS))
+    out = drawn.select(F.col("id").alias("list"), F.col("embedding").alias("vector")).toPandas().sort_values("list", ignore_index=True)
+    if len(out):
+        out["vector"] = list(_unit(np.stack(out["vector"].to_numpy()).astype(float)))
+    return out
 
 
-def bucket_code(vector: Column, width: int, bits: int = 6) -> Column:
-    """Bucket of a vector: the sides of ``bits`` hyperplanes it lies on."""
-    code = F.lit(0)
-    for i, plane in enumerate(planes(width, bits)):
-        along = F.aggregate(
-            F.zip_with(vector, F.array(*[F.lit(float(x)) for x in plane]), lambda x, y: x.cast("double") * y),
-            F.lit(0.0), lambda s, x: s + x,
-        )
-        code = code + F.when(along >= 0, F.lit(1 << i)).otherwise(F.lit(0))
-    return code.cast("int")
+def nearest_lists(vector: Column, centres: pd.DataFrame, n: int) -> Column:
+    """The ``n`` lists whose centres are nearest, nearest first; ties go to the lesser list."""
+    ids = centres["list"].to_numpy(np.int64)
+    matrix = np.stack(centres["vector"].to_numpy()) if len(centres) else np.zeros((0, 0))
 
+    @F.pandas_udf("array<long>")
+    def run(batch: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(batch), ROW_BLOCK):
+            scores = np.stack(batch.iloc[at:at + ROW_BLOCK].to_numpy()).astype(float) @ matrix.T
+            out += list(ids[np.argsort(-scores, axis=1, kind="stable")[:, :n]])
+        return pd.Series(out, index=batch.index, dtype=object)
 
-def write_buckets(rows: DataFrame, path: str, width: int, bits: int = 6) -> None:
-    """Store vectors by bucket; a crowded bucket is spread over many files."""
-    rows.filter("embedding is not null").withColumn("code", bucket_code(F.col("embedding"), width, bits)) \
-        .write.mode("overwrite").option("maxRecordsPerFile", 200_000).partitionBy("code").parquet(path)
+    return run(vector)
 
 
-def near_codes(code: Column, bits: int, flips: int) -> Column:
-    """The code itself and all codes within ``flips`` bits of it."""
-    masks = [sum(1 << b for b in c) for n in range(flips + 1) for c in itertools.combinations(range(bits), n)]
-    return F.array(*[code.bitwiseXOR(F.lit(m)) for m in masks])
+def write_lists(rows: DataFrame, path: str, centres: pd.DataFrame) -> None:
+    """Store the rows by list; a crowded list is spread over many files."""
+    placed = rows.filter("embedding is not null").withColumn("list", nearest_lists(F.col("embedding"), centres, 1)[0])
+    placed.write.mode("overwrite").option("maxRecordsPerFile", 200_000).partitionBy("list").parquet(path)
 
 
-def ann_topk(rows: DataFrame, queries: DataFrame, width: int, k: int = 50, bits: int = 6, flips: int = 2) -> DataFrame:
-    """Approximate top-k: only buckets near a query are scored, then exactly.
+def ann_topk(rows: DataFrame, queries: DataFrame, centres: pd.DataFrame, probes: int, k: int = 50) -> DataFrame:
+    """Approximate top-k: rows of the ``probes`` lists nearest to a query are scored exactly.
 
-    Rows read from ``write_buckets`` carry ``code`` as a partition column, so
-    buckets no query probes are pruned before any file is opened.
+    ``rows`` are those of ``write_lists``, with their ``list``, or others, which
+    are placed here.  The recall follows from ``probes``; where vectors have no
+    clusters most lists must be probed.
     """
-    if "code" not in rows.columns:
-        rows = rows.filter("embedding is not null").withColumn("code", bucket_code(F.col("embedding"), width, bits))
-    asked = queries.withColumn("probes", near_codes(bucket_code(F.col("query_vector"), width, bits), bits, flips))
-    parts = []
-    for q in _blocks(asked, BLOCK):
-        codes = [r[0] for r in q.select(F.explode("probes")).distinct().collect()]  # at most 2^bits values
-        parts.append(_scan(rows.filter(F.col("code").isin(codes)), q, k))
-    return top_per_key(union_all(parts), ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+    if "list" not in rows.columns:
+        rows = rows.filter("embedding is not null").withColumn("list", nearest_lists(F.col("embedding"), centres, 1)[0])
+    asked = queries.filter("query_vector is not null").withColumn("cell", F.explode(nearest_lists(F.col("query_vector"), centres, probes)))
+    return cell_topk(rows.withColumn("cell", F.col("list")), asked, k)

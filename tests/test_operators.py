@@ -94,17 +94,31 @@ def test_salted_search_equals_broadcast_search(spark, monkeypatch):
     assert a == b and a
 
 
-def test_vector_blocks_and_recall(spark):
-    rows = fx.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    queries = fx.query_vectors(spark, SF)
-    exact = {(r.query_id, r.id) for r in vectors.vector_topk(rows, queries, 10).collect()}
-    blocked = {(r.query_id, r.id) for r in vectors.vector_topk(rows, queries, 10, block=3).collect()}
-    near = {(r.query_id, r.id) for r in vectors.ann_topk(rows, queries, 64, 10).collect()}
-    m = {r.id: np.array(r.embedding, dtype=float) for r in rows.collect()}
-    unit = {k: v / np.linalg.norm(v) for k, v in m.items()}
-    brute = {(q, i) for q in range(20) for i in sorted(unit, key=lambda i: (-unit[i] @ unit[q], i))[:10]}
-    assert exact == blocked == brute
-    assert len(near & exact) / len(exact) > 0.5
+def test_vector_blocks_and_recall(spark, monkeypatch):
+    """On vectors without clusters nearly all lists are probed; with clusters a few do."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(40, 24))
+    groups = spark.createDataFrame([(i, (middles[i % 40] + 0.25 * rng.normal(size=24)).tolist()) for i in range(2000)], "id long, embedding array<double>")
+    plain = fx.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    for rows, probes in ((plain, 26), (groups, 6)):
+        queries = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+        pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+        exact = pairs(vectors.vector_topk(rows, queries, 10))
+        unit = {r.id: np.array(r.embedding, float) / np.linalg.norm(r.embedding) for r in rows.collect()}
+        assert exact == {(q, i) for q in unit if q % 50 == 0 for i in sorted(unit, key=lambda i: (-unit[i] @ unit[q], i))[:10]}
+        near = pairs(vectors.ann_topk(rows, queries, vectors.fit_lists(rows, 32), probes, 10))
+        assert len(near & exact) / len(exact) >= 0.9
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 7)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    assert pairs(vectors.vector_topk(rows, queries, 10)) == exact
+
+
+def test_vector_ties_and_empty_sides(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)] + [(50, None)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "query_id long, query_vector array<double>")
+    got = {(r.query_id, r.id, r.position) for r in vectors.vector_topk(rows, queries, 4).collect()}
+    assert got == {(q, i, i + 1) for q in (1, 2) for i in range(4)}
+    assert vectors.vector_topk(rows.limit(0), queries, 4).count() == vectors.vector_topk(rows, queries.limit(0), 4).count() == 0
 
 
 def test_throttle_against_a_deque(spark):
