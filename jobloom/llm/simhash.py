@@ -41,6 +41,8 @@ CROWD = 32
 PARTS = 16
 COMMON = 1 << 18
 CHUNK = 1 << 16
+BLOCK = 256    # texts of a cell that are compared at a time with as many others
+SLICE = 4_096  # shingles in one piece of their table
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -216,20 +218,81 @@ def head_pairs(sketch: DataFrame) -> DataFrame:
     return postings.join(heads, "part").filter(F.col("same") != F.col("u")).select("u", F.col("same").alias("v")).distinct()
 
 
-def open_pairs(sketch: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (u, v) of different roots that may be as similar as asked.
+def shared_posts(sketch: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, same, root, size) of the prefix shingles that stand in texts of several roots; ``size`` counts a shingle's texts."""
+    placed = sketch.select("same", "keys").dropDuplicates(["same"]).join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    posts = placed.select("same", "root", F.explode("keys").alias("key"))
+    mixed = posts.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).filter("a <> b").select("key", "size")
+    return posts.join(mixed, "key").distinct()
+
+
+def cells(shared: DataFrame) -> DataFrame:
+    """(same, cell, size) of the texts with a shingle of more than ``CROWD`` texts: the one that most texts share."""
+    return shared.filter(F.col("size") > CROWD).groupBy("same").agg(F.max(F.struct("size", "key")).alias("m")).select("same", F.col("m.key").alias("cell"), "m.size")
+
+
+def forest(same: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all texts of different roots whose sets are as similar as asked, none to spare."""
+    size = np.array([len(x) for x in sets], np.float32)
+    names, word = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2 ** 24
+    for at in range(0, len(names), SLICE):
+        a, b = np.searchsorted(word, [at, at + SLICE])
+        held = np.zeros((len(sets), min(SLICE, len(names) - at)), np.float32)
+        held[owner[a:b], word[a:b] - at] = 1
+        common += held @ held.T
+    alike = common >= similarity * (size[:, None] + size - common) - 1e-3
+    head = {r: r for r in root.tolist()}
+
+    def top(r):
+        while head[r] != r:
+            head[r] = r = head[head[r]]
+        return r
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(alike & (root[:, None] != root), 1))):
+        x, y = top(int(root[i])), top(int(root[j]))
+        if x != y:
+            head[max(x, y)] = min(x, y)
+            out.append((int(same[i]), int(same[j])))
+    return out
+
+
+def cell_links(texts: DataFrame, roots: DataFrame, placed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links between the texts of each cell: blocks of some ``BLOCK`` texts meet each other inside tasks, and forests come out."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_digests(t, width).view(np.int64) for t in texts], dtype=object)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = forest(rows["same"].to_numpy(), rows["root"].to_numpy(), list(rows["set"]), similarity)
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    named = placed.join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    ways = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = named.withColumn("ways", ways).withColumn("block", F.pmod(F.xxhash64("same", "cell"), F.col("ways")).cast("int"))
+    sets = settle(texts.join(mine, "same").dropDuplicates(["same"]).select("same", "root", "cell", "ways", "block", shingles("text").alias("set")), "cells")
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    pair = [F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")]
+    return met.select("same", "root", "set", "cell", *pair).groupBy("cell", "one", "two").applyInPandas(run, "u long, v long")
+
+
+def open_pairs(sketch: DataFrame, roots: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u, v) of different roots and cells that may be as similar as asked.
 
     Every such pair shares a shingle of its prefixes, so none is lost.  Only
     shingles found under several roots are joined.  A pair's common shingles
     up to the end of the prefix that ends first are all counted, and beyond it
     no more can be common than that text has left.
     """
-    placed = sketch.join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    posts = placed.select("same", "root", F.explode("keys").alias("key"))
-    mixed = posts.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    shared = settle(posts.join(mixed, "key").select("key", "same", "root").distinct(), "shared")
-    side = lambda c: shared.select("key", F.col("same").alias(c), F.col("root").alias(f"root_{c}"))
-    met = side("u").join(side("v"), "key").filter("u < v and root_u <> root_v").groupBy("u", "v").agg(F.count("*").alias("c"))
+    shared = settle(shared_posts(sketch, roots).join(placed.select("same", "cell"), "same", "left"), "shared")
+    side = lambda c: shared.select("key", F.col("same").alias(c), F.col("root").alias(f"root_{c}"), F.col("cell").alias(f"cell_{c}"))
+    elsewhere = ~F.coalesce(F.col("cell_u") == F.col("cell_v"), F.lit(False))
+    met = side("u").join(side("v"), "key").filter((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & elsewhere).groupBy("u", "v").agg(F.count("*").alias("c"))
     slim = settle(sketch.select("same", "n", (F.col("n") - F.size("keys")).alias("left"), F.array_max("keys").alias("end")).filter("n > 0").dropDuplicates(["same"]), "ends")
     ends = lambda c: slim.select(F.col("same").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "left", "end")])
     most = F.col("c") + F.when(F.col("end_u") < F.col("end_v"), F.col("left_u")).when(F.col("end_u") > F.col("end_v"), F.col("left_v")).otherwise(F.least("left_u", "left_v"))
@@ -240,11 +303,12 @@ def open_pairs(sketch: DataFrame, roots: DataFrame, similarity: float) -> DataFr
 def similar_links(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of texts (by hash) whose shingle sets are as similar as asked."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique((shingle_digests(t, width) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in texts], dtype=object)
+        return pd.Series([shingle_digests(t, width).view(np.int64) for t in texts], dtype=object)
 
-    wanted = broadcast_if_small(settle(pairs.select(F.explode(F.array("u", "v")).alias("same")).distinct(), "wanted"))
+    ends = [pairs.select(F.col(c).alias("same")).distinct() for c in "uv"]
+    wanted = broadcast_if_small(settle(ends[0].union(ends[1]).distinct(), "wanted"))
     sets = settle(texts.join(wanted, "same", "left_semi").dropDuplicates(["same"]).select("same", shingles("text").alias("set")), "sets")
     side = lambda c: sets.select(F.col("same").alias(c), F.col("set").alias(f"set_{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
@@ -256,17 +320,22 @@ def linked(docs: DataFrame, known: DataFrame, width: int, similarity: float) ->
     """(node, root) over ``known`` links and all links between texts as similar as asked.
 
     Texts are first compared with the heads of their postings only, which
-    connects most groups at the cost of their members; then all pairs that are
-    still apart and may be similar are compared.
+    connects most groups at the cost of their members.  Texts that share a
+    crowded shingle and are still apart are then compared block by block, and
+    at last all pairs that did not meet so and may be similar.
     """
     small_batches(docs.sparkSession)
+    as_links = lambda roots: roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     texts = docs.select(F.xxhash64("text").alias("same"), F.coalesce("text", F.lit("")).alias("text"))
     sketch = settle(shingled(texts, width, similarity), "sketch")
     roots = components(known.union(similar_links(texts, settle(head_pairs(sketch), "pairs"), width, similarity)))
-    apart = settle(open_pairs(sketch, roots, similarity), "apart")
+    placed = settle(cells(shared_posts(sketch, roots)), "placed")
+    if not placed.isEmpty():
+        roots = components(as_links(roots).union(cell_links(texts, roots, placed, width, similarity)))
+    apart = settle(open_pairs(sketch, roots, placed, similarity), "apart")
     if apart.isEmpty():
         return roots
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(similar_links(texts, apart, width, similarity)))
+    return components(as_links(roots).union(similar_links(texts, apart, width, similarity)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -160,3 +160,30 @@ def test_keep_one_links_a_star(spark):
     want = {i for i in range(len(texts)) if find(i) == i}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+
+
+def test_forest_connects_what_brute_force_connects():
+    """A forest holds one link less than texts for each group, and each of its links is similar enough."""
+    rng = np.random.RandomState(2)
+    base = rng.randint(0, 1 << 40, 120)
+    sets = [np.unique(np.where(rng.rand(120) < rng.choice([0.02, 0.06, 0.1]), rng.randint(0, 1 << 40, 120), base)) for _ in range(60)] + [np.unique(rng.randint(0, 1 << 40, 30)) for _ in range(5)]
+    same, root = np.arange(65) * 10, np.arange(65) % 64 * 10
+    like = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    links = [(i, j) for i in range(65) for j in range(i) if like(sets[i], sets[j])]
+
+    def groups(links):
+        head = dict(zip(same.tolist(), root.tolist()))
+        changed = True
+        while changed:
+            changed = False
+            for u, v in links:
+                low = min(head[u], head[v])
+                changed |= head[u] != low or head[v] != low
+                for k in (u, v):
+                    for x in [x for x in head if head[x] == head[k]] if head[k] != low else []:
+                        head[x] = low
+        return head
+
+    found = simhash.forest(same, root, sets, 0.8)
+    assert groups(found) == groups([(int(same[i]), int(same[j])) for i, j in links]) and len(found) < len(links)
+    assert all(like(sets[u // 10], sets[v // 10]) for u, v in found)
