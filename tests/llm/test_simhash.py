@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
