@@ -41,7 +41,8 @@ CROWD = 32
 PARTS = 16
 COMMON = 1 << 18
 CHUNK = 1 << 16
-BLOCK = 256    # texts of a cell that are compared at a time with as many others
+CROWDED = 64   # texts above which those with a common shingle are compared block by block
+BLOCK = 100_000  # shingles of a block, in all its texts
 SLICE = 4_096  # shingles in one piece of their table
 
 
@@ -226,9 +227,11 @@ def shared_posts(sketch: DataFrame, roots: DataFrame) -> DataFrame:
     return posts.join(mixed, "key").distinct()
 
 
-def cells(shared: DataFrame) -> DataFrame:
-    """(same, cell, size) of the texts with a shingle of more than ``CROWD`` texts: the one that most texts share."""
-    return shared.filter(F.col("size") > CROWD).groupBy("same").agg(F.max(F.struct("size", "key")).alias("m")).select("same", F.col("m.key").alias("cell"), "m.size")
+def cells(shared: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(same, cell, ways) of the texts with a shingle of more than ``CROWDED`` texts: the one that most texts share, and its number of blocks."""
+    chosen = shared.filter(F.col("size") > CROWDED).groupBy("same").agg(F.max(F.struct("size", "key")).alias("m")).select("same", F.col("m.key").alias("cell"))
+    sized = settle(chosen.join(sketch.select("same", "n").dropDuplicates(["same"]), "same"), "chosen")
+    return sized.select("same", "cell").join(sized.groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("ways")), "cell")
 
 
 def forest(same: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -252,6 +255,7 @@ def forest(same: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarit
             head[r] = r = head[head[r]]
         return r
 
+    del owner, word, order
     out = []
     for i, j in zip(*np.nonzero(np.triu(alike & (root[:, None] != root), 1))):
         x, y = top(int(root[i])), top(int(root[j]))
@@ -262,7 +266,7 @@ def forest(same: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarit
 
 
 def cell_links(texts: DataFrame, roots: DataFrame, placed: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links between the texts of each cell: blocks of some ``BLOCK`` texts meet each other inside tasks, and forests come out."""
+    """Links between the texts of each cell: blocks of some ``BLOCK`` shingles meet each other inside tasks, and forests come out."""
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
@@ -273,8 +277,7 @@ def cell_links(texts: DataFrame, roots: DataFrame, placed: DataFrame, width: int
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     named = placed.join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    ways = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = named.withColumn("ways", ways).withColumn("block", F.pmod(F.xxhash64("same", "cell"), F.col("ways")).cast("int"))
+    mine = named.withColumn("block", F.pmod(F.xxhash64("same", "cell"), F.col("ways")).cast("int"))
     sets = settle(texts.join(mine, "same").dropDuplicates(["same"]).select("same", "root", "cell", "ways", "block", shingles("text").alias("set")), "cells")
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     pair = [F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")]
@@ -329,7 +332,7 @@ def linked(docs: DataFrame, known: DataFrame, width: int, similarity: float) ->
     texts = docs.select(F.xxhash64("text").alias("same"), F.coalesce("text", F.lit("")).alias("text"))
     sketch = settle(shingled(texts, width, similarity), "sketch")
     roots = components(known.union(similar_links(texts, settle(head_pairs(sketch), "pairs"), width, similarity)))
-    placed = settle(cells(shared_posts(sketch, roots)), "placed")
+    placed = settle(cells(shared_posts(sketch, roots), sketch), "placed")
     if not placed.isEmpty():
         roots = components(as_links(roots).union(cell_links(texts, roots, placed, width, similarity)))
     apart = settle(open_pairs(sketch, roots, placed, similarity), "apart")
