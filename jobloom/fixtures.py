@@ -260,6 +260,18 @@ def query_set(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").filter(key % 50 == 0).select(key.alias("query_id"), F.element_at(forms, (key / 50 % 5).cast("int") + 1).alias("q"))
 
 
+def job_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The searches of ``query_set`` with sorts and filters; every fourth has no words."""
+    k = F.floor(F.col("query_id") / 50)
+    when = lambda n, i, value: F.when(k % n == i, value)
+    return query_set(spark, sf).select(
+        "query_id", F.when(k % 4 != 3, F.col("q")).alias("q"), pick(["relevance", "newest", "company", "relevance"], k % 4).alias("sort"),
+        when(5, 1, "Remote").alias("workplace"), F.when(k % 6 == 2, "Junior").when(k % 6 == 4, "senior").alias("career_stage"),
+        when(7, 3, F.array(F.lit("the"), F.lit("le"))).alias("skills"), when(8, 2, "Berlin").alias("city"), when(9, 4, "SUPPLIER").alias("company"),
+        when(10, 5, 3).alias("posted_within"), (k % 11 == 6).alias("region_friendly"),
+    )
+
+
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector whose id 50 divides."""
     return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(

@@ -32,7 +32,7 @@ def typed_searches(searches: DataFrame) -> DataFrame:
     )
 
 
-def _fits(as_of) -> Column:
+def fits(as_of) -> Column:
     cutoff = times.minus_days(as_of, F.col("w_days"))
     skills = F.coalesce("w_skills", F.array().cast(NO_TAGS))
     return (
@@ -46,6 +46,21 @@ def _fits(as_of) -> Column:
     )
 
 
+def by_filters(kinds: DataFrame, slim: DataFrame, as_of) -> DataFrame:
+    """Every listing with every set of filters (``filter_key`` and FILTERS) that it meets, once.
+
+    They meet by an anchor: a wanted tag, else the wanted workplace, else every
+    part of the listings.
+    """
+    anchors = F.when(F.size("w_skills") > 0, F.transform("w_skills", lambda s: F.concat(F.lit("tag:"), s))).otherwise(
+        F.when(F.col("w_workplace").isNotNull(), F.array(F.concat(F.lit("place:"), "w_workplace"))).otherwise(F.array(*[F.lit(f"any:{i}") for i in range(WAYS)])))
+    kinds = kinds.withColumn("anchor", F.explode(anchors))
+    tags = F.transform(F.array_distinct(F.concat("skills", "tech_tags")), lambda s: F.concat(F.lit("tag:"), s))
+    own = F.concat(F.array(F.concat(F.lit("any:"), F.pmod(F.xxhash64("id"), F.lit(WAYS)).cast("string")), F.concat(F.lit("place:"), "workplace_type")), tags)
+    met = slim.withColumn("anchor", F.explode(own)).join(broadcast_if_small(kinds), "anchor").filter(fits(as_of))
+    return met.dropDuplicates(["filter_key", "id"])
+
+
 def search_matches(searches: DataFrame, listings: DataFrame, as_of, look: int | None = None) -> DataFrame:
     """(search_id, id, position) of the newest matches of every search.
 
@@ -65,19 +80,13 @@ def search_matches(searches: DataFrame, listings: DataFrame, as_of, look: int |
     queries = worded.select(F.xxhash64("q").alias("query_id"), "q").dropDuplicates(["query_id"])
     words = search_words(search_atoms(queries))
     hits = match_queries(build_index(live, words), queries).select("query_id", "id").join(slim, "id")
-    by_word = hits.join(broadcast_if_small(worded.withColumn("query_id", F.xxhash64("q"))), "query_id").filter(_fits(as_of))
+    by_word = hits.join(broadcast_if_small(worded.withColumn("query_id", F.xxhash64("q"))), "query_id").filter(fits(as_of))
     order = newest_order()
     cut = lambda df, keys: top_per_key(df, keys, order, look) if look else df.withColumn("position", F.lit(0))
     first = cut(by_word, ["search_id"]).select("search_id", "id", "position")
     plain = asked.filter("q is null").withColumn("filter_key", F.sha2(F.to_json(F.struct(*FILTERS)), 256))
     kinds = plain.select("filter_key", *FILTERS).dropDuplicates(["filter_key"])
-    anchors = F.when(F.size("w_skills") > 0, F.transform("w_skills", lambda s: F.concat(F.lit("tag:"), s))).otherwise(
-        F.when(F.col("w_workplace").isNotNull(), F.array(F.concat(F.lit("place:"), "w_workplace"))).otherwise(F.array(*[F.lit(f"any:{i}") for i in range(WAYS)])))
-    kinds = kinds.withColumn("anchor", F.explode(anchors))
-    tags = F.transform(F.array_distinct(F.concat("skills", "tech_tags")), lambda s: F.concat(F.lit("tag:"), s))
-    own = F.concat(F.array(F.concat(F.lit("any:"), F.pmod(F.xxhash64("id"), F.lit(WAYS)).cast("string")), F.concat(F.lit("place:"), "workplace_type")), tags)
-    met = slim.withColumn("anchor", F.explode(own)).join(broadcast_if_small(kinds), "anchor").filter(_fits(as_of))
-    met = met.select("filter_key", "id", "source", "posted_at", "first_seen_at").dropDuplicates(["filter_key", "id"])
+    met = by_filters(kinds, slim, as_of).select("filter_key", "id", "source", "posted_at", "first_seen_at")
     by_filter = cut(met, ["filter_key"]).select("filter_key", "id", "position")
     second = plain.select("search_id", "filter_key").join(by_filter, "filter_key").select("search_id", "id", "position")
     return union_all([first, second])

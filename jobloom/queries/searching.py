@@ -49,6 +49,72 @@ def _(spark, sf):
     return textindex.match_queries(index, qs).select("query_id", "id", F.round("text_rank", 6).alias("text_rank"))
 
 
+FADED = f"text_rank * exp(-greatest((epoch_us({AS_OF}) - epoch_us(anchor)) / 86400000000.0, 0) / 7.0)"
+CHANGED = "id % 3 = 0"
+# What the listings look like after the upkeep: some retitled, some gone.
+KEPT_UP = f"""before AS (SELECT * FROM enriched), later AS (SELECT * REPLACE (CASE WHEN {CHANGED} THEN 'Anvil ' || title ELSE title END AS title) FROM before WHERE id % 7 <> 2)"""
+LATER_DOCS = DOCS.replace("FROM enriched", "FROM later")
+
+
+def upkept_index(spark, sf):
+    """A stored index of the old listings, brought up to date by segments; where it is."""
+    from jobloom.runtime import shared_folder
+    from jobloom.search import storedindex
+
+    old, where = fx.stored(spark, sf), shared_folder(spark, "kept-index")
+    storedindex.create(old, where, 8)
+    changed = old.filter(CHANGED).withColumn("title", F.concat(F.lit("Anvil "), "title"))
+    storedindex.refresh(where, changed.filter("id % 2 = 0"), old.filter("id % 7 = 2"), 8)
+    storedindex.refresh(where, changed.filter("id % 7 <> 2"), None, 8)
+    return where
+
+
+@query("upkept_index_search", "T1 T2 D1", with_enriched("SELECT query_id, id, round(text_rank, 6) AS text_rank FROM hits", ", ".join([KEPT_UP, LATER_DOCS, sv.QUERY_SET, ATOMS, HITS])))
+def _(spark, sf):
+    from jobloom.search import storedindex
+
+    hits = storedindex.match_stored(spark, upkept_index(spark, sf), fx.query_set(spark, sf))
+    return hits.select("query_id", "id", F.round("text_rank", 6).alias("text_rank"))
+
+
+@query("compacted_index", "T1", with_enriched("SELECT id, term, tf, round(weighted, 6) AS weighted FROM idx", ", ".join([KEPT_UP, LATER_DOCS])))
+def _(spark, sf):
+    from jobloom.search import storedindex
+
+    where = upkept_index(spark, sf)
+    storedindex.compact(spark, where, 8)
+    return storedindex.postings(spark, where).select("id", "term", F.size("positions").cast("long").alias("tf"), F.round("weighted", 6).alias("weighted"))
+
+
+REQUESTS = """requests AS (SELECT query_id, k, CASE WHEN k % 4 <> 3 THEN q END AS q, CASE k % 4 WHEN 1 THEN 'newest' WHEN 2 THEN 'company' WHEN 3 THEN 'newest' ELSE 'relevance' END AS sort FROM (SELECT *, query_id // 50 AS k FROM query_set))"""
+MATCHED = f"""matched AS (SELECT r.query_id, e.*, round(coalesce({FADED}, 0), 12) AS rank, r.sort FROM requests r JOIN enriched e ON true LEFT JOIN hits h ON h.query_id = r.query_id AND h.id = e.id
+  WHERE {FRESH} AND (r.q IS NULL OR h.id IS NOT NULL) AND (k % 5 <> 1 OR workplace_type = 'remote') AND (k % 6 <> 2 OR junior_eligible) AND (k % 6 <> 4 OR career_stage = 'senior')
+  AND (k % 7 <> 3 OR list_has_any(skills, ['the', 'le']) OR list_has_any(tech_tags, ['the', 'le'])) AND (k % 8 <> 2 OR coalesce(contains(lower(location_raw), 'berlin'), false)) AND (k % 9 <> 4 OR contains(lower(company_name), 'supplier'))
+  AND (k % 10 <> 5 OR anchor >= {AS_OF} - INTERVAL 3 DAY) AND (k % 11 <> 6 OR region_friendly))"""
+PLACED = f"""standing AS (SELECT query_id, id, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN sort = 'company' THEN lower(company_name) ELSE '' END, CASE WHEN sort = 'relevance' THEN -rank END,
+  CASE WHEN sort = 'relevance' THEN {TRUST} END, CASE WHEN sort = 'relevance' THEN posted_at IS NULL END, posted_at DESC NULLS LAST, CASE WHEN sort = 'newest' THEN first_seen_at END DESC, CASE WHEN sort = 'newest' THEN {TRUST} END, id) AS place FROM matched)"""
+JOBS_SQL = ", ".join([TEXT, REQUESTS, MATCHED, PLACED])
+
+
+@query("search_jobs", "T6 O1 O2 O3 O4 F3 F4 F5 F6 G14", with_enriched("SELECT query_id, id, place AS position, 21.0 - place AS score, total FROM standing WHERE place <= 20", JOBS_SQL))
+def _(spark, sf):
+    from jobloom.search import jobs
+
+    return jobs.search_jobs(fx.stored(spark, sf), fx.job_requests(spark, sf), NOW, DAYS).drop("key")
+
+
+@query("search_jobs_next_page", "O4 S6", with_enriched("SELECT query_id, id, place - 5 AS position, 11.0 - place AS score, total FROM standing WHERE place > 5 AND place <= 10", JOBS_SQL))
+def _(spark, sf):
+    from jobloom.runtime import settle, shared_folder
+    from jobloom.search import jobs, storedindex
+
+    rows, asked, where = fx.stored(spark, sf), fx.job_requests(spark, sf), shared_folder(spark, "jobs-index")
+    storedindex.create(rows, where, 8)
+    hits = lambda queries: storedindex.match_stored(spark, where, queries)
+    first = settle(jobs.search_jobs(rows, asked, NOW, DAYS, 5, hits), "page")
+    return jobs.search_jobs(rows, jobs.next_page(asked, first), NOW, DAYS, 5, hits).drop("key")
+
+
 @query("stored_index_search", "T1 T2", with_enriched("SELECT query_id, id, round(text_rank, 6) AS text_rank FROM hits", TEXT))
 def _(spark, sf):
     from jobloom.runtime import shared_folder
@@ -59,9 +125,6 @@ def _(spark, sf):
     return hits.select("query_id", "id", F.round("text_rank", 6).alias("text_rank"))
 
 
-FADED = f"text_rank * exp(-greatest((epoch_us({AS_OF}) - epoch_us(anchor)) / 86400000000.0, 0) / 7.0)"
-
-
 @query("ranked_search", "T3 O1", with_enriched(f"SELECT query_id, id, round({FADED}, 6) AS rank FROM hits JOIN enriched USING (id) WHERE {FRESH}", TEXT))
 def _(spark, sf):
     live = filters.fresh(fx.stored(spark, sf), NOW, DAYS)
@@ -148,6 +211,12 @@ def _(spark, sf):
     return out.select("query_id", "id", "position", F.round("score", 9).alias("score"), "total")
 
 
+@query("hybrid_search_page_six", "T6 O4", with_enriched("""SELECT query_id, id, position, 121.0 - position AS score, greatest((SELECT count(*) FROM fused f WHERE f.query_id = th.query_id), count(*) OVER (PARTITION BY query_id)) AS total
+  FROM th WHERE query_id IN (SELECT query_id FROM fused) QUALIFY position > 100 AND position <= 120""", ", ".join([TEXT, HINTS, QVEC, HYBRID])))
+def _(spark, sf):
+    return hybrid.hybrid_search(fx.stored(spark, sf), fx.query_set(spark, sf), fx.query_vectors(spark, sf), NOW, DAYS, page=6)
+
+
 PER_SEC = "sec AS (SELECT user_id AS key, epoch_us(ts) // 1000000 AS sec, count(*) AS n FROM events GROUP BY ALL)"
 
 

@@ -42,8 +42,8 @@ def hybrid_search(
     """Text and vector lists of every query, fused, one page each.
 
     ``queries`` has query_id and q; ``query_vectors`` query_id and
-    query_vector.  Hints narrow both legs.  Pages past the fused list fall
-    back to the text ranking.
+    query_vector.  Hints narrow both legs.  A page that lies past the fused
+    list of a query is that page of its text ranking.
     """
     live = fresh(listings, as_of, days)
     asked = parse_intent(queries)
@@ -51,20 +51,23 @@ def hybrid_search(
     text_hits = search(live, queries, as_of)
     if use_hints:
         text_hits = text_hits.join(F.broadcast(hints), "query_id").filter(obeys_hints())
-    text_list = top_per_key(text_hits, ["query_id"], relevance_order(), depth).select("query_id", "id", "position")
+    start, end = (page - 1) * size, page * size
+    text_top = top_per_key(text_hits, ["query_id"], relevance_order(), max(depth, end)).select("query_id", "id", "position")
+    text_list = text_top.filter(F.col("position") <= depth)
     totals = text_hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("text_total"))
     vectors = live.filter("embedding is not null")
     if provider:
         vectors = vectors.filter(F.col("embedding_provider") == provider)
     vec_list = vector_leg(vectors, asked, query_vectors, depth, use_hints)
     fused = reciprocal_rank_fusion(text_list, vec_list)
-    start, end = (page - 1) * size, page * size
     paged = top_per_key(fused, ["query_id"], [F.desc(F.round("fused", 12)), F.asc("id")], end)
     counts = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("fused_total"))
-    out = paged.filter(F.col("position") > start).join(counts, "query_id").join(totals, "query_id", "left")
-    return out.withColumn("total", F.greatest(F.coalesce("text_total", F.lit(0)), "fused_total")).select(
-        "query_id", "id", "position", F.col("fused").alias("score"), "total"
-    )
+    rows = paged.filter(F.col("position") > start).select("query_id", "id", "position", F.col("fused").alias("score"))
+    if start:
+        beyond = text_top.filter(F.col("position") > start).join(counts.filter(F.col("fused_total") > start), "query_id", "left_anti")
+        rows = rows.unionByName(beyond.withColumn("score", (end + 1 - F.col("position")).cast("double")))
+    out = rows.join(counts, "query_id").join(totals, "query_id", "left")
+    return out.withColumn("total", F.greatest(F.coalesce("text_total", F.lit(0)), "fused_total")).select("query_id", "id", "position", "score", "total")
 
 
 HINTS = ["hint_workplace", "hint_stage", "hint_region", "hint_skills"]

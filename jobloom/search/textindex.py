@@ -73,10 +73,10 @@ def _join_terms(index: DataFrame, words: DataFrame) -> DataFrame:
     return hot_join(index, words, "term", F.col("id"))
 
 
-def _atom_hits(index: DataFrame, words: DataFrame) -> DataFrame:
+def _atom_hits(index: DataFrame, words: DataFrame, join) -> DataFrame:
     """(query, alternative, atom, id) for atoms whose words stand in a row."""
     starts = F.transform("positions", lambda p: p - F.col("offset"))
-    hits = _join_terms(index, words).withColumn("starts", F.when(F.col("n_words") > 1, starts).otherwise(F.array(F.lit(0))))
+    hits = join(index, words).withColumn("starts", F.when(F.col("n_words") > 1, starts).otherwise(F.array(F.lit(0))))
     grouped = hits.groupBy("query_id", "alternative", "atom", "id").agg(
         F.first("negative").alias("negative"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.sum("weighted").alias("weighted"),
         F.first("doc_length").alias("doc_length"), F.collect_list("starts").alias("starts"),
@@ -85,13 +85,17 @@ def _atom_hits(index: DataFrame, words: DataFrame) -> DataFrame:
     return grouped.filter((F.col("n") == F.col("n_words")) & (F.size(shared) > 0))
 
 
-def match_queries(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, text_rank) of every listing that satisfies a search."""
+def match_queries(index: DataFrame, queries: DataFrame, join=None) -> DataFrame:
+    """(query_id, id, text_rank) of every listing that satisfies a search.
+
+    ``join`` brings postings and words together where the index has a layout
+    of its own.
+    """
     atoms = search_atoms(queries)
     words = search_words(atoms)
     needed = atoms.filter("not negative").groupBy("query_id", "alternative").agg(F.count(F.lit(1)).alias("needed"))
     # One pass serves wanted and refused atoms alike.
-    hits = _atom_hits(index, words).withColumn("wanted", ~F.col("negative"))
+    hits = _atom_hits(index, words, join or _join_terms).withColumn("wanted", ~F.col("negative"))
     left = hits.groupBy("query_id", "alternative", "id").agg(
         F.count_if("wanted").alias("n"), F.count_if("negative").alias("refused"),
         F.sum(F.when(F.col("wanted"), F.col("weighted"))).alias("weighted"), F.first("doc_length").alias("doc_length"),
