@@ -9,13 +9,15 @@ from jobloom.functions import seniority, times
 from jobloom.functions.enrich import NO_TAGS, clean_tags
 from jobloom.functions.text import blank_to_null
 from jobloom.operators.ranking import newest_order
+from jobloom.operators.percolator import LOOSE, percolate
 from jobloom.operators.relations import not_yet_sent
-from jobloom.runtime import broadcast_if_small, top_per_key, union_all
-from jobloom.search.textindex import build_index, match_queries, search_atoms, search_words
+from jobloom.runtime import top_per_key
 
 SEND = 5    # alerts a search may send per run
-WAYS = 64   # parts of the listings that a search without any anchor meets
-LOOSE = {"city": "location_raw", "country": "location_raw", "company": "company_name", "employment_type": "employment_type"}
+SLIM = [
+    "id", "source", "posted_at", "first_seen_at", "workplace_type", "skills", "tech_tags", "career_stage",
+    "junior_eligible", "region_friendly", "location_raw", "company_name", "employment_type",
+]
 FILTERS = ["w_workplace", "w_skills", "w_days", "w_stage", "w_region", "w_junior", "w_source", *[f"w_{c}" for c in LOOSE]]
 
 
@@ -46,61 +48,38 @@ def fits(as_of) -> Column:
     )
 
 
-def by_filters(kinds: DataFrame, slim: DataFrame, as_of) -> DataFrame:
-    """Every listing with every set of filters (``filter_key`` and FILTERS) that it meets, once.
+def found_by(asked: DataFrame, listings: DataFrame, as_of, new_only: bool = False) -> DataFrame:
+    """search_id, id and ordering columns of the active listings that typed searches match.
 
-    They meet by an anchor: a wanted tag, else the wanted workplace, else every
-    part of the listings.
+    With ``new_only`` a search sees only what came after its last check; the
+    test is part of the match, so nothing older is carried along.
     """
-    anchors = F.when(F.size("w_skills") > 0, F.transform("w_skills", lambda s: F.concat(F.lit("tag:"), s))).otherwise(
-        F.when(F.col("w_workplace").isNotNull(), F.array(F.concat(F.lit("place:"), "w_workplace"))).otherwise(F.array(*[F.lit(f"any:{i}") for i in range(WAYS)])))
-    kinds = kinds.withColumn("anchor", F.explode(anchors))
-    tags = F.transform(F.array_distinct(F.concat("skills", "tech_tags")), lambda s: F.concat(F.lit("tag:"), s))
-    own = F.concat(F.array(F.concat(F.lit("any:"), F.pmod(F.xxhash64("id"), F.lit(WAYS)).cast("string")), F.concat(F.lit("place:"), "workplace_type")), tags)
-    met = slim.withColumn("anchor", F.explode(own)).join(broadcast_if_small(kinds), "anchor").filter(fits(as_of))
-    return met.dropDuplicates(["filter_key", "id"])
+    since = F.col("last_checked_at") if new_only else F.lit(None).cast("timestamp")
+    keyed = asked.withColumn("since", since).withColumn("kind", F.sha2(F.to_json(F.struct("q", "since", *FILTERS)), 256))
+    kinds = keyed.select("kind", "q", "since", *FILTERS).dropDuplicates(["kind"])
+    newer = F.col("since").isNull() | (F.coalesce("first_seen_at", "posted_at") > F.col("since"))
+    live = listings.filter("is_active")
+    found = percolate(kinds, live, SLIM, fits(as_of) & newer).select("kind", "id")
+    return found.join(live.select("id", "source", "posted_at", "first_seen_at"), "id").join(keyed.select("search_id", "kind"), "kind")
 
 
 def search_matches(searches: DataFrame, listings: DataFrame, as_of, look: int | None = None) -> DataFrame:
     """(search_id, id, position) of the newest matches of every search.
 
-    Searches with words meet listings through the term index.  Searches
-    without words are reduced to their distinct filters and meet listings by
-    an anchor: a wanted tag, else the wanted workplace, else every part of the
-    listings.  Every match is kept, with position 0, unless ``look`` asks for
-    that many of the newest.
+    Every match is kept, with position 0, unless ``look`` asks for that many of
+    the newest.
     """
-    asked = typed_searches(searches)
-    live = listings.filter("is_active")
-    slim = live.select(
-        "id", "source", "posted_at", "first_seen_at", "workplace_type", "skills", "tech_tags", "career_stage",
-        "junior_eligible", "region_friendly", "location_raw", "company_name", "employment_type",
-    )
-    worded = asked.filter("q is not null")
-    queries = worded.select(F.xxhash64("q").alias("query_id"), "q").dropDuplicates(["query_id"])
-    words = search_words(search_atoms(queries))
-    hits = match_queries(build_index(live, words), queries).select("query_id", "id").join(slim, "id")
-    by_word = hits.join(broadcast_if_small(worded.withColumn("query_id", F.xxhash64("q"))), "query_id").filter(fits(as_of))
-    order = newest_order()
-    cut = lambda df, keys: top_per_key(df, keys, order, look) if look else df.withColumn("position", F.lit(0))
-    first = cut(by_word, ["search_id"]).select("search_id", "id", "position")
-    plain = asked.filter("q is null").withColumn("filter_key", F.sha2(F.to_json(F.struct(*FILTERS)), 256))
-    kinds = plain.select("filter_key", *FILTERS).dropDuplicates(["filter_key"])
-    met = by_filters(kinds, slim, as_of).select("filter_key", "id", "source", "posted_at", "first_seen_at")
-    by_filter = cut(met, ["filter_key"]).select("filter_key", "id", "position")
-    second = plain.select("search_id", "filter_key").join(by_filter, "filter_key").select("search_id", "id", "position")
-    return union_all([first, second])
+    found = found_by(typed_searches(searches), listings, as_of)
+    if look:
+        return top_per_key(found, ["search_id"], newest_order(), look).select("search_id", "id", "position")
+    return found.select("search_id", "id", F.lit(0).alias("position"))
 
 
 def saved_search_alerts(searches: DataFrame, listings: DataFrame, sent: DataFrame, as_of, send=SEND):
     """(notices, next searches): the newest ``send`` matches of each search that came since its last check."""
     now = times.at(as_of)
-    matches = search_matches(searches, listings, as_of)
-    facts = listings.select("id", "title", "company_name", "workplace_type", "first_seen_at", "posted_at", "source")
-    rows = matches.join(searches.select("search_id", "user_id", "name", "last_checked_at"), "search_id").join(facts, "id")
-    seen = F.coalesce("first_seen_at", "posted_at")
-    new = rows.filter(F.col("last_checked_at").isNull() | (seen > F.col("last_checked_at")))
-    few = top_per_key(new, ["search_id"], newest_order(), send, "place")
+    few = top_per_key(found_by(typed_searches(searches), listings, as_of, True), ["search_id"], newest_order(), send, "place").select("search_id", "id")
+    few = few.join(searches.select("search_id", "user_id", "name"), "search_id").join(listings.select("id", "title", "company_name", "workplace_type"), "id")
     body = F.concat("name", F.lit(": "), "company_name", F.lit(" · "), "workplace_type", F.lit(" · new catalogue match"))
     notices = few.select(
         "user_id", "search_id", F.concat(F.lit("Pulse: "), "title").alias("title"), body.alias("body"),

@@ -12,18 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jobloom.functions import origin, times
 from jobloom.functions.enrich import NO_TAGS, clean_tags
 from jobloom.functions.text import blank_to_null, strip, text
-from jobloom.operators.alerts import FILTERS, LOOSE, by_filters, fits
+from jobloom.operators.alerts import FILTERS, SLIM, fits
 from jobloom.operators.filters import fresh
+from jobloom.operators.percolator import LOOSE, percolate
 from jobloom.operators.ranking import certainty
 from jobloom.runtime import broadcast_if_small, top_per_key, union_all
 from jobloom.search.textindex import build_index, match_queries, search_atoms, search_words
 
 SORTS = ("relevance", "newest", "company")
-FACTS = [
-    "id", "source", "posted_at", "first_seen_at", "workplace_type", "skills", "tech_tags", "career_stage",
-    "junior_eligible", "region_friendly", "location_raw", "company_name", "employment_type",
-]
-
 
 def typed_requests(requests: DataFrame, days: int) -> DataFrame:
     """query_id, q, sort, after and filters of every request; a column the table lacks asks for nothing."""
@@ -66,16 +62,16 @@ def matches(listings: DataFrame, requests: DataFrame, as_of, days: int, hits=Non
     """
     asked = typed_requests(requests, days)
     live = fresh(listings, as_of, days)
-    facts = live.select(*FACTS)
+    facts = live.select(*SLIM)
     worded = asked.filter("q is not null")
     queries = worded.select(F.xxhash64("q").alias("word_id"), "q").dropDuplicates(["word_id"]).withColumnRenamed("word_id", "query_id")
     found = hits(queries) if hits else match_queries(build_index(live, search_words(search_atoms(queries))), queries)
     age = times.age_days(times.age_anchor(F.col("posted_at"), F.col("first_seen_at")), as_of)
     ranked = found.withColumnRenamed("query_id", "word_id").join(facts, "id").withColumn("rank", F.col("text_rank") * F.exp(-age / 7.0))
     by_word = ranked.join(broadcast_if_small(worded.withColumn("word_id", F.xxhash64("q"))), "word_id").filter(fits(as_of))
-    plain = asked.filter("q is null").withColumn("filter_key", F.sha2(F.to_json(F.struct(*FILTERS)), 256))
-    met = by_filters(plain.select("filter_key", *FILTERS).dropDuplicates(["filter_key"]), facts, as_of)
-    by_filter = met.select("filter_key", *FACTS).join(plain.select("query_id", "sort", "after", "filter_key"), "filter_key").withColumn("rank", F.lit(0.0))
+    plain = asked.filter("q is null").withColumn("kind", F.sha2(F.to_json(F.struct(*FILTERS)), 256))
+    met = percolate(plain.select("kind", "q", *FILTERS).dropDuplicates(["kind"]), live, SLIM, fits(as_of)).select("kind", "id").join(facts, "id")
+    by_filter = met.join(plain.select("query_id", "sort", "after", "kind"), "kind").withColumn("rank", F.lit(0.0))
     columns = ["query_id", "after", "id", "rank", "sort", "source", "posted_at", "first_seen_at", "company_name"]
     return union_all([by_word.select(*columns), by_filter.select(*columns)]).select("query_id", "after", sort_key().alias("key"))
 
