@@ -43,6 +43,7 @@ COMMON = 1 << 18
 CHUNK = 1 << 16
 CROWDED = 64   # texts above which those with a common shingle are compared block by block
 BLOCK = 100_000  # shingles of a block, in all its texts
+LEAST = 300    # shingles that a text counts for at least, which bounds the texts of a block
 SLICE = 4_096  # shingles in one piece of their table
 
 
@@ -231,7 +232,7 @@ def cells(shared: DataFrame, sketch: DataFrame) -> DataFrame:
     """(same, cell, ways) of the texts with a shingle of more than ``CROWDED`` texts: the one that most texts share, and its number of blocks."""
     chosen = shared.filter(F.col("size") > CROWDED).groupBy("same").agg(F.max(F.struct("size", "key")).alias("m")).select("same", F.col("m.key").alias("cell"))
     sized = settle(chosen.join(sketch.select("same", "n").dropDuplicates(["same"]), "same"), "chosen")
-    return sized.select("same", "cell").join(sized.groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("ways")), "cell")
+    return sized.select("same", "cell").join(sized.groupBy("cell").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / BLOCK).cast("int").alias("ways")), "cell")
 
 
 def forest(same: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
