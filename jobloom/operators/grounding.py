@@ -59,13 +59,13 @@ def ungrounded_lines(pairs: DataFrame, loose: bool = False) -> DataFrame:
 
 
 def match_panel(original: Column, keywords: Column, found_skills: Column) -> Column:
-    """Asked words split into supported and missing."""
+    """Asked words split into supported and missing; of the latter the first few are also shown apart."""
     body = norm(original)
     asked = F.array_distinct(F.filter(F.transform(F.concat(keywords, found_skills), norm), lambda k: F.length(k) > 0))
     missing = F.filter(asked, lambda k: ~phrase_supported(k, body))
     return F.struct(
-        F.slice(F.filter(asked, lambda k: phrase_supported(k, body)), 1, 30).alias("strong"),
-        F.slice(missing, 1, 40).alias("missing"), F.slice(missing, 1, 8).alias("potential_gaps"),
+        F.filter(asked, lambda k: phrase_supported(k, body)).alias("strong"),
+        missing.alias("missing"), F.slice(missing, 1, 8).alias("potential_gaps"),
     )
 
 

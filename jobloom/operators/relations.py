@@ -61,8 +61,8 @@ def learning_paths(spark) -> DataFrame:
     )
 
 
-def skill_gaps(listing_tags: Column, have: Column, cap: int = 8) -> Column:
-    return F.slice(F.array_sort(F.array_except(listing_tags, clean_tags(have))), 1, cap)
+def skill_gaps(listing_tags: Column, have: Column) -> Column:
+    return F.array_sort(F.array_except(listing_tags, clean_tags(have)))
 
 
 def all_tags(skills: Column, tech_tags: Column) -> Column:
@@ -101,9 +101,9 @@ def gap_paths(gaps: DataFrame, paths: DataFrame) -> DataFrame:
     return best.select("id", "gap", F.coalesce("p.path_label", F.lit(lx.LEARNING_PATH_DEFAULT)).alias("path"))
 
 
-def tag_difference(a: Column, b: Column, cap: int) -> Column:
+def tag_difference(a: Column, b: Column) -> Column:
     empty = F.array().cast(NO_TAGS)
-    return F.slice(F.array_sort(F.array_except(F.coalesce(a, empty), F.coalesce(b, empty))), 1, cap)
+    return F.array_sort(F.array_except(F.coalesce(a, empty), F.coalesce(b, empty)))
 
 
 def tag_intersection(a: Column, b: Column) -> Column:

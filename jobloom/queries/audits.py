@@ -47,7 +47,7 @@ KEYWORDS = ["Python", "React", "graph databases", "users", "python"]
 
 
 @query("match_panel", "R4", f"""WITH {sv.PAIRS}, a AS (SELECT doc_id, {NORM('original')} AS body, list_concat(['python', 'react', 'graph databases', 'users'], list_filter({sv.skill_list('derived', sv.SQL_LEXICON)}, lambda s: s NOT IN ('python', 'react'))) AS asked FROM pairs)
-  SELECT doc_id, array_to_string(list_filter(asked, lambda k: {supported('k', 'body')})[1:30], '|') AS strong, array_to_string(list_filter(asked, lambda k: NOT {supported('k', 'body')})[1:40], '|') AS missing FROM a""")
+  SELECT doc_id, array_to_string(list_filter(asked, lambda k: {supported('k', 'body')}), '|') AS strong, array_to_string(list_filter(asked, lambda k: NOT {supported('k', 'body')}), '|') AS missing FROM a""")
 def _(spark, sf):
     keys = F.array(*[F.lit(k) for k in KEYWORDS])
     p = fx.grounding_pairs(spark, sf).select("doc_id", grounding.match_panel(C("original"), keys, enrich.extract_skills(C("derived"))).alias("p"))

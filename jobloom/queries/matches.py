@@ -33,8 +33,8 @@ side AS (SELECT id AS listing_id, title, lower(title) AS low_title, ' ' || lower
 j AS (SELECT *, regexp_replace(blob, '[.\\-]', '', 'g') AS squeezed FROM pk JOIN side USING (listing_id)),
 m AS (SELECT *, list_sort(list_filter(universe, lambda s: length(s) >= 2 AND (list_contains(tags, s) OR len(list_filter(coalesce({VARIANTS}[s], [s]), lambda v: length(v) >= 2 AND
     (list_contains(tags, v) OR contains(low_title, v) OR contains(squeezed, replace(replace(v, '.', ''), '-', '')) OR contains(blob, ' ' || v || ' ')))) > 0))) AS matched FROM j),
-s1 AS (SELECT *, list_sort(list_filter(tags, lambda t: NOT list_contains(matched, t)))[1:6] AS missing,
-    least(40.0, len(matched) * 6.0 + len(list_filter(list_sort(universe)[1:16], lambda s: contains(low_title, s))) * 2.5 + least(10.0, len(matched) * 1.5)) AS skill FROM m)"""
+s1 AS (SELECT *, list_sort(list_filter(tags, lambda t: NOT list_contains(matched, t))) AS missing,
+    least(40.0, len(matched) * 6.0 + len(list_filter(universe, lambda s: contains(low_title, s))) * 2.5 + least(10.0, len(matched) * 1.5)) AS skill FROM m)"""
 ROLE_POINTS = """list_transform(roles, lambda r: CASE WHEN trim(r) = '' THEN 0.0 WHEN contains(low_title, lower(trim(r))) THEN 20.0 ELSE least(20.0, 5.0 * len(list_intersect(
   list_filter(list_distinct(regexp_extract_all(lower(r), '[a-z0-9+#.]+')), lambda t: length(t) > 2), list_distinct(regexp_extract_all(low_title, '[a-z0-9+#.]+'))))) END)"""
 EXCL = "(career_stage IN ('mid', 'senior') OR coalesce(years_required_min >= 3, false) OR (NOT junior_eligible AND career_stage NOT IN ('internship', 'new_grad', 'junior')))"
@@ -85,9 +85,9 @@ def _(spark, sf):
 
 
 WHERE = "title || ' at ' || company_name"
-NARRATIVE = f"""concat_ws(' ', CASE WHEN total >= 70 THEN 'Strong fit for ' || {WHERE} || '.' WHEN total >= 50 THEN 'Solid but not perfect fit for ' || {WHERE} || '.' ELSE 'Stretch role: ' || {WHERE} || ' — apply only if you’re targeting growth.' END,
-  CASE WHEN len(matched) > 0 THEN 'Your stack hits: ' || array_to_string(matched[1:5], ', ') || '.' END, CASE WHEN len(missing) > 0 THEN 'Likely gaps to address in your application: ' || array_to_string(missing[1:4], ', ') || '.' END,
-  CASE WHEN region >= 8 THEN 'Listing signals openness to candidates from your region or worldwide.' WHEN workplace >= 10 THEN 'Fully remote workplace — confirm time-zone expectations on the career page.' END, 'Always apply on the official career page.')"""
+NARRATIVE = f"""concat_ws(' ', CASE WHEN total >= 70 THEN 'A close match: ' || {WHERE} || '.' WHEN total >= 50 THEN 'A fair match: ' || {WHERE} || '.' ELSE 'A long shot: ' || {WHERE} || '; worth it if you want to grow into it.' END,
+  CASE WHEN len(matched) > 0 THEN 'You bring ' || array_to_string(matched[1:5], ', ') || '.' END, CASE WHEN len(missing) > 0 THEN 'The listing also names ' || array_to_string(missing[1:4], ', ') || '.' END,
+  CASE WHEN region >= 8 THEN 'It is open to people where you live.' WHEN workplace >= 10 THEN 'It is remote; ask about working hours.' END, 'Apply where the employer asks you to.')"""
 
 
 @query("fit_brief", "M9", with_enriched(f"SELECT user_id, listing_id, CASE WHEN total >= 70 THEN 'apply' WHEN total >= 45 THEN 'maybe' ELSE 'skip' END AS verdict, {NARRATIVE} AS narrative FROM s6", FULL))
@@ -112,7 +112,7 @@ def _(spark, sf):
     return recommend.hunt_plan(fx.profiles(spark, sf), fx.enriched(spark, sf), fx.saved(spark, sf), NOW)
 
 
-GAPS = "list_sort(list_filter(list_distinct(list_concat(skills, tech_tags)), lambda t: NOT list_contains(have, t)))[1:8]"
+GAPS = "list_sort(list_filter(list_distinct(list_concat(skills, tech_tags)), lambda t: NOT list_contains(have, t)))"
 PATH = "CASE " + " ".join(f"WHEN contains(g, {q(k)}) THEN {q(l)}" for k, l in lx.LEARNING_PATHS) + " END"
 PLAN = f"""mine AS (SELECT user_id, list_transform(list_concat(skills, technologies), lambda s: lower(s)) AS have FROM profiles),
 pl AS (SELECT saved_id, e.*, have, {GAPS} AS gaps, {EFFORT_HAY} AS hay FROM saved JOIN enriched e ON e.id = listing_id JOIN mine USING (user_id)),
@@ -120,7 +120,7 @@ pp AS (SELECT *, list_filter(list_transform(gaps, lambda g: {{'skill': g, 'path'
 
 
 @query("apply_plan", "M11 J13 U4 P29", with_enriched(f"""SELECT saved_id, array_to_string(gaps, '|') AS gaps, coalesce(paths[1].skill, gaps[1], 'core') AS skill, coalesce(paths[1].path, 'Core software skills') AS path, {EFFORT_CASE(1)} AS minutes_low,
-  CASE WHEN years_required_min >= 3 THEN 'This listing asks for ' || years_required_min || '+ years. Treat as stretch or skip.' WHEN career_stage IN ('senior', 'mid') THEN 'Title is mid/senior — not junior-eligible by default.' END AS skip_reason FROM pp""", ", ".join([sv.PROFILES, sv.SAVED, PLAN])))
+  CASE WHEN years_required_min >= 3 THEN 'It asks for ' || years_required_min || '+ years, more than a first job gives.' WHEN career_stage IN ('senior', 'mid') THEN 'The title is above entry level.' END AS skip_reason FROM pp""", ", ".join([sv.PROFILES, sv.SAVED, PLAN])))
 def _(spark, sf):
     mine = fx.profiles(spark, sf).select("user_id", F.concat("skills", "technologies").alias("have"))
     rows = fx.saved(spark, sf).select("saved_id", "user_id", C("listing_id").alias("id")).join(fx.enriched(spark, sf), "id").join(mine, "user_id")

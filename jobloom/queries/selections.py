@@ -124,10 +124,10 @@ def _(spark, sf):
     return relations.union_candidates(a, e.select("user_id", (C("event_id") % 70).alias("listing_id"), (C("value") / 2).alias("score")))
 
 
-@query("tag_difference", "U4", with_enriched("SELECT id, array_to_string(list_sort(list_filter(list_concat(skills, tech_tags), lambda t: NOT list_contains(['python', 'the'], t)))[1:8], '|') AS gaps FROM enriched"))
+@query("tag_difference", "U4", with_enriched("SELECT id, array_to_string(list_sort(list_filter(list_concat(skills, tech_tags), lambda t: NOT list_contains(['python', 'the'], t))), '|') AS gaps FROM enriched"))
 def _(spark, sf):
     have = F.array(F.lit("python"), F.lit("the"))
-    return fx.enriched(spark, sf).select("id", relations.tag_difference(F.concat("skills", "tech_tags"), have, 8).alias("gaps"))
+    return fx.enriched(spark, sf).select("id", relations.tag_difference(F.concat("skills", "tech_tags"), have).alias("gaps"))
 
 
 @query("tag_intersection", "U5", with_enriched("SELECT id, array_to_string(list_sort(list_intersect(list_concat(skills, tech_tags), ['python', 'the', 'java', 'le'])), '|') AS shared FROM enriched"))
