@@ -7,6 +7,7 @@ from jobloom.functions import enrich, seniority, times, urls
 from jobloom.functions.text import blank_to_null, text
 from jobloom.operators.dedupe import suppress_duplicates
 from jobloom.operators.filters import age_anchor, is_stale
+from jobloom.runtime import broadcast_if_small
 
 # Columns whose change makes a row count as rewritten.
 CONTENT = ["title", "company_name", "description_text", "skills", "career_stage", "workplace_type"]
@@ -157,7 +158,7 @@ def load_registry(df: DataFrame, known_names: DataFrame | None = None, seq: str
 def flag_known_names(registry: DataFrame, names: DataFrame) -> DataFrame:
     """Registry rows whose name is on the list hire juniors."""
     known = names.select(F.lower(F.trim("name")).alias("_n")).distinct().withColumn("_known", F.lit(True))
-    joined = registry.join(F.broadcast(known), F.lower(F.trim(registry["name"])) == F.col("_n"), "left")
+    joined = registry.join(broadcast_if_small(known), F.lower(F.trim(registry["name"])) == F.col("_n"), "left")
     return joined.withColumn("hires_juniors", F.col("hires_juniors") | F.coalesce("_known", F.lit(False))).drop("_n", "_known")
 
 

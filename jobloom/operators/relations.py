@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jobloom import lexicons as lx
 from jobloom.functions.enrich import NO_TAGS, clean_tags
 from jobloom.functions.text import blank_to_null
+from jobloom.operators.containment import holding
 from jobloom.runtime import broadcast_if_small, union_all
 
 
@@ -95,10 +96,11 @@ def learning_path(gaps: Column, paths=tuple(lx.LEARNING_PATHS)) -> Column:
 
 
 def gap_paths(gaps: DataFrame, paths: DataFrame) -> DataFrame:
-    """One row per gap joined to its path by key, default where none fits."""
-    j = gaps.join(F.broadcast(paths), F.col("gap").contains(F.col("path_key")), "left")
-    best = j.groupBy("id", "gap").agg(F.min(F.struct("path_order", "path_label")).alias("p"))
-    return best.select("id", "gap", F.coalesce("p.path_label", F.lit(lx.LEARNING_PATH_DEFAULT)).alias("path"))
+    """One row per gap joined to the first path whose key it contains, default where none fits."""
+    held = holding(gaps.select(F.col("gap").alias("value")).distinct(), paths.select(F.col("path_key").alias("word")).distinct())
+    best = held.join(paths, F.col("word") == F.col("path_key")).groupBy("value").agg(F.min(F.struct("path_order", "path_label")).alias("p"))
+    j = gaps.select("id", "gap").distinct().join(best, F.col("gap") == F.col("value"), "left")
+    return j.select("id", "gap", F.coalesce("p.path_label", F.lit(lx.LEARNING_PATH_DEFAULT)).alias("path"))
 
 
 def tag_difference(a: Column, b: Column) -> Column:

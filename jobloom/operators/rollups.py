@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jobloom import lexicons as lx
 from jobloom.functions import times
 from jobloom.functions.enrich import any_of, clean_tags
-from jobloom.functions.text import slugify, squash, title_key
+from jobloom.functions.text import slugify, squash, text, title_key
+from jobloom.operators.containment import holding
 from jobloom.operators.filters import fresh, has_any_tag, in_window
 from jobloom.runtime import broadcast_if_small, earliest, top_per_key
 
@@ -102,31 +103,20 @@ def embed_pass_stats(result: DataFrame) -> DataFrame:
 def title_suggestions(df: DataFrame, prefixes: DataFrame, as_of, days, limit: int = 8) -> DataFrame:
     """Title completions for many prefixes at once.
 
-    Titles are grouped before they meet the prefixes, and meet them on the
-    first two characters, so only titles holding that pair are compared.
+    Distinct titles meet the distinct prefixes on the rarest three characters
+    of each; titles that are shown alike are merged over all hits, the best
+    stay, and whoever asks for a prefix gets its list.
     """
-    size = F.length("title")
-    titles = fresh(df, as_of, days).filter((size >= 5) & (size <= 90)).groupBy(F.lower(F.trim("title")).alias("low")).agg(
-        F.min("title").alias("title"), F.count(F.lit(1)).alias("cnt"),
-        F.max(F.lower("title")).alias("shown_low"),
-    )
-    asked = prefixes.select("query_id", F.lower(squash(F.col("q"))).alias("p")).filter(F.length("p") >= 2).withColumn("pair", F.left("p", F.lit(2)))
-    pairs = F.transform(F.sequence(F.lit(1), F.length("shown_low") - 1), lambda i: F.substr("shown_low", i, F.lit(2)))
-    met = titles.withColumn("pair", F.explode(F.array_distinct(pairs))).join(broadcast_if_small(asked), "pair")
-    hits = met.filter(F.col("shown_low").contains(F.col("p")))
-    grade = F.when(F.col("shown_low").startswith(F.col("p")), 300).when(
-        F.col("shown_low").contains(F.concat(F.lit(" "), "p")), 150).otherwise(50)
-    scored = hits.withColumn("score", grade + F.least("cnt", F.lit(80)))
-    best = top_per_key(scored, ["query_id"], [F.desc("score"), F.desc("cnt"), F.asc("low")], limit * 3)
-    key = title_key(F.col("title"))
-    shown = F.when(F.length(key) > 0, key).otherwise(F.trim("title"))
-    named = best.withColumns({"display": shown, "mkey": F.lower(shown)}).filter(F.length("mkey") >= 3)
-    merged = earliest(
-        named.withColumns({"ncnt": -F.col("cnt"), "pos": F.col("position")}), ["query_id", "mkey"],
-        [F.col("ncnt"), F.col("pos")], ["display", "cnt", "score"],
-    )
-    out = top_per_key(merged, ["query_id"], [F.desc("score"), F.desc("cnt"), F.asc("mkey")], limit, "rank")
-    return out.select("query_id", "rank", F.col("display").alias("title"), F.col("cnt").alias("count"))
+    shown = F.when(F.length(title_key(F.col("title"))) > 0, title_key(F.col("title"))).otherwise(F.trim("title"))
+    titles = fresh(df, as_of, days).groupBy(F.lower(F.trim("title")).alias("value")).agg(F.min("title").alias("title"), F.count(F.lit(1)).alias("cnt"))
+    titles = titles.withColumn("display", shown).withColumn("mkey", F.lower("display")).filter(F.length("mkey") >= 3)
+    asked = prefixes.select("query_id", F.lower(squash(F.col("q"))).alias("word")).filter(F.length("word") >= 2)
+    met = holding(titles.select("value"), asked.select("word").distinct()).join(titles, "value")
+    grade = F.when(F.col("value").startswith(F.col("word")), 300).when(F.col("value").contains(F.concat(F.lit(" "), "word")), 150).otherwise(50)
+    scored = met.withColumn("score", grade + F.least("cnt", F.lit(80)))
+    merged = earliest(scored.withColumns({"ncnt": -F.col("cnt"), "nscore": -F.col("score")}), ["word", "mkey"], [F.col("ncnt"), F.col("nscore"), F.col("value")], ["display", "cnt", "score"])
+    best = top_per_key(merged, ["word"], [F.desc("score"), F.desc("cnt"), F.asc("mkey")], limit, "rank")
+    return asked.join(best, "word").select("query_id", "rank", F.col("display").alias("title"), F.col("cnt").alias("count"))
 
 
 def landing_dim(spark, table: dict | None = None) -> DataFrame:
@@ -142,7 +132,7 @@ def _remote(df: DataFrame) -> DataFrame:
 def tag_to_landing(df: DataFrame, dim: DataFrame) -> DataFrame:
     """(id, slug) for every tag of a listing that has a landing page."""
     tags = F.explode(F.array_distinct(F.concat(clean_tags(F.col("skills")), clean_tags(F.col("tech_tags")))))
-    return df.select("id", tags.alias("tag")).join(F.broadcast(dim), "tag").select("id", "slug").distinct()
+    return df.select("id", tags.alias("tag")).join(broadcast_if_small(dim), "tag").select("id", "slug").distinct()
 
 
 def skill_landings(df: DataFrame, dim: DataFrame, as_of, days, minimum: int = lx.MIN_SKILL_LISTINGS) -> DataFrame:
@@ -203,10 +193,11 @@ def location_landings(df: DataFrame, places, as_of, days, city: bool = False, mi
 
 
 def location_pairs(df: DataFrame, patterns: DataFrame) -> DataFrame:
-    """listing x place pattern by containment; patterns are a fixed short list."""
-    low = F.lower(F.coalesce("location_raw", F.lit("")))
-    hits = df.withColumn("_low", low).join(F.broadcast(patterns), F.col("_low").contains(F.col("pattern")))
-    return hits.select("id", "slug").distinct()
+    """listing x place pattern by containment; distinct places meet the patterns once."""
+    rows = df.select("id", F.lower(text(F.col("location_raw"))).alias("value"))
+    held = holding(rows.select("value").distinct(), patterns.select(F.col("pattern").alias("word")).distinct())
+    named = held.join(patterns.select(F.col("pattern").alias("word"), "slug"), "word").select("value", "slug").distinct()
+    return rows.join(broadcast_if_small(named), "value").select("id", "slug").distinct()
 
 
 def description_audit(df: DataFrame, encoded: Column, junk: Column, leaked: Column, changed: Column) -> DataFrame:

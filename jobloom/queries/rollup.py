@@ -59,10 +59,9 @@ TKEY = r"trim(trim(regexp_replace(regexp_replace(title, '(?i)\s*[-|–—]\s*(re
 
 
 @query("title_suggestions", "G5", with_listings(f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cnt DESC, mkey) AS rank, display AS title, cnt AS count
-  FROM (SELECT *, {TKEY} AS display, lower({TKEY}) AS mkey FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, mkey ORDER BY cnt DESC, pos) = 1) QUALIFY rank <= 8""",
-    PREFIX + f""", titles AS (SELECT lower(trim(title)) AS low, min(title) AS title, count(*) AS cnt FROM listings WHERE {FRESH} AND length(title) BETWEEN 5 AND 90 GROUP BY 1),
-  hits AS (SELECT query_id, low, title, cnt, CASE WHEN starts_with(low, p) THEN 300 WHEN contains(low, ' ' || p) THEN 150 ELSE 50 END + least(cnt, 80) AS score,
-    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cnt DESC, low) AS pos FROM titles JOIN asked ON contains(low, p) QUALIFY pos <= 24)"""))
+  FROM (SELECT *, {TKEY} AS display, lower({TKEY}) AS mkey FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, mkey ORDER BY cnt DESC, score DESC, low) = 1) QUALIFY rank <= 8""",
+    PREFIX + f""", titles AS (SELECT lower(trim(title)) AS low, min(title) AS title, count(*) AS cnt FROM listings WHERE {FRESH} GROUP BY 1),
+  hits AS (SELECT query_id, low, title, cnt, CASE WHEN starts_with(low, p) THEN 300 WHEN contains(low, ' ' || p) THEN 150 ELSE 50 END + least(cnt, 80) AS score FROM titles JOIN asked ON contains(low, p))"""))
 def _(spark, sf):
     return rollups.title_suggestions(fx.listings(spark, sf), prefixes(spark, sf), NOW, DAYS)
 

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from jobloom.operators import alerts, percolator
+from jobloom.operators import alerts, containment
 from jobloom.search import jobs, storedindex, textindex
 
 NOW = "2024-01-31T00:00:00"
@@ -58,7 +58,7 @@ def test_values_that_contain_a_word(spark):
     some = lambda n: {"".join(rnd.choice("abc ") for _ in range(rnd.randrange(0, n))) for _ in range(60)}
     values, words = some(9), some(5)
     frame = lambda xs, name: spark.createDataFrame([(x,) for x in xs], f"{name} string")
-    got = {tuple(r) for r in percolator.holding(frame(values, "value"), frame(words, "word")).collect()}
+    got = {tuple(r) for r in containment.holding(frame(values, "value"), frame(words, "word")).collect()}
     assert got == {(v, w) for v in values for w in words if w and w in v}
 
 
