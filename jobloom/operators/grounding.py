@@ -84,7 +84,9 @@ def integrity_audit(original: DataFrame, final: DataFrame) -> DataFrame:
 
     Both frames have one row per document entry: doc_id, kind (contact field,
     summary, skills, experience, projects, education or other), heading, body.
-    Counts are combined per document before the two sides meet.
+    Counts are combined per document before the two sides meet.  A row of kind
+    other is a section: two of one key in a final document are a failure, and
+    so is every one without a heading.
     """
     single = ["name", "email", "phone", "summary", "skills"]
     many = ["experience", "projects", "education"]
@@ -109,7 +111,11 @@ def integrity_audit(original: DataFrame, final: DataFrame) -> DataFrame:
     bare = sum((n(f"f_{k}") for k in ["summary", "skills"] + many), F.lit(0)) == 0
     tests += [F.when(invented, "invented_references"), F.when(bare, "empty_document")]
     lost = F.transform(F.array_except(o_keys, f_keys), lambda k: F.concat(F.lit("lost_section:"), k))
-    return j.select("doc_id", F.explode(F.concat(F.array_compact(F.array(*tests)), lost)).alias("failure"))
+    between = j.select("doc_id", F.explode(F.concat(F.array_compact(F.array(*tests)), lost)).alias("failure"))
+    other = final.filter(F.col("kind") == "other").select("doc_id", "heading", section_key(F.col("heading")).alias("key"))
+    twice = other.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.concat(F.lit("duplicate_section:"), "key").alias("failure"))
+    unnamed = other.filter(strip(text(F.col("heading"))) == "").select("doc_id", F.lit("empty_section_heading").alias("failure"))
+    return union_all([between, twice, unnamed])
 
 
 def lost_and_invented_sections(original: DataFrame, final: DataFrame) -> DataFrame:

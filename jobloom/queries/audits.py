@@ -62,17 +62,18 @@ def entries(spark, sf):
     """Original and final documents: one entry per line, some lost or emptied."""
     s = fx.sections(spark, sf).select("doc_id", fx.pick(KINDS, (C("doc_id") + C("pos")) % 7).alias("kind"), "heading", C("item").alias("body"), "pos")
     final = s.filter("(doc_id + pos) % 5 <> 0").withColumn("body", F.when(C("doc_id") % 6 == 0, F.lit("")).otherwise(C("body")))
-    return s, final
+    return s, final.withColumn("heading", F.when((C("doc_id") % 11 == 3) & (C("pos") % 4 == 1), F.lit(" ")).otherwise(C("heading")))
 
 
 ENTRIES = f"""o AS (SELECT doc_id, {sv.pick(KINDS, '(doc_id + pos) % 7')} AS kind, {KEY_OF} AS k, item AS body, pos FROM sections),
-f AS (SELECT * REPLACE (CASE WHEN doc_id % 6 = 0 THEN '' ELSE body END AS body) FROM o WHERE (doc_id + pos) % 5 <> 0)"""
+f AS (SELECT * REPLACE (CASE WHEN doc_id % 6 = 0 THEN '' ELSE body END AS body, CASE WHEN doc_id % 11 = 3 AND pos % 4 = 1 THEN '' ELSE k END AS k) FROM o WHERE (doc_id + pos) % 5 <> 0)"""
 COUNT_COLS = ", ".join(f"count(*) FILTER (WHERE kind = '{k}' AND {sv.strip('body')} <> '') AS n_{k}" for k in ["name", "email", "summary", "skills", "experience", "projects"])
 LOSSES = " UNION ALL ".join(
     [f"SELECT doc_id, '{v}' AS failure FROM j WHERE a_{k} > 0 AND b_{k} = 0" for k, v in {"name": "missing_name", "email": "missing_contact:email", "summary": "missing_summary", "skills": "missing_skills"}.items()]
     + [f"SELECT doc_id, 'lost_{k}:' || a_{k} || '->' || b_{k} FROM j WHERE b_{k} < a_{k}" for k in ["experience", "projects"]]
     + ["SELECT doc_id, 'empty_document' FROM j WHERE b_summary + b_skills + b_experience + b_projects = 0",
        "SELECT doc_id, 'lost_section:' || k FROM (SELECT DISTINCT doc_id, k FROM o WHERE kind = 'other' EXCEPT SELECT DISTINCT doc_id, k FROM f WHERE kind = 'other')",
+       "SELECT doc_id, 'duplicate_section:' || k FROM f WHERE kind = 'other' GROUP BY doc_id, k HAVING count(*) > 1", "SELECT doc_id, 'empty_section_heading' FROM f WHERE kind = 'other' AND k = ''",
        "SELECT DISTINCT doc_id, 'invented_references' FROM f WHERE kind = 'other' AND k = 'references' AND doc_id NOT IN (SELECT doc_id FROM o WHERE kind = 'other' AND k = 'references')"])
 COLS = ["name", "email", "summary", "skills", "experience", "projects"]
 JOINED = f"a AS (SELECT doc_id, {COUNT_COLS} FROM o GROUP BY doc_id), b AS (SELECT doc_id, {COUNT_COLS} FROM f GROUP BY doc_id), j AS (SELECT doc_id, " + ", ".join(f"a.n_{k} AS a_{k}, coalesce(b.n_{k}, 0) AS b_{k}" for k in COLS) + " FROM a LEFT JOIN b USING (doc_id))"
@@ -83,7 +84,7 @@ def _(spark, sf):
     return grounding.integrity_audit(*entries(spark, sf))
 
 
-@query("changed_sections", "U6", f"WITH {sv.SECTIONS}, {ENTRIES} SELECT doc_id, k AS section, 'lost' AS change FROM (SELECT DISTINCT doc_id, k FROM o EXCEPT SELECT DISTINCT doc_id, k FROM f)")
+@query("changed_sections", "U6", f"WITH {sv.SECTIONS}, {ENTRIES} SELECT doc_id, k AS section, 'lost' AS change FROM (SELECT DISTINCT doc_id, k FROM o EXCEPT SELECT DISTINCT doc_id, k FROM f) UNION ALL SELECT doc_id, k, 'invented' FROM (SELECT DISTINCT doc_id, k FROM f EXCEPT SELECT DISTINCT doc_id, k FROM o)")
 def _(spark, sf):
     return grounding.lost_and_invented_sections(*entries(spark, sf))
 
