@@ -43,6 +43,7 @@ COMMON = 1 << 18
 CHUNK = 1 << 16
 CROWDED = 64   # texts above which those with a common shingle are compared block by block
 BLOCK = 100_000  # shingles of a block, in all its texts
+MARGIN = 1e-3  # of likeness, well above what 32-bit digests that are equal by chance add
 LEAST = 300    # shingles that a text counts for at least, which bounds the texts of a block
 SLICE = 4_096  # shingles in one piece of their table
 
@@ -213,11 +214,12 @@ def shingled(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     return texts.select("same", run("text").alias("s")).select("same", "s.*")
 
 
-def head_pairs(sketch: DataFrame) -> DataFrame:
-    """Pairs of every text and the least member of each of its postings under partial prints."""
-    postings = settle(sketch.select("same", F.explode("parts").alias("part")).distinct(), "parts")
-    heads = postings.groupBy("part").agg(F.min("same").alias("u"), F.count("*").alias("n")).filter("n > 1")
-    return postings.join(heads, "part").filter(F.col("same") != F.col("u")).select("u", F.col("same").alias("v")).distinct()
+def head_pairs(sketch: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of every text and the least member of each of its postings under partial prints, but for those whose sizes rule a likeness out."""
+    postings = settle(sketch.select("same", "n", F.explode("parts").alias("part")).distinct(), "parts")
+    heads = postings.groupBy("part").agg(F.min(F.struct("same", "n")).alias("u"), F.count("*").alias("size")).filter("size > 1")
+    met = postings.join(heads, "part").filter((F.col("same") != F.col("u.same")) & (F.least("n", "u.n") >= similarity * F.greatest("n", "u.n") - 1e-6))
+    return met.select(F.col("u.same").alias("u"), F.col("same").alias("v")).distinct()
 
 
 def shared_posts(sketch: DataFrame, roots: DataFrame) -> DataFrame:
@@ -304,12 +306,13 @@ def open_pairs(sketch: DataFrame, roots: DataFrame, placed: DataFrame, similarit
     return met.join(ends("u"), "u").join(ends("v"), "v").filter(alike).select("u", "v")
 
 
-def similar_links(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of texts (by hash) whose shingle sets are as similar as asked."""
+def compared(texts: DataFrame, pairs: DataFrame, width: int, bits: int) -> DataFrame:
+    """(u, v, alike): likeness of the sets of ``bits``-bit digests of the shingles of both texts (by hash)."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>" if bits == 32 else "array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_digests(t, width).view(np.int64) for t in texts], dtype=object)
+        whole = (shingle_digests(t, width) for t in texts)
+        return pd.Series([np.unique((x >> np.uint64(32)).astype(np.uint32).view(np.int32)) if bits == 32 else x.view(np.int64) for x in whole], dtype=object)
 
     ends = [pairs.select(F.col(c).alias("same")).distinct() for c in "uv"]
     wanted = broadcast_if_small(settle(ends[0].union(ends[1]).distinct(), "wanted"))
@@ -317,7 +320,20 @@ def similar_links(texts: DataFrame, pairs: DataFrame, width: int, similarity: fl
     side = lambda c: sets.select(F.col("same").alias(c), F.col("set").alias(f"set_{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     shared = F.size(F.array_intersect("set_u", "set_v"))
-    return both.filter(shared >= similarity * (F.size("set_u") + F.size("set_v") - shared)).select("u", "v")
+    return both.select("u", "v", (shared / (F.size("set_u") + F.size("set_v") - shared)).alias("alike"))
+
+
+def similar_links(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of texts (by hash) whose shingle sets are as similar as asked.
+
+    Digests of 32 bits decide all pairs but those within ``MARGIN`` of the
+    threshold, where digests that are equal by chance could tell; these few
+    are compared again by digests of 64 bits.
+    """
+    rough = settle(compared(texts, pairs, width, 32).filter(F.col("alike") >= similarity - MARGIN), "rough")
+    close = rough.filter(F.col("alike") < similarity + MARGIN).select("u", "v")
+    sure = rough.filter(F.col("alike") >= similarity + MARGIN).select("u", "v")
+    return sure.union(compared(texts, close, width, 64).filter(F.col("alike") >= similarity - 1e-9).select("u", "v"))
 
 
 def linked(docs: DataFrame, known: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -332,7 +348,7 @@ def linked(docs: DataFrame, known: DataFrame, width: int, similarity: float) ->
     as_links = lambda roots: roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     texts = docs.select(F.xxhash64("text").alias("same"), F.coalesce("text", F.lit("")).alias("text"))
     sketch = settle(shingled(texts, width, similarity), "sketch")
-    roots = components(known.union(similar_links(texts, settle(head_pairs(sketch), "pairs"), width, similarity)))
+    roots = components(known.union(similar_links(texts, settle(head_pairs(sketch, similarity), "pairs"), width, similarity)))
     placed = settle(cells(shared_posts(sketch, roots), sketch), "placed")
     if not placed.isEmpty():
         roots = components(as_links(roots).union(cell_links(texts, roots, placed, width, similarity)))
