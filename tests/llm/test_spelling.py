@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import Row
 
 from jobloom.llm import spelling
 from jobloom.llm.queries import op12_spelling_variants
