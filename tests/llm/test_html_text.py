@@ -60,3 +60,37 @@ def test_omitted_end_tags_and_modifiers():
     assert "\n\n".join(html_text.blocks(deep)) == WANT
     for name in ("has-sidebar", "no-sidebar", "layout with-nav", "hasSidebar"):
         assert "\n\n".join(html_text.blocks(f'<div class="{name}">{body}</div>')) == WANT, name
+
+
+def test_open_head():
+    body = "<h1>Heading</h1>" + "".join(f"<p>{p}</p>" for p in PARAS)
+    for head in ("<head><title>T</title>", "<head><meta charset=utf-8><script>var a;</script>", "<head/>", ""):
+        for start in ("<body>", ""):
+            assert "\n\n".join(html_text.blocks(f"<html>{head}{start}<article>{body}</article></body></html>")) == WANT, head + start
+    assert html_text.blocks("<head><noscript><p>Switch scripts on, please</p></noscript></head><body><p>words") == ["words"]
+
+
+def test_marked_wrappers():
+    """A wrapper whose name sounds like a frame keeps its article; frames inside or beside it stay frames."""
+    body = "<h1>Heading</h1>" + "".join(f"<p>{p}</p>" for p in PARAS)
+    frames = '<div class="sidebar"><p>A sidebar with a long text about other matters that nobody needs here.</p></div><div class="related-posts"><ul>' + '<li><a href="/x">Another story of the day</a>' * 20 + '</ul></div><div class="comments"><h3>Comments</h3><p>I have read all of this and I did not like a single word of what you say there.</p></div>'
+    for name in ('class="container sidebar-right"', 'id="content-with-sidebar"', 'class="elementor-widget-container"', 'class="menu-open"', 'class="topic-social-science"', 'class="comments-open"'):
+        for inner in (body, f"<article>{body}</article>", f"<div class='widget'>{body}</div>"):
+            for page in (f"<div {name}>{inner}</div>", f"<div {name}>{inner}{frames}</div>", f"<div {name}>{inner}</div>{frames}"):
+                if "comments-open" in name and page.endswith(frames):
+                    continue  # beside so much other text a name that tells of comments stands
+                assert "\n\n".join(html_text.blocks(f"<body>{page}</body>")) == WANT, page
+    assert "\n\n".join(html_text.blocks(f'<article class="post share-on">{body}</article>{frames}')) == WANT
+
+
+def test_long_comments_stay_out():
+    said = "<p>This is a long comment by a reader who has much to say on this matter of ours.</p>"
+    for tag in ("div", "section", "article"):
+        page = f"<h1>Heading</h1><p>{PARAS[0]}</p><div class='comments'>" + f"<{tag} class='comment'>{said}</{tag}>" * 30 + "</div>"
+        assert html_text.blocks(page) == ["Heading", PARAS[0].replace("&amp;", "&")], tag
+    short = "<p>Short article.</p><div id='cookie-notice'>" + said + "</div>"
+    assert html_text.blocks(f"<article>{short}</article>") == ["Short article."]
+    for by in ("", "<p>By A. Writer</p>"):
+        body = "".join(f"<p>{p}</p>" for p in PARAS)
+        got = html_text.blocks(f"<article><h1>Heading</h1>{by}<div class='elementor-widget'>{body}</div></article>")
+        assert "\n\n".join(x for x in got if x != "By A. Writer") == WANT
