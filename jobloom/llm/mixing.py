@@ -122,10 +122,15 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, block: int = 4096)
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target and the words that the mix takes of every row."""
+    """doc_id, size, source_size, target, the words that the mix takes of every row, and its place in the schedule.
+
+    The place is the first slot that holds words of the row (null if none is
+    taken) and the number of its stretches in slots, repeats included.
+    """
     placed, mixed = mix(docs, **how)
-    sums = mixed.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    return placed.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    sums = mixed.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return placed.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", number("taken"), "first_slot", number("n_slots"))
 
 
 def mixed_documents(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, block: int = 4096) -> DataFrame:
