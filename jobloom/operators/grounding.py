@@ -144,15 +144,18 @@ def strip_heading_echo(item: Column, heading: Column) -> Column:
 
 
 def merge_sections(items: DataFrame) -> DataFrame:
-    """One row per (doc, section) with the union of its items, in order.
+    """One row per (doc, section) with its heading as shown and the union of its items, in order.
 
-    ``items`` has doc_id, pos, heading, item.  Bullets and heading echoes are
+    ``items`` has doc_id, pos, heading, item.  An unknown section is shown
+    under its first heading, in title case.  Bullets and heading echoes are
     dropped.  Of two items of which one contains the other only the longer
     stays, in the earlier one's place.  The fold runs over one section of one
     document, from which exact repeats were removed by an aggregate first.
     """
     clean = F.regexp_replace(squash(text(F.col("item"))), r"^[•\-*–—]+\s*", "")
-    rows = items.select("doc_id", "pos", section_key(F.col("heading")).alias("section"), strip_heading_echo(clean, F.col("heading")).alias("item"))
+    rows = items.select("doc_id", "pos", section_key(F.col("heading")).alias("section"), strip_heading_echo(clean, F.col("heading")).alias("item"), squash(text(F.col("heading"))).alias("heading"))
+    shown = rows.groupBy("doc_id", "section").agg(F.initcap(F.min_by("heading", F.struct("pos", "heading"))).alias("heading"))
+    shown = shown.withColumn("heading", F.coalesce(F.try_element_at(lookup(lx.SECTION_DISPLAY), F.col("section")), "heading"))
     bare = (F.size(F.split("item", " ")) <= 4) & section_key(F.col("item")).isin(sorted(set(lx.SECTION_KEY.values()))) & (F.length("item") <= 48)
     rows = rows.withColumn("nk", norm_item(F.col("item"))).filter((F.length("nk") > 0) & ~bare)
     once = rows.groupBy("doc_id", "section", "item", "nk").agg(F.min("pos").alias("pos"))
@@ -167,7 +170,8 @@ def merge_sections(items: DataFrame) -> DataFrame:
         return F.when(at > 0, swapped).otherwise(F.array_append(acc, new)).cast(kind)
 
     kept = F.aggregate("xs", F.array().cast(kind), step)
-    return lists.select("doc_id", "section", F.transform(kept, lambda y: y["item"]).alias("items"))
+    merged = lists.select("doc_id", "section", F.transform(kept, lambda y: y["item"]).alias("items"))
+    return merged.join(shown, ["doc_id", "section"]).select("doc_id", "section", "heading", "items")
 
 
 def duplicate_section_keys(sections: DataFrame) -> DataFrame:
@@ -208,18 +212,20 @@ def entries_match(a: Column, b: Column) -> Column:
 
 
 def aligned_entries(base: DataFrame, derived: DataFrame) -> DataFrame:
-    """(doc_id, base_pos, derived_pos): each base entry with its rewrite.
+    """(doc_id, base_pos, derived_pos): each base entry with its rewrite, and what is new.
 
-    Base entries choose in order and no derived entry is used twice.  The
+    Base entries choose in order and no derived entry is used twice; those
+    left over that have a label are new (base_pos null).  The
     choice is a fold over one document's entry lists, a handful of rows that
     two aggregates bring together; nothing is joined pair by pair.
     """
     side = lambda df, name: df.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", entity_key(F.col("label")).alias("key")))).alias(name))
-    both = side(base, "bs").join(side(derived, "ds"), "doc_id", "left")
+        F.array_sort(F.collect_list(F.struct("pos", entity_key(F.col("label")).alias("key"), (strip(text(F.col("label"))) != "").alias("named")))).alias(name))
+    both = side(base, "bs").join(side(derived, "ds"), "doc_id", "full_outer")
     state = "struct<used:array<bigint>,out:array<struct<base_pos:bigint,derived_pos:bigint>>>"
     start = F.from_json(F.lit('{"used":[],"out":[]}'), state)
-    ds = F.coalesce("ds", F.array().cast("array<struct<pos:bigint,key:string>>"))
+    none = F.array().cast("array<struct<pos:bigint,key:string,named:boolean>>")
+    bs, ds = F.coalesce("bs", none), F.coalesce("ds", none)
 
     def step(acc, b):
         free = F.filter(ds, lambda d: ~F.array_contains(acc["used"], d["pos"]) & entries_match(b["key"], d["key"]))
@@ -229,8 +235,10 @@ def aligned_entries(base: DataFrame, derived: DataFrame) -> DataFrame:
             F.array_append(acc["out"], F.struct(b["pos"].alias("base_pos"), pick.alias("derived_pos"))).alias("out"),
         ).cast(state)
 
-    folded = F.aggregate("bs", start, step)
-    return both.select("doc_id", F.explode(folded["out"]).alias("o")).select("doc_id", "o.base_pos", "o.derived_pos")
+    done = both.select("doc_id", ds.alias("ds"), F.aggregate(bs, start, step).alias("f"))
+    new = F.filter("ds", lambda d: d["named"] & ~F.array_contains(F.col("f.used"), d["pos"]))
+    added = F.transform(new, lambda d: F.struct(F.lit(None).cast("bigint").alias("base_pos"), d["pos"].cast("bigint").alias("derived_pos")))
+    return done.select("doc_id", F.explode(F.concat("f.out", added)).alias("o")).select("doc_id", "o.base_pos", "o.derived_pos")
 
 
 def category(skill: Column) -> Column:
@@ -252,27 +260,45 @@ def skill_relevance(skill: Column, keywords: Column, job: Column, cat: Column) -
     return F.lit(0.3) + add(named, 3.0) + add(near, 1.5) + add(words, 0.5) + add(cat.isin(lx.CORE_CATEGORIES), 0.15)
 
 
+def cased(c: Column) -> Column:
+    """Null if a text has no upper-case letter."""
+    return F.when(c != F.lower(c), c)
+
+
+def as_written(skill: Column, original: Column) -> Column:
+    """First place of a skill as a whole word in a text, in the text's own letters; null without upper case."""
+    pattern = F.concat(F.lit(r"(?i)(?<![\w+#.])\Q"), F.regexp_replace(skill, r"\\E", ""), F.lit(r"\E(?![\w+#.])"))
+    return cased(F.regexp_substr(original, pattern))
+
+
 def skill_groups(docs: DataFrame, max_groups: int = 7, max_per_group: int = 10, max_total: int = 36) -> DataFrame:
     """Supported skills of a document, grouped and ranked for a posting.
 
-    ``docs`` has doc_id, candidates, original, keywords and job_text.
+    ``docs`` has doc_id, candidates, original, keywords and job_text.  ``items``
+    are normalised, ``names`` the same skills as shown: acronyms by table,
+    else as the text writes them, else the first candidate with upper case.
     """
     rows = docs.select(
-        "doc_id", norm(F.col("original")).alias("body"), F.transform("keywords", norm).alias("keywords"),
+        "doc_id", "original", norm(F.col("original")).alias("body"), F.transform("keywords", norm).alias("keywords"),
         norm(F.col("job_text")).alias("job"), F.posexplode("candidates").alias("pos", "raw"))
     rows = rows.withColumn("skill", norm(F.col("raw"))).filter(F.length("skill") >= 2)
     rows = rows.filter(phrase_supported(F.col("skill"), F.col("body")))
+    written = F.coalesce(F.try_element_at(lookup(lx.SKILL_DISPLAY), F.col("skill")), as_written(F.col("skill"), F.col("original")))
+    rows = rows.withColumn("raw", squash(text(F.col("raw")))).withColumn("written", written).drop("original", "body")
+    named = F.coalesce(F.first("written"), F.min_by("raw", F.when(cased(F.col("raw")).isNotNull(), F.col("pos"))), F.min_by("raw", "pos"))
+    rows = rows.groupBy("doc_id", "skill").agg(F.min("pos").alias("pos"), named.alias("name"), F.first("keywords").alias("keywords"), F.first("job").alias("job"))
     # One row per skill of a document; a longer variant of a base name wins.
     base = norm(F.regexp_replace("skill", r"\s*[(\[].*$", ""))
     rows = rows.withColumn("base", base).filter(F.length("base") > 0)
     best = rows.groupBy("doc_id", "base").agg(
-        F.min("pos").alias("pos"), F.max_by("skill", F.struct(F.length("skill"), -F.col("pos"))).alias("skill"),
+        F.min("pos").alias("pos"), F.max_by(F.struct("skill", "name"), F.struct(F.length("name"), -F.col("pos"))).alias("best"),
         F.first("keywords").alias("keywords"), F.first("job").alias("job"))
-    best = best.withColumn("category", category(F.col("skill")))
+    best = best.select("doc_id", "pos", "best.*", "keywords", "job").withColumn("category", category(F.col("skill")))
     best = best.withColumn("relevance", F.round(skill_relevance(F.col("skill"), F.col("keywords"), F.col("job"), F.col("category")), 4))
-    kept = top_per_category(best.select("doc_id", "pos", "skill", "category", "relevance"), max_total, max_per_group)
+    kept = top_per_category(best.select("doc_id", "pos", "skill", "name", "category", "relevance"), max_total, max_per_group)
     grouped = kept.groupBy("doc_id", "category").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("in_category", "skill"))), lambda x: x["skill"]).alias("items"))
+        F.array_sort(F.collect_list(F.struct("in_category", "skill", "name"))).alias("in_order"))
+    grouped = grouped.select("doc_id", "category", F.col("in_order.skill").alias("items"), F.col("in_order.name").alias("names"))
     order = {c: i for i, c in enumerate(lx.CATEGORY_ORDER)}
     placed = grouped.withColumn("place", F.coalesce(F.try_element_at(lookup(order), F.col("category")), F.lit(50)))
     last = placed.filter(F.col("category") == lx.CATEGORY_FALLBACK)
@@ -281,4 +307,4 @@ def skill_groups(docs: DataFrame, max_groups: int = 7, max_per_group: int = 10,
     # The fallback group takes the last place when the named ones fill all.
     swapped = last.join(crowded, "doc_id", "left_semi").withColumn("group_no", F.lit(max_groups))
     keep = named.join(swapped.select("doc_id", "group_no"), ["doc_id", "group_no"], "left_anti")
-    return union_all([keep, swapped]).select("doc_id", "group_no", "category", "items")
+    return union_all([keep, swapped]).select("doc_id", "group_no", "category", "items", "names")

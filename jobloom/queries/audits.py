@@ -99,10 +99,14 @@ FOLD = """list_reduce(list_transform(xs, lambda x: [{'nk': x.nk, 'it': x.it}]),
   ELSE list_transform(acc, lambda y, i: CASE WHEN i = list_position(list_transform(acc, lambda z: contains(z.nk, b[1].nk) OR contains(b[1].nk, z.nk)), true) AND length(b[1].it) > length(y.it) THEN b[1] ELSE y END) END)"""
 
 
+TITLED = "array_to_string(list_transform(string_split(heading, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+FIRST = f"SELECT doc_id, {KEY_OF} AS section, first(heading ORDER BY pos) AS heading FROM sections GROUP BY doc_id, {KEY_OF}"
+
+
 @query("merge_sections", "R6", f"""WITH {sv.SECTIONS}, c AS (SELECT doc_id, pos, {KEY_OF} AS section, regexp_replace({squash('item')}, {BULLET}, '') AS it FROM sections),
   n AS (SELECT *, {NK('it')} AS nk FROM c), k AS (SELECT * FROM n WHERE nk <> '' AND NOT (len(string_split(it, ' ')) <= 4 AND {ITEM_KEY} IN ({SECTION_NAMES}))),
   u AS (SELECT doc_id, section, it, nk, min(pos) AS pos FROM k GROUP BY ALL), l AS (SELECT doc_id, section, list({{'pos': pos, 'nk': nk, 'it': it}} ORDER BY pos, nk, it) AS xs FROM u GROUP BY ALL)
-  SELECT doc_id, section, array_to_string(list_transform({FOLD}, lambda y: y.it), '|') AS items FROM l""")
+  SELECT doc_id, section, coalesce({map_sql(lx.SECTION_DISPLAY, q)}[section], {TITLED}) AS heading, array_to_string(list_transform({FOLD}, lambda y: y.it), '|') AS items FROM l JOIN ({FIRST}) USING (doc_id, section)""")
 def _(spark, sf):
     return grounding.merge_sections(fx.sections(spark, sf))
 
@@ -132,17 +136,45 @@ def _(spark, sf):
     return grounding.banned_phrases(docs)
 
 
-@query("aligned_entries", "R10")
+ENTITY = lambda c: sv.strip(f"regexp_replace({NORM(c)}, '[^a-z0-9 ]', ' ', 'g')")
+WORDS_OF = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '\\s+'), lambda t: length(t) > 2))"
+SHORTER = f"least(len({WORDS_OF('b[1].key')}), len({WORDS_OF('d.key')}))"
+SHARED_WORDS = f"len(list_intersect({WORDS_OF('b[1].key')}, {WORDS_OF('d.key')}))"
+MATCH = f"b[1].key <> '' AND d.key <> '' AND (contains(b[1].key, d.key) OR contains(d.key, b[1].key) OR ({SHORTER} > 0 AND {SHARED_WORDS} / greatest({SHORTER}, 1) >= 0.6))"
+# A fold over the base entries: every step keeps one element whose pick is the first free match.
+PICK = f"list_filter(b[1].ds, lambda d: NOT list_contains(list_transform(acc, lambda a: a.pick), d.pos) AND {MATCH})[1].pos"
+ALIGN = f"list_reduce(list_transform(bs, lambda x: [{{'pos': x.pos, 'key': x.key, 'ds': ds, 'pick': NULL::BIGINT}}]), lambda acc, b: list_concat(acc, [{{'pos': b[1].pos, 'key': b[1].key, 'ds': NULL, 'pick': {PICK}}}]), []::STRUCT(pos BIGINT, \"key\" VARCHAR, ds STRUCT(pos BIGINT, \"key\" VARCHAR)[], pick BIGINT)[])"
+SIDE = lambda where, pos, label: f"SELECT doc_id, list({{'pos': {pos}, 'key': {ENTITY(label)}}} ORDER BY pos) AS xs, list({pos}) FILTER (WHERE {sv.strip(label)} <> '') AS named FROM sections WHERE {where} GROUP BY doc_id"
+
+
+@query("aligned_entries", "R10", f"""WITH {sv.SECTIONS}, b AS ({SIDE('pos % 4 <> 3', 'pos', 'item')}), d AS ({SIDE('pos % 3 <> 1', 'pos + 100', "item || ' lead'")}),
+  j AS (SELECT doc_id, coalesce(b.xs, []) AS bs, coalesce(d.xs, []) AS ds, coalesce(d.named, []) AS named FROM b FULL JOIN d USING (doc_id)), f AS (SELECT doc_id, named, {ALIGN} AS out FROM j)
+  SELECT doc_id, o.pos AS base_pos, o.pick AS derived_pos FROM (SELECT doc_id, unnest(out) AS o FROM f)
+  UNION ALL SELECT doc_id, NULL, unnest(list_filter(named, lambda n: NOT list_contains(list_transform(out, lambda a: a.pick), n))) FROM f""")
 def _(spark, sf):
-    base = fx.sections(spark, sf).select("doc_id", "pos", C("item").alias("label"))
-    derived = base.filter("pos % 3 <> 1").select("doc_id", (C("pos") + 100).alias("pos"), F.concat("label", F.lit(" lead")).alias("label"))
+    lines = fx.sections(spark, sf).select("doc_id", "pos", C("item").alias("label"))
+    base, derived = lines.filter("pos % 4 <> 3"), lines.filter("pos % 3 <> 1").select("doc_id", (C("pos") + 100).alias("pos"), F.concat("label", F.lit(" lead")).alias("label"))
     return grounding.aligned_entries(base, derived)
 
 
 CANDIDATES = ["Python", "React", "python", "Docker (compose)", "docker", "Users", "graph ql tools", "grew", "SQL", "x"]
 
 
-@query("skill_groups", "R7 W6")
+FRAGMENTS = " ".join(f"WHEN contains(skill, {q(n)}) OR contains({q(n)}, skill) THEN {q(c)}" for n, c in lx.SKILL_CATEGORY.items() if len(n) >= 3)
+CATEGORY = f"coalesce({map_sql(lx.SKILL_CATEGORY, q)}[skill], CASE {FRAGMENTS} ELSE {q(lx.CATEGORY_FALLBACK)} END)"
+WRITTEN = "regexp_extract(original, '(?i)(?:^|[^\\w+#.])(' || regexp_escape(skill) || ')(?:$|[^\\w+#.])', 1)"
+RELEVANCE = f"""0.3 + CASE WHEN skill IN ('python', 'sql') OR contains(job, skill) THEN 3 ELSE 0 END + CASE WHEN contains(skill, 'python') OR contains('python', skill) OR contains(skill, 'sql') OR contains('sql', skill) THEN 1.5 ELSE 0 END
+  + CASE WHEN len(list_filter(string_split(skill, ' '), lambda t: length(t) >= 4 AND contains(job, t))) > 0 THEN 0.5 ELSE 0 END + CASE WHEN category IN ({', '.join(map(q, lx.CORE_CATEGORIES))}) THEN 0.15 ELSE 0 END"""
+
+
+@query("skill_groups", "R7 W6", f"""WITH {sv.PAIRS}, c AS (SELECT doc_id, original || ' docker (compose) sql' AS original, derived, unnest(range({len(CANDIDATES)})) AS pos, unnest({sv.arr(CANDIDATES)}) AS raw FROM pairs),
+  n AS (SELECT doc_id, pos, raw, original, {NORM('original')} AS body, {NORM('derived')} AS job, {NORM('raw')} AS skill FROM c), s AS (SELECT * FROM n WHERE length(skill) >= 2 AND {supported('skill', 'body')}),
+  w AS (SELECT *, coalesce({map_sql(lx.SKILL_DISPLAY, q)}[skill], CASE WHEN {WRITTEN} <> lower({WRITTEN}) THEN {WRITTEN} END) AS written FROM s),
+  v AS (SELECT doc_id, skill, any_value(job) AS job, min(pos) AS pos, coalesce(min(written), first(raw ORDER BY pos) FILTER (WHERE raw <> lower(raw)), first(raw ORDER BY pos)) AS name FROM w GROUP BY doc_id, skill),
+  g AS (SELECT doc_id, {NORM("regexp_replace(skill, '[(\\[].*$', '')")} AS base, any_value(job) AS job, min(pos) AS pos, first(skill ORDER BY length(name) DESC, pos) AS skill, first(name ORDER BY length(name) DESC, pos) AS name FROM v GROUP BY doc_id, base HAVING base <> ''),
+  k AS (SELECT *, {CATEGORY} AS category FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {RELEVANCE} DESC, pos) AS overall FROM k),
+  t AS (SELECT * FROM r WHERE overall <= 36 QUALIFY row_number() OVER (PARTITION BY doc_id, category ORDER BY overall) <= 10)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_position({sv.arr(lx.CATEGORY_ORDER)}, category)) AS group_no, category, string_agg(skill, '|' ORDER BY overall) AS items, string_agg(name, '|' ORDER BY overall) AS names FROM t GROUP BY doc_id, category""")
 def _(spark, sf):
     docs = fx.grounding_pairs(spark, sf).select("doc_id", F.concat("original", F.lit(" docker (compose) sql")).alias("original"), C("derived").alias("job_text"),
         F.array(*[F.lit(c) for c in CANDIDATES]).alias("candidates"), F.array(F.lit("python"), F.lit("sql")).alias("keywords"))

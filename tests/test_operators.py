@@ -155,6 +155,29 @@ def test_skill_groups(spark):
     assert got == {"Languages": ["python"], "DevOps & Cloud": ["docker (compose)"], "Additional Skills": ["teamwork"]}
 
 
+def test_skill_names(spark):
+    """Shown names: acronym table, the text's own letters, the first candidate with upper case, the longer variant."""
+    text = "Built a REST API in Go and javascript (es6+) on aws; PostgreSQL, c++ and node.js"
+    asked = ["rest api", "go", "javascript", "JavaScript (ES6+)", "AWS", "postgresql", "C++", "Node.js", "sql"]
+    df = spark.createDataFrame([(1, asked, text, ["go"], "we use go"), (2, ["go"], "going", [], ""), (3, None, None, None, None)], "doc_id long, candidates array<string>, original string, keywords array<string>, job_text string")
+    rows = grounding.skill_groups(df).collect()
+    named = {i: n for r in rows if r.doc_id == 1 for i, n in zip(r["items"], r.names)}
+    assert named == {"rest api": "REST API", "go": "Go", "javascript (es6+)": "JavaScript (ES6+)", "aws": "AWS", "postgresql": "PostgreSQL", "c++": "C++", "node.js": "Node.js", "sql": "SQL"}
+    assert [r.names for r in rows if r.doc_id != 1] == [["go"]]
+
+
+def test_new_entries_are_appended(spark):
+    base = spark.createDataFrame([(1, 1, "Developer at Acme"), (3, 1, "Cook")], "doc_id long, pos long, label string")
+    new = spark.createDataFrame([(1, 10, "Painter"), (1, 11, "Acme developer"), (1, 12, " "), (2, 10, "Gardener"), (2, 11, None)], "doc_id long, pos long, label string")
+    got = {tuple(r) for r in grounding.aligned_entries(base, new).collect()}
+    assert got == {(1, 1, 11), (1, None, 10), (2, None, 10), (3, 1, None)}
+
+
+def test_headings_shown(spark):
+    df = spark.createDataFrame([(1, 0, "awards", "Best in show"), (1, 1, "side QUESTS", "Sailing"), (1, 2, "Side quests", "Chess")], "doc_id long, pos long, heading string, item string")
+    assert {r.section: (r.heading, r["items"]) for r in grounding.merge_sections(df).collect()} == {"awards": ("Awards", ["Best in show"]), "side quests": ("Side Quests", ["Sailing", "Chess"])}
+
+
 def test_invented_figures(spark):
     df = spark.createDataFrame([("Cut the queue at the desk.", "Cut the queue at the desk by 31%.")], "original string, derived string")
     assert df.select(grounding.unsupported_metrics(F.col("original"), F.col("derived")).alias("v")).first().v == ["31%"]
