@@ -203,9 +203,9 @@ def _entry_words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: F.length(t) > 2))
 
 
-def entries_match(a: Column, b: Column) -> Column:
-    """Equal, contained, or 60 % of the shorter one's words shared."""
-    wa, wb = _entry_words(a), _entry_words(b)
+def entries_match(a: Column, b: Column, wa: Column | None = None, wb: Column | None = None) -> Column:
+    """Equal, contained, or 60 % of the shorter one's words shared; the words may be given."""
+    wa, wb = _entry_words(a) if wa is None else wa, _entry_words(b) if wb is None else wb
     smaller = F.least(F.size(wa), F.size(wb))
     share = F.size(F.array_intersect(wa, wb)) / F.greatest(smaller, F.lit(1))
     return (a != "") & (b != "") & (a.contains(b) | b.contains(a) | ((smaller > 0) & (share >= 0.6)))
@@ -219,16 +219,17 @@ def aligned_entries(base: DataFrame, derived: DataFrame) -> DataFrame:
     choice is a fold over one document's entry lists, a handful of rows that
     two aggregates bring together; nothing is joined pair by pair.
     """
-    side = lambda df, name: df.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", entity_key(F.col("label")).alias("key"), (strip(text(F.col("label"))) != "").alias("named")))).alias(name))
+    keyed = lambda df: df.select("doc_id", F.col("pos").cast("bigint").alias("pos"), entity_key(F.col("label")).alias("key"), (strip(text(F.col("label"))) != "").alias("named"))
+    side = lambda df, name: keyed(df).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "key", "named", _entry_words(F.col("key")).alias("words")))).alias(name))
     both = side(base, "bs").join(side(derived, "ds"), "doc_id", "full_outer")
     state = "struct<used:array<bigint>,out:array<struct<base_pos:bigint,derived_pos:bigint>>>"
     start = F.from_json(F.lit('{"used":[],"out":[]}'), state)
-    none = F.array().cast("array<struct<pos:bigint,key:string,named:boolean>>")
+    none = F.array().cast("array<struct<pos:bigint,key:string,named:boolean,words:array<string>>>")
     bs, ds = F.coalesce("bs", none), F.coalesce("ds", none)
 
     def step(acc, b):
-        free = F.filter(ds, lambda d: ~F.array_contains(acc["used"], d["pos"]) & entries_match(b["key"], d["key"]))
+        free = F.filter(ds, lambda d: ~F.array_contains(acc["used"], d["pos"]) & entries_match(b["key"], d["key"], b["words"], d["words"]))
         pick = F.try_element_at(free, F.lit(1))["pos"]
         return F.struct(
             F.when(pick.isNotNull(), F.array_append(acc["used"], pick)).otherwise(acc["used"]).alias("used"),

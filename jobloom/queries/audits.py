@@ -138,13 +138,13 @@ def _(spark, sf):
 
 ENTITY = lambda c: sv.strip(f"regexp_replace({NORM(c)}, '[^a-z0-9 ]', ' ', 'g')")
 WORDS_OF = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '\\s+'), lambda t: length(t) > 2))"
-SHORTER = f"least(len({WORDS_OF('b[1].key')}), len({WORDS_OF('d.key')}))"
-SHARED_WORDS = f"len(list_intersect({WORDS_OF('b[1].key')}, {WORDS_OF('d.key')}))"
+SHORTER = "least(len(b[1].ws), len(d.ws))"
+SHARED_WORDS = "len(list_intersect(b[1].ws, d.ws))"
 MATCH = f"b[1].key <> '' AND d.key <> '' AND (contains(b[1].key, d.key) OR contains(d.key, b[1].key) OR ({SHORTER} > 0 AND {SHARED_WORDS} / greatest({SHORTER}, 1) >= 0.6))"
 # A fold over the base entries: every step keeps one element whose pick is the first free match.
 PICK = f"list_filter(b[1].ds, lambda d: NOT list_contains(list_transform(acc, lambda a: a.pick), d.pos) AND {MATCH})[1].pos"
-ALIGN = f"list_reduce(list_transform(bs, lambda x: [{{'pos': x.pos, 'key': x.key, 'ds': ds, 'pick': NULL::BIGINT}}]), lambda acc, b: list_concat(acc, [{{'pos': b[1].pos, 'key': b[1].key, 'ds': NULL, 'pick': {PICK}}}]), []::STRUCT(pos BIGINT, \"key\" VARCHAR, ds STRUCT(pos BIGINT, \"key\" VARCHAR)[], pick BIGINT)[])"
-SIDE = lambda where, pos, label: f"SELECT doc_id, list({{'pos': {pos}, 'key': {ENTITY(label)}}} ORDER BY pos) AS xs, list({pos}) FILTER (WHERE {sv.strip(label)} <> '') AS named FROM sections WHERE {where} GROUP BY doc_id"
+ALIGN = f"list_reduce(list_transform(bs, lambda x: [{{'pos': x.pos, 'key': x.key, 'ws': x.ws, 'ds': ds, 'pick': NULL::BIGINT}}]), lambda acc, b: list_concat(acc, [{{'pos': b[1].pos, 'key': NULL, 'ws': NULL, 'ds': NULL, 'pick': {PICK}}}]), []::STRUCT(pos BIGINT, \"key\" VARCHAR, ws VARCHAR[], ds STRUCT(pos BIGINT, \"key\" VARCHAR, ws VARCHAR[])[], pick BIGINT)[])"
+SIDE = lambda where, pos, label: f"SELECT doc_id, list({{'pos': {pos}, 'key': {ENTITY(label)}, 'ws': {WORDS_OF(ENTITY(label))}}} ORDER BY pos) AS xs, list({pos}) FILTER (WHERE {sv.strip(label)} <> '') AS named FROM sections WHERE {where} GROUP BY doc_id"
 
 
 @query("aligned_entries", "R10", f"""WITH {sv.SECTIONS}, b AS ({SIDE('pos % 4 <> 3', 'pos', 'item')}), d AS ({SIDE('pos % 3 <> 1', 'pos + 100', "item || ' lead'")}),
