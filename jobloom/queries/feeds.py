@@ -62,6 +62,25 @@ def _(spark, sf):
     return feeds.normalize_feed(raw, NOW, DAYS, ["personio"]).select("external_id", "title", "posted_at", "apply_url")
 
 
+@query("read_rss_feed", "S2 S1", with_listings(f"""SELECT CASE WHEN id % 3 = 0 THEN 'https://rss.example.com/' || id ELSE 'wwr-' || id END AS external_id, 'Firm ' || id % 7 AS company_name, title || ' engineer' AS title,
+  CASE WHEN id % 4 = 0 THEN 'Remote' WHEN id % 4 = 1 THEN 'Anywhere' ELSE 'Land ' || id % 5 END AS location_raw, date_trunc('second', posted_at) AS posted_at,
+  'https://rss.example.com/' || id AS apply_url FROM listings WHERE posted_at IS NULL OR date_trunc('second', posted_at) >= {CUTOFF}"""))
+def _(spark, sf):
+    """News items; a third has no guid, places stand in either of two elements or in none."""
+    where = shared_folder(spark, "rss")
+    key = C("id").cast("string")
+    link = F.concat(F.lit("https://rss.example.com/"), key)
+    df = fx.listings(spark, sf).select(
+        F.when(C("id") % 3 != 0, F.concat(F.lit("wwr-"), key)).alias("guid"), link.alias("link"),
+        F.concat(F.lit("Firm "), (C("id") % 7).cast("string"), F.lit(": "), "title", F.lit(" engineer")).alias("title"),
+        F.concat(F.lit("<p>"), "description_text", F.lit("</p>")).alias("description"),
+        F.date_format("posted_at", "EEE, dd MMM yyyy HH:mm:ss '+0000'").alias("pubDate"),
+        F.when(C("id") % 4 == 1, "Anywhere").alias("region"), F.when(C("id") % 4 > 1, F.concat(F.lit("Land "), (C("id") % 5).cast("string"))).alias("country"))
+    df.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(where)
+    raw = feeds.read_xml_feed(spark, where, "item", feeds.NEWS_SCHEMA, "weworkremotely")
+    return feeds.normalize_feed(raw, NOW, DAYS, ["weworkremotely"]).select("external_id", "company_name", "title", "location_raw", "posted_at", "apply_url")
+
+
 @query("posting_export", "S7 P33 P34 P35 P36 P40", with_enriched(f"SELECT id, title, 'https://listings.example.com/jobs/' || id AS url, company_name AS employer FROM enriched WHERE is_active AND anchor >= {CUTOFF} - INTERVAL 12 HOUR"))
 def _(spark, sf):
     docs = export.posting_export(fx.enriched(spark, sf), NOW, DAYS)
