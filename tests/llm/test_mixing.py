@@ -85,3 +85,18 @@ def test_documents(spark):
         assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
     for s, t in target.items():
         assert abs(got[s] - t) <= 1
+
+
+def test_slots_of_documents(spark):
+    """In the order of their first slots every source's documents come evenly, and all that is taken has a slot."""
+    rows = [(i, "w " * 8, "abc"[i % 3]) for i in range(600)] + [(600, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(docs, block=8).collect()
+    by = {i: s for i, _, s in rows}
+    assert all((r.taken == 0) == (r.first_slot is None) == (r.n_slots == 0) and 8 * r.n_slots >= r.taken for r in got)
+    first = sorted((r.first_slot, by[r.doc_id], r.taken) for r in got if r.taken)
+    assert len({slot for slot, _, _ in first}) == len(first)  # a block of 8 words is one document
+    slots = 600
+    for name, weight in zip("abc", (1, 2, 3)):
+        new = [slot for slot, source, _ in first if source == name]
+        assert all(abs(k - slot * weight / 6) < 8 for k, slot in enumerate(new) if slot < slots)
