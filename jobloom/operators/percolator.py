@@ -19,7 +19,7 @@ from jobloom.functions import seniority
 from jobloom.functions.text import strip, text
 from jobloom.operators.containment import holding
 from jobloom.runtime import broadcast_if_small, hot_join, settle, union_all
-from jobloom.search.textindex import build_index, match_queries, search_atoms, search_words
+from jobloom.search.textindex import build_index, match_texts, search_atoms, search_words
 
 LOOSE = {"city": "location_raw", "country": "location_raw", "company": "company_name", "employment_type": "employment_type"}
 NONE = "array<struct<clause: string, token: string>>"
@@ -85,5 +85,5 @@ def percolate(kinds: DataFrame, listings: DataFrame, slim: list[str], fits: Colu
     tested = settle(met.join(facts, "id").join(broadcast_if_small(kinds), "kind").filter(fits).select("kind", "id", "q"), "tested")
     wanted = tested.filter("q is not null").select(F.col("kind").alias("query_id"), "id")
     pairs = lambda postings, asked_words: wanted.join(broadcast_if_small(asked_words), "query_id").join(postings, ["id", "term"])
-    worded = match_queries(index, queries, pairs).select(F.col("query_id").alias("kind"), "id", "text_rank")
+    worded = match_texts(index, queries, pairs).select(F.col("query_id").alias("kind"), "id", "text_rank")
     return union_all([worded, tested.filter("q is null").select("kind", "id", F.lit(None).cast("double").alias("text_rank"))])

@@ -103,3 +103,37 @@ def test_pages_by_key_follow_one_another(spark):
     for query in (1, 2, 3, 4):
         listed = [r for r in whole if r[0] == query]
         assert [r for r in order(first) + second if r[0] == query] == listed[:10] and listed[0][2] == len(listed) > 5
+
+
+def test_searches_of_one_text_are_matched_once(spark, monkeypatch):
+    rows = listings(spark, 60)
+    texts = ["red bolt", "anvil OR gear", "the -red"]
+    many = spark.createDataFrame([(i, texts[i % 3] if i % 10 else None) for i in range(90)], "query_id long, q string")
+    matched, plain = [], textindex.match_texts
+    monkeypatch.setattr(textindex, "match_texts", lambda index, queries, join=None: matched.append(queries.filter("q is not null").count()) or plain(index, queries, join))
+    answer = lambda df: sorted((r.query_id, r.id, round(r.text_rank, 9)) for r in df.collect())
+    index = textindex.build_index(rows)
+    got = answer(textindex.match_queries(index, many))
+    assert matched == [3] and got == answer(plain(index, many)) and len({q for q, *_ in got}) == 81
+    # Beyond the bound of a broadcast the result is the same.
+    monkeypatch.setattr(textindex, "broadcast_if_small", lambda df, rows=0: df)
+    assert answer(textindex.match_queries(index, many)) == got
+
+
+def test_a_kept_index_is_built_without_moving_tokens(spark):
+    rows = spark.createDataFrame([(1, "b a", "a", ["x"], "a b"), (2, "", "", None, None), (3, "c", None, [], "d c")], "id long, title string, company_name string, skills array<string>, description_text string")
+    index = textindex.build_index(rows)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.term): (round(r.weighted, 9), r.positions, r.doc_length) for r in index.collect()}
+    assert got == {(1, "a"): (2.2, [1, 2, 4], 6), (1, "b"): (1.2, [0, 5], 6), (1, "x"): (0.4, [3], 6), (3, "c"): (1.2, [0, 2], 3), (3, "d"): (0.2, [1], 3)}
+
+
+def test_requests_that_ask_alike_are_answered_once(spark, monkeypatch):
+    rows = listings(spark, 60)
+    asked = spark.createDataFrame([(i, ["red", None, "the"][i % 3], ["relevance", "newest", "company"][i % 3], "Remote" if i % 2 else None) for i in range(30)], "query_id long, q string, sort string, workplace string")
+    answered, plain = [], jobs.matches
+    monkeypatch.setattr(jobs, "matches", lambda listings, asked, *rest: answered.append(asked.count()) or plain(listings, asked, *rest))
+    page = jobs.search_jobs(rows, asked, NOW, 30, 5).collect()
+    assert answered == [6] and {r.query_id for r in page} == set(range(30))
+    by_query = lambda q: sorted((r.position, r.id, r.total) for r in page if r.query_id == q)
+    assert all(by_query(q) == by_query(q + 6) for q in range(24)) and by_query(0) != by_query(3)
