@@ -8,7 +8,7 @@ from jobloom.operators.filters import fresh
 from jobloom.operators.ranking import relevance_order
 from jobloom.runtime import broadcast_if_small, top_per_key, union_all
 from jobloom.search.intent import parse_intent
-from jobloom.search.textindex import search
+from jobloom.search.textindex import for_all, one_per_text, search_texts
 from jobloom.search.vectors import cell_topk, vector_topk
 
 K = 60
@@ -47,14 +47,15 @@ def hybrid_search(
     """
     live = fresh(listings, as_of, days)
     asked = parse_intent(queries)
-    hints = asked.select("query_id", "hint_workplace", "hint_stage", "hint_region", "hint_skills")
-    text_hits = search(live, queries, as_of)
+    alike, speakers = one_per_text(asked, "q", *HINTS)
+    text_hits = search_texts(live, speakers.select("query_id", "q"), as_of)
     if use_hints:
-        text_hits = text_hits.join(F.broadcast(hints), "query_id").filter(obeys_hints())
+        text_hits = text_hits.join(broadcast_if_small(speakers.select("query_id", *HINTS)), "query_id").filter(obeys_hints())
     start, end = (page - 1) * size, page * size
     text_top = top_per_key(text_hits, ["query_id"], relevance_order(), max(depth, end)).select("query_id", "id", "position")
+    text_top = for_all(text_top, alike)
     text_list = text_top.filter(F.col("position") <= depth)
-    totals = text_hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("text_total"))
+    totals = for_all(text_hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("text_total")), alike)
     vectors = live.filter("embedding is not null")
     if provider:
         vectors = vectors.filter(F.col("embedding_provider") == provider)
