@@ -16,8 +16,8 @@ from jobloom.operators.alerts import FILTERS, SLIM, fits
 from jobloom.operators.filters import fresh
 from jobloom.operators.percolator import LOOSE, percolate
 from jobloom.operators.ranking import certainty
-from jobloom.runtime import broadcast_if_small, top_per_key, union_all
-from jobloom.search.textindex import build_index, match_queries, search_atoms, search_words
+from jobloom.runtime import broadcast_if_small, settle, top_per_key, union_all
+from jobloom.search.textindex import build_index, for_all, match_texts, one_per_text, search_atoms, search_words
 
 SORTS = ("relevance", "newest", "company")
 
@@ -54,18 +54,18 @@ def sort_key() -> Column:
     )
 
 
-def matches(listings: DataFrame, requests: DataFrame, as_of, days: int, hits=None) -> DataFrame:
-    """(query_id, key, after) of every listing that a request asks for.
+def matches(listings: DataFrame, asked: DataFrame, as_of, days: int, hits=None) -> DataFrame:
+    """(query_id, key, after) of every listing that a typed request asks for.
 
     ``hits`` finds (query_id, id, text_rank) for the words of searches, for
     instance in a stored index; without it an index of their words is built.
     """
-    asked = typed_requests(requests, days)
     live = fresh(listings, as_of, days)
     facts = live.select(*SLIM)
     worded = asked.filter("q is not null")
     queries = worded.select(F.xxhash64("q").alias("word_id"), "q").dropDuplicates(["word_id"]).withColumnRenamed("word_id", "query_id")
-    found = hits(queries) if hits else match_queries(build_index(live, search_words(search_atoms(queries))), queries)
+    found = hits(queries) if hits else match_texts(build_index(live, search_words(search_atoms(queries))), queries)
+    found = settle(found, "hits")  # read for the page and for the totals
     age = times.age_days(times.age_anchor(F.col("posted_at"), F.col("first_seen_at")), as_of)
     ranked = found.withColumnRenamed("query_id", "word_id").join(facts, "id").withColumn("rank", F.col("text_rank") * F.exp(-age / 7.0))
     by_word = ranked.join(broadcast_if_small(worded.withColumn("word_id", F.xxhash64("q"))), "word_id").filter(fits(as_of))
@@ -80,13 +80,16 @@ def search_jobs(listings: DataFrame, requests: DataFrame, as_of, days: int, size
     """query_id, id, position, score, total and key: a page of every request.
 
     A request whose ``after`` is the key of a row gets what follows that row.
-    ``total`` counts all matches, whichever page is asked for.
+    ``total`` counts all matches, whichever page is asked for.  Requests that
+    ask alike are answered once.
     """
-    found = matches(listings, requests, as_of, days, hits)
+    typed = typed_requests(requests, days)
+    asked, speakers = one_per_text(typed, *[c for c in typed.columns if c != "query_id"])
+    found = matches(listings, settle(speakers, "requests"), as_of, days, hits)
     totals = found.groupBy("query_id").agg(F.count("*").alias("total"))
     ahead = found.filter(F.col("after").isNull() | (F.col("key") > F.col("after"))).select("query_id", "key")
-    page = top_per_key(ahead, ["query_id"], [F.asc("key")], size)
-    return page.join(totals, "query_id").select("query_id", F.col("key.id").alias("id"), "position", (F.lit(size) + 1 - F.col("position")).cast("double").alias("score"), "total", "key")
+    page = top_per_key(ahead, ["query_id"], [F.asc("key")], size).join(totals, "query_id")
+    return for_all(page, asked).select("query_id", F.col("key.id").alias("id"), "position", (F.lit(size) + 1 - F.col("position")).cast("double").alias("score"), "total", "key")
 
 
 def next_page(requests: DataFrame, page: DataFrame) -> DataFrame:
