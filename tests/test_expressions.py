@@ -144,3 +144,7 @@ def test_markup(spark):
     long_line = "<li>" + "the tide turns and turns " * 5 + "</li>"
     assert cleaned(spark, "<ul>" + long_line * 3 + "<li>x</li><li>x</li></ul>")[0].count("<li>") == 4
     assert cleaned(spark, None, None) == cleaned(spark, "", "  ") == cleaned(spark, "<p> </p>", None) == (None, None)
+
+
+def test_lines_lose_only_the_blanks_at_their_ends(spark):
+    assert cleaned(spark, None, " berth 10 \nberth 11\n  12 berths")[0] == "<p>berth 10<br/>berth 11<br/>12 berths</p>"
