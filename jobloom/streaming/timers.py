@@ -10,56 +10,79 @@ from jobloom import lexicons as lx
 from jobloom.operators.throttle import accept
 
 DAY_MS = 86_400_000
+BUCKETS = 1024
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class FollowUpTimers(StatefulProcessor):
-    """Emits ``follow_up`` after 7 days and ``ghosted`` after 14 without news."""
+    """Emits ``follow_up`` after 7 days and ``ghosted`` after 14 without news.
+
+    A key is a bucket of applications: its state lists those that wait, each
+    with its start and what is due next, and one timer stands at the earliest.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.applied = handle.getValueState("applied", "ms long")
+        self.waiting = handle.getValueState("waiting", "ids array<long>, starts array<long>, due array<long>")
+
+    def _read(self) -> dict[int, tuple[int, int]]:
+        ids, starts, due = self.waiting.get() if self.waiting.exists() else ((), (), ())
+        return {i: (start, at) for i, start, at in zip(ids, starts, due)}
 
-    def _clear_timers(self):
+    def _write(self, waiting: dict[int, tuple[int, int]]) -> None:
+        if waiting:
+            self.waiting.update((list(waiting), [start for start, _ in waiting.values()], [at for _, at in waiting.values()]))
+        else:
+            self.waiting.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
+        if waiting:
+            self.handle.registerTimer(min(at for _, at in waiting.values()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         changes = []
         for pdf in rows:
-            changes += list(zip(pdf["seq"], pdf["status"], pdf["changed_ms"]))
-        for _, status, ms in sorted(changes):
-            self._clear_timers()
+            changes += zip(pdf["saved_id"].tolist(), pdf["seq"].tolist(), pdf["status"].tolist(), pdf["changed_ms"].tolist())
+        waiting = self._read()
+        for i, _, status, ms in sorted(changes):
             if status == "applied":
-                start = self.applied.get()[0] if self.applied.exists() else int(ms)
-                self.applied.update((start,))
-                self.handle.registerTimer(start + lx.FOLLOW_UP_DAYS * DAY_MS)
-                self.handle.registerTimer(start + lx.GHOSTED_DAYS * DAY_MS)
+                start = waiting[i][0] if i in waiting else ms
+                waiting[i] = (start, start + lx.FOLLOW_UP_DAYS * DAY_MS)
             else:
-                self.applied.clear()
+                waiting.pop(i, None)
+        self._write(waiting)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.applied.exists():
-            return iter([])
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        ghosted = at - self.applied.get()[0] >= lx.GHOSTED_DAYS * DAY_MS
-        if ghosted:
-            self.applied.clear()
-        return iter([pd.DataFrame({"saved_id": [key[0]], "event": ["ghosted" if ghosted else "follow_up"], "at_ms": [at]})])
+        now, waiting, events = timerValues.getCurrentWatermarkInMs(), self._read(), []
+        for i, (start, at) in list(waiting.items()):
+            ghosted = start + lx.GHOSTED_DAYS * DAY_MS
+            if at < ghosted and at <= now:
+                events.append((i, "follow_up", at))
+                at = ghosted
+                waiting[i] = (start, at)
+            if at == ghosted and at <= now:
+                events.append((i, "ghosted", at))
+                del waiting[i]
+        self._write(waiting)
+        return iter([pd.DataFrame(events, columns=["saved_id", "event", "at_ms"])] if events else [])
 
     def close(self) -> None:
         pass
 
 
-def followup_events(changes: DataFrame, late: str = "0 seconds") -> DataFrame:
+def followup_events(changes: DataFrame, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """(saved_id, event, at_ms) from a stream of status changes.
 
     ``changes`` has saved_id, seq, status and changed_at; timers follow the
-    event clock, which the watermark on ``changed_at`` drives.
+    event clock, which the watermark on ``changed_at`` drives.  State is kept
+    by ``buckets`` of saved_id, so that it is read and written once per bucket
+    and batch and not once per application; their number is fixed for a
+    checkpoint.
     """
     rows = changes.withWatermark("changed_at", late).withColumn("changed_ms", F.unix_millis("changed_at"))
-    return rows.groupBy("saved_id").transformWithStateInPandas(
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("saved_id"), F.lit(buckets)))
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=FollowUpTimers(), outputStructType="saved_id long, event string, at_ms long",
         outputMode="Append", timeMode="EventTime")
 
