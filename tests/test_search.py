@@ -114,7 +114,9 @@ def test_searches_of_one_text_are_matched_once(spark, monkeypatch):
     answer = lambda df: sorted((r.query_id, r.id, round(r.text_rank, 9)) for r in df.collect())
     index = textindex.build_index(rows)
     got = answer(textindex.match_queries(index, many))
-    assert matched == [3] and got == answer(plain(index, many)) and len({q for q, *_ in got}) == 81
+    assert matched == [3]
+    assert got == answer(plain(index, many)) and len({q for q, *_ in got}) == 81
+    assert "REPARTITION_BY_NUM" in textindex.match_queries(index, many)._jdf.queryExecution().executedPlan().toString()
     # Beyond the bound of a broadcast the result is the same.
     monkeypatch.setattr(textindex, "broadcast_if_small", lambda df, rows=0: df)
     assert answer(textindex.match_queries(index, many)) == got
