@@ -118,9 +118,10 @@ def integrity_audit(original: DataFrame, final: DataFrame) -> DataFrame:
     return union_all([between, twice, unnamed])
 
 
-def lost_and_invented_sections(original: DataFrame, final: DataFrame) -> DataFrame:
-    """Section keys on one side only, per document."""
-    keys = lambda df, side: df.select("doc_id", section_key(F.col("heading")).alias("section")).distinct().withColumn(side, F.lit(True))
+def lost_and_invented_sections(original: DataFrame, final: DataFrame, unnamed: bool = False) -> DataFrame:
+    """Section keys on one side only, per document; a blank heading names no section, unless ``unnamed`` ones count as one."""
+    keyed = lambda df: df.select("doc_id", section_key(F.col("heading")).alias("section")).filter(F.lit(unnamed) | (F.col("section") != ""))
+    keys = lambda df, side: keyed(df).distinct().withColumn(side, F.lit(True))
     both = keys(original, "_a").join(keys(final, "_b"), ["doc_id", "section"], "full_outer")
     change = F.when(F.col("_b").isNull(), "lost").when(F.col("_a").isNull(), "invented")
     return both.withColumn("change", change).filter("change is not null").select("doc_id", "section", "change")

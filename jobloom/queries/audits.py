@@ -86,7 +86,7 @@ def _(spark, sf):
 
 @query("changed_sections", "U6", f"WITH {sv.SECTIONS}, {ENTRIES} SELECT doc_id, k AS section, 'lost' AS change FROM (SELECT DISTINCT doc_id, k FROM o EXCEPT SELECT DISTINCT doc_id, k FROM f) UNION ALL SELECT doc_id, k, 'invented' FROM (SELECT DISTINCT doc_id, k FROM f EXCEPT SELECT DISTINCT doc_id, k FROM o)")
 def _(spark, sf):
-    return grounding.lost_and_invented_sections(*entries(spark, sf))
+    return grounding.lost_and_invented_sections(*entries(spark, sf), unnamed=True)
 
 
 BULLET = r"'^[•\-*–—]+\s*'"

@@ -11,6 +11,13 @@ def test_nothing_is_invented_by_dropping_rows(spark):
     assert [r.change for r in changes] == ["lost"]
 
 
+def test_a_blank_heading_names_no_section(spark):
+    rows = lambda *headings: spark.createDataFrame([(1, h) for h in headings], "doc_id long, heading string")
+    found = lambda **how: sorted((r.section, r.change) for r in grounding.lost_and_invented_sections(rows("Skills", "Awards"), rows("Skills", " "), **how).collect())
+    assert found() == [("awards", "lost")]
+    assert found(unnamed=True) == [("", "invented"), ("awards", "lost")]
+
+
 def test_union_then_group(spark):
     from pyspark.sql import functions as F
 
