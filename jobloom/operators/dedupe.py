@@ -15,29 +15,42 @@ def usable(df: DataFrame) -> DataFrame:
     return df.filter(urls.apply_url_is_usable(F.col("apply_url")))
 
 
+def _chosen(df: DataFrame, keys: list[Column], pick, order: Column, *more: Column) -> DataFrame:
+    """The row of each key that ``pick`` finds by ``order``, column by column.
+
+    Every column sees the same rows in the same order, so ties fall alike;
+    columns that nothing reads later are pruned and do not move.
+    """
+    placed = df.withColumn("_order", order)
+    best = placed.groupBy(*keys).agg(*[pick(F.col(c), F.col("_order")).alias(c) for c in df.columns], *more)
+    return best.drop("_key0", "_key1")
+
+
 def last_per_listing(df: DataFrame, seq: str = "seq") -> DataFrame:
     """Last arrival per (source, external_id).
 
     Adds ``first_seq``, the arrival of the key's first row, which settles
-    later ties.  The row itself travels as one struct under ``max_by``.
+    later ties.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    keys = [F.col("source").alias("_source"), F.col("external_id").alias("_ext")]
-    best = df.groupBy(*keys).agg(F.max_by(row, F.col(seq)).alias("_row"), F.min(seq).alias("first_seq"))
-    return best.select("_row.*", "first_seq")
+    keys = [F.col("source").alias("_key0"), F.col("external_id").alias("_key1")]
+    return _chosen(df, keys, F.max_by, F.col(seq), F.min("_order").alias("first_seq"))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``_size``, the length of a row's texts, which then need not move to be weighed."""
+    return df.withColumn("_size", F.length(text(F.col("description_text"))) + F.length(text(F.col("description_html"))))
 
 
 def best_per_link(df: DataFrame, seq: str = "first_seq") -> DataFrame:
-    """Best row per (source, canonical link): trust, longer text, first seen."""
-    size = F.length(text(F.col("description_text"))) + F.length(text(F.col("description_html")))
-    keyed = df.withColumn("_link", urls.batch_apply_key(F.col("apply_url"))).filter("_link is not null")
-    order = F.struct(origin.source_rank(F.col("source")).alias("a"), (-size).alias("b"), F.col(seq).alias("c"))
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return keyed.groupBy(F.col("source").alias("_source"), "_link").agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    """Best row per (source, canonical link): trust, longer text, first seen; ``sized`` may have measured the texts before."""
+    rows = df if "_size" in df.columns else sized(df)
+    keyed = rows.withColumn("_link", urls.batch_apply_key(F.col("apply_url"))).filter("_link is not null")
+    order = F.struct(origin.source_rank(F.col("source")).alias("a"), (-F.col("_size")).alias("b"), F.col(seq).alias("c"))
+    return _chosen(keyed, [F.col("source").alias("_key0"), F.col("_link").alias("_key1")], F.min_by, order).drop("_link", "_size")
 
 
 def batch_dedupe(df: DataFrame, seq: str = "seq") -> DataFrame:
-    return best_per_link(last_per_listing(usable(df), seq))
+    return best_per_link(last_per_listing(sized(usable(df)), seq))
 
 
 def _losers(candidates: DataFrame, keys, order) -> DataFrame:

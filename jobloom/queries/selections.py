@@ -183,7 +183,7 @@ BEST = f"best AS (SELECT * FROM (SELECT *, lower({CANON}) AS link FROM last_rows
 
 @query("best_per_link", "W4", with_listings("SELECT id, source FROM best", ARRIVALS + ", " + LAST + ", " + BEST))
 def _(spark, sf):
-    return dedupe.best_per_link(dedupe.last_per_listing(arrivals(spark, sf))).select("id", "source")
+    return dedupe.best_per_link(dedupe.last_per_listing(dedupe.sized(arrivals(spark, sf)))).select("id", "source")
 
 
 @query("batch_dedupe", "W3 W4 P4", with_listings("SELECT id, source FROM best",

@@ -306,3 +306,14 @@ def test_upsert_newest_wins_in_any_order(spark):
     facts = lambda df: {(r.external_id, r.company_url, r.last_seen_at.day) for r in df.collect()}
     assert facts(one_way) == facts(other_way) == {("k1", "https://c.example", 20), ("k2", None, 8)}
     assert {r.title for r in one_way.collect()} == {"new", "same"} and {r.title for r in other_way.collect()} == {"new", "other"}
+
+
+def test_unread_texts_do_not_move_in_deduplication(spark):
+    texts = {c: F.repeat(F.lit("x"), 9) for c in ("description_text", "description_html")}
+    rows = spark.range(12).select("id", F.col("id").alias("seq"), F.lit("lever").alias("source"), (F.col("id") % 4).cast("string").alias("external_id"),
+                                  F.concat(F.lit("https://a.b/"), (F.col("id") % 2).cast("string")).alias("apply_url")).withColumns(texts)
+    aggregates = lambda df: [x for x in df.select("id")._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x]
+    for df in (dedupe.last_per_listing(rows), dedupe.batch_dedupe(rows)):
+        assert aggregates(df) and not any("description" in x for x in aggregates(df))
+    same = rows.withColumns({"seq": F.lit(1), "title": F.col("id").cast("string")})
+    assert all(int(r.title) == r.id and r.first_seq == 1 for r in dedupe.last_per_listing(same).collect())
