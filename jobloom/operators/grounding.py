@@ -286,17 +286,17 @@ def skill_groups(docs: DataFrame, max_groups: int = 7, max_per_group: int = 10,
     rows = rows.withColumn("skill", norm(F.col("raw"))).filter(F.length("skill") >= 2)
     rows = rows.filter(phrase_supported(F.col("skill"), F.col("body")))
     written = F.coalesce(F.try_element_at(lookup(lx.SKILL_DISPLAY), F.col("skill")), as_written(F.col("skill"), F.col("original")))
-    rows = rows.withColumn("raw", squash(text(F.col("raw")))).withColumn("written", written).drop("original", "body")
+    # The texts end here: what they say of a skill goes on as numbers and names.
+    relevance = F.round(skill_relevance(F.col("skill"), F.col("keywords"), F.col("job"), category(F.col("skill"))), 4)
+    rows = rows.select("doc_id", "pos", squash(text(F.col("raw"))).alias("raw"), "skill", written.alias("written"), relevance.alias("relevance"))
     named = F.coalesce(F.first("written"), F.min_by("raw", F.when(cased(F.col("raw")).isNotNull(), F.col("pos"))), F.min_by("raw", "pos"))
-    rows = rows.groupBy("doc_id", "skill").agg(F.min("pos").alias("pos"), named.alias("name"), F.first("keywords").alias("keywords"), F.first("job").alias("job"))
+    rows = rows.groupBy("doc_id", "skill").agg(F.min("pos").alias("pos"), named.alias("name"), F.first("relevance").alias("relevance"))
     # One row per skill of a document; a longer variant of a base name wins.
     base = norm(F.regexp_replace("skill", r"\s*[(\[].*$", ""))
     rows = rows.withColumn("base", base).filter(F.length("base") > 0)
     best = rows.groupBy("doc_id", "base").agg(
-        F.min("pos").alias("pos"), F.max_by(F.struct("skill", "name"), F.struct(F.length("name"), -F.col("pos"))).alias("best"),
-        F.first("keywords").alias("keywords"), F.first("job").alias("job"))
-    best = best.select("doc_id", "pos", "best.*", "keywords", "job").withColumn("category", category(F.col("skill")))
-    best = best.withColumn("relevance", F.round(skill_relevance(F.col("skill"), F.col("keywords"), F.col("job"), F.col("category")), 4))
+        F.min("pos").alias("pos"), F.max_by(F.struct("skill", "name", "relevance"), F.struct(F.length("name"), -F.col("pos"))).alias("best"))
+    best = best.select("doc_id", "pos", "best.*").withColumn("category", category(F.col("skill")))
     kept = top_per_category(best.select("doc_id", "pos", "skill", "name", "category", "relevance"), max_total, max_per_group)
     grouped = kept.groupBy("doc_id", "category").agg(
         F.array_sort(F.collect_list(F.struct("in_category", "skill", "name"))).alias("in_order"))
