@@ -139,3 +139,25 @@ def test_requests_that_ask_alike_are_answered_once(spark, monkeypatch):
     assert answered == [6] and {r.query_id for r in page} == set(range(30))
     by_query = lambda q: sorted((r.position, r.id, r.total) for r in page if r.query_id == q)
     assert all(by_query(q) == by_query(q + 6) for q in range(24)) and by_query(0) != by_query(3)
+
+
+def test_merging_a_stored_index_moves_no_postings(spark, tmp_path):
+    path, rows = str(tmp_path / "index"), listings(spark, 40)
+    storedindex.create(rows, path, 4)
+    storedindex.refresh(path, rows.filter("id < 9").withColumn("title", F.lit("new")), rows.filter("id = 20").select("id"), 4)
+    now = rows.filter("id not in (20) and id >= 9").union(rows.filter("id < 9").withColumn("title", F.lit("new")))
+    shown = lambda df: sorted((r.id, r.term, round(r.weighted, 9), tuple(r.positions), r.doc_length) for r in df.collect())
+    want = shown(textindex.build_index(now))
+    for _ in range(2):
+        found = storedindex.postings(spark, path)
+        assert shown(found) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join LeftAnti" in plan and "strategy=broadcast" in plan and "Join Inner" not in plan
+        storedindex.compact(spark, path, 4)
+    kept, storedindex.DEAD_IDS = storedindex.DEAD_IDS, 1
+    try:
+        storedindex.refresh(path, rows.filter("id < 9"), None, 2)
+        storedindex.compact(spark, path, 3)
+    finally:
+        storedindex.DEAD_IDS = kept
+    assert shown(storedindex.postings(spark, path)) == shown(textindex.build_index(rows.filter("id <> 20")))
