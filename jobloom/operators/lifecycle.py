@@ -69,7 +69,7 @@ def upsert(current: DataFrame, batch: DataFrame, as_of, stamp: str | None = None
         if x == "missed_runs":
             return F.when(seen, F.lit(0)).otherwise(stored)
         if x == "posted_at":
-            return F.coalesce(fresh_value, stored)
+            return F.coalesce(F.when(seen, fresh_value), stored)
         if x in ("description_text", "description_html"):
             return F.when(seen & (~old | changed), fresh_value).otherwise(stored) if x in batch.columns else stored
         if x == "embedding_hash":

@@ -10,7 +10,7 @@ from jobloom.queries.searching import ACCEPT
 from jobloom.queries.selections import HOST
 from jobloom.queries.projections import CANON
 from jobloom.queries.sql_views import AS_OF, with_enriched, with_listings
-from jobloom.runtime import shared_folder
+from jobloom.runtime import settle, shared_folder
 from jobloom.streaming import catalogue, health, timers
 from jobloom import lexicons as lx
 
@@ -46,6 +46,7 @@ def _(spark, sf):
     catalogue.create_bucketed(current(spark, sf), store, 16)
     rows = next_batch(spark, sf).withColumns({
         "last_seen_at": F.lit(LATER + "Z").cast("timestamp"), "description_html": F.lit(None).cast("string"), "seq": C("id")})
+    rows = settle(rows, "arrived")  # by all tasks; the files of the stream are made of it
     rows.coalesce(1).write.parquet(landed)
     # The second batch is older than the first: a late delivery, which must change nothing.
     late = rows.withColumns({"last_seen_at": C("last_seen_at") - F.expr("INTERVAL 60 DAYS"), "title": F.lit("late")})

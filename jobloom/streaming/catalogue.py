@@ -35,19 +35,24 @@ def create_bucketed(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 def apply_batch(batch: DataFrame, path: str, stamp: str, buckets: int = BUCKETS) -> None:
     """Upsert one deduplicated batch, rewriting only the buckets it touches.
 
-    Each row is stamped with its own time; what is stored newer stays.
+    Each row is stamped with its own time; what is stored newer stays, and a
+    bucket for which the batch has nothing newer is not rewritten.
 
     Applying the same batch again gives the same catalogue, so a batch that is
     replayed after a lost executor or driver does no harm.
     """
     spark = batch.sparkSession
     rows = settle(batch.withColumn("bucket", _bucket(buckets)), "batch")
-    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    stored = spark.read.parquet(path)
+    key = ["bucket", "source", "external_id"]
+    known = stored.select(*key, F.col("last_seen_at").alias("_stored"))
+    news = rows.select(*key, stamp).join(known, key, "left").filter(F.col("_stored").isNull() | ~F.coalesce(F.col("_stored") > F.col(stamp), F.lit(False)))
+    touched = [r[0] for r in news.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
     if not touched:
         return
-    stored = spark.read.parquet(path)
-    current = stored.filter(F.col("bucket").isin(touched)).drop("bucket")
-    after = settle(upsert(current, rows.drop("bucket"), None, stamp).withColumn("bucket", _bucket(buckets)), "after")
+    within = F.col("bucket").isin(touched)
+    after = upsert(stored.filter(within).drop("bucket"), rows.filter(within).drop("bucket"), None, stamp).withColumn("bucket", _bucket(buckets))
+    # Files of touched buckets are replaced when the job commits, after all were read.
     after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

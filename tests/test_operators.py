@@ -317,3 +317,23 @@ def test_unread_texts_do_not_move_in_deduplication(spark):
         assert aggregates(df) and not any("description" in x for x in aggregates(df))
     same = rows.withColumns({"seq": F.lit(1), "title": F.col("id").cast("string")})
     assert all(int(r.title) == r.id and r.first_seq == 1 for r in dedupe.last_per_listing(same).collect())
+
+
+def test_a_late_batch_rewrites_no_bucket(spark, tmp_path):
+    import os
+
+    from jobloom.streaming import catalogue
+
+    row = lambda i, title, day, posted=None: (i, "lever", f"x{i}", title, posted, day, day, True, 0)
+    table = lambda rows: spark.createDataFrame(rows, "id long, source string, external_id string, title string, posted_at string, first_seen_at string, last_seen_at string, is_active boolean, missed_runs int") \
+        .withColumns({c: F.col(c).cast("timestamp") for c in ("posted_at", "first_seen_at", "last_seen_at")})
+    path = str(tmp_path / "store")
+    files = lambda: sorted(f for _, _, fs in os.walk(path) for f in fs if f.endswith(".parquet"))
+    titles = lambda: {r.id: (r.title, r.posted_at and r.posted_at.day) for r in spark.read.parquet(path).collect()}
+    catalogue.create_bucketed(table([row(i, "old", "2024-02-01", "2024-01-05") for i in range(8)]), path, 4)
+    was = files()
+    catalogue.apply_batch(table([row(i, "late", "2024-01-01", "2023-12-09") for i in range(8)]), path, "last_seen_at", 4)
+    assert files() == was and set(titles().values()) == {("old", 5)}
+    catalogue.apply_batch(table([row(0, "new", "2024-02-03"), row(1, "late", "2024-01-01", "2023-12-09"), row(9, "first", "2024-01-01")]), path, "last_seen_at", 4)
+    assert titles() == {**{i: ("old", 5) for i in range(1, 8)}, 0: ("new", 5), 9: ("first", None)}
+    assert 0 < len(set(was) & set(files())) < len(was)
