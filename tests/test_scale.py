@@ -2,13 +2,27 @@
 
 from pyspark.sql import functions as F
 
+from jobloom import fixtures as fx
+from jobloom.functions import tags
 from jobloom.operators import grounding
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_profiles_are_dealt_to_all_cores(spark):
+    assert fx.profiles(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_tag_is_judged_once(spark):
+    df = spark.createDataFrame([(["docker", "java"],)], "t array<string>").select(tags.partition_tags(F.col("t")).alias("p"))
+    assert plan(df.select("p.skills", "p.technologies")).count("(?:api|sdk|cli)") <= 4
+    assert df.first().p.asDict() == {"skills": ["backend development", "devops"], "technologies": ["docker", "java"]}
+
+
 def test_sections_are_cleaned_once(spark):
     """A filter on the cleaned text was pushed down, and had all steps computed again."""
     df = spark.createDataFrame([(1, 0, "Awards", "- Best  in show")], "doc_id long, pos long, heading string, item string")
