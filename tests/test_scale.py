@@ -1,9 +1,11 @@
 """What large tables need: work dealt to all cores, steps computed once, and the same results in the cheaper forms."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from jobloom import fixtures as fx
-from jobloom.functions import tags
+from jobloom import fixtures as fx, lexicons as lx
+from jobloom.functions import enrich, seniority, tags
 from jobloom.operators import grounding, matching
 from jobloom.plans import recommend
 
@@ -61,3 +63,31 @@ def test_profiles_that_are_alike_are_scored_once(spark, monkeypatch):
     found = recommend.recommend(three, rows, fx.AS_OF, fx.DAYS, 5).select("user_id", "position", "listing_id", "total").collect()
     assert seen[0] == seen[1] and len(alone) == 5
     assert sorted(found) == sorted((u, *r) for u in (1, 2, 3) for r in alone)
+
+
+def test_a_text_is_read_once_for_all_words_of_a_lexicon(spark):
+    """Every pattern searched the whole text for its letters."""
+    df = spark.createDataFrame([("Java, go!",)], "t string").select(enrich.extract_skills(F.col("t")).alias("s"))
+    assert not re.search(r"(?<!array_)contains\(lambda", plan(df).lower()) and df.first().s == ["go", "java"]
+    listings = fx.enriched(spark, SF).select("skills", "tech_tags")
+    assert plan(listings).count("array_intersect") == 1
+
+
+def test_words_of_a_lexicon_lose_no_match(spark):
+    texts = ["", "Node.JS", "nodejs", "node js", "x.NET", ".net", "C++a C#b", "c++", "CI/CD", "cicd", "ci-cd", "Postgres", "POSTGRESQL", "go_", "\u00e1go", "go\u0301", "go\u212a", "\u0130os",
+             "ios\u0130", "machine learning", "machine\nlearning", "react native", "React.js", "reactjs", "vue", "vue.js", "golang", "mango db", "MongoDB", "k8s", "1k8s", "spring boots", "spring boot", "a.ai"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    lexicon = {**lx.SKILL_LEXICON, "odd": [r"\bwor(?:k|d)s?\b", r"\bno[dt]e\b"]}
+    plainly = [F.when(enrich.any_of([F.col("t").rlike("(?i)" + p) for p in ps]), F.lit(name)) for name, ps in lexicon.items()]
+    for r in rows.select("t", enrich.extract_skills(F.col("t"), lexicon=lexicon).alias("a"), F.array_sort(F.array_compact(F.array(*plainly))).alias("b")).collect():
+        assert r.a == r.b, r.t
+
+
+def test_years_are_found_as_stated(spark):
+    texts = ["minimum 5 years", "min. 3+ yrs", "at least 2-4 years", "over  7 plus years", "x5 years", "5years", "a_5 years", "10 to 12 yrs", "more than\n6 years and 2 years", "5 yearsx", "min3 years", "\u00e15 years",
+             "0-2", "10-2", "0 to 2x", "No prior experience", "kno experience", "little to no experience"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(1))
+    pairs = [(found(seniority.YEARS_STATED), found(lx.YEARS_PATTERN)), (F.col("t").rlike(seniority.ZERO_STATED), F.col("t").rlike(lx.ZERO_YEARS))]
+    for a, b in pairs:
+        assert rows.filter(~a.eqNullSafe(b)).count() == 0
