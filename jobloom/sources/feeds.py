@@ -272,12 +272,12 @@ def normalize_source(raw: DataFrame, source: str, as_of, days: int) -> DataFrame
     tags = _names(spec["tags"], "name", spec.get("tag_cap")) if "tags" in spec else (
         F.array_compact(F.array(_first(spec["tags_from"]))) if "tags_from" in spec else empty)
     body = _body(spec)
-    has_markup = body.contains("<")
-    body_text = F.when(has_markup, markup_text(body)).otherwise(body)
+    readable = lambda b: F.when(b.contains("<"), markup_text(b)).otherwise(b)
+    body_text = F.col("_text")
     if "body_html" in spec:
         html = _first(spec["body_html"])
     else:
-        html = {"always": body, "never": F.lit(None).cast("string")}.get(spec.get("html"), F.when(has_markup, body))
+        html = {"always": F.col("_body"), "never": F.lit(None).cast("string")}.get(spec.get("html"), F.when(F.col("_body").contains("<"), F.col("_body")))
     posted = F.coalesce(*[times.parse_instant(_get(p)) for p in spec["posted"]])
     employment = (
         blank_to_null(F.array_join(_names(spec["employment_list"][0], None), spec["employment_list"][1])) if "employment_list" in spec
@@ -305,10 +305,12 @@ def normalize_source(raw: DataFrame, source: str, as_of, days: int) -> DataFrame
     external = F.concat(F.col("ats_slug"), F.lit(":"), key) if spec.get("board") else key
     stage_title = F.concat_ws(" ", title, *[_get(p) for p in spec.get("title_suffix", [])])
     carry = [c for c in ("seq",) if c in items.columns]
-    # Many word tests read the same few fields, so those are bound first.
-    fields = F.struct(title.alias("title"), raw_title.alias("raw"), body_text.alias("body"), tags.alias("tags"))
-    kept = let(fields, lambda x: _keeps(spec, x["title"], x["raw"], x["body"], x["tags"]))
-    rows = items.filter(kept).select(
+    # Many word tests read the same few fields, so those are bound first; the body is read only where the title leaves it open.
+    fields = F.struct(title.alias("title"), raw_title.alias("raw"), tags.alias("tags"))
+    kept = let(fields, lambda x: _keeps(spec, x["title"], x["raw"], let(body, readable), x["tags"]))
+    # Body and text are columns of their own: as expressions they would be computed anew wherever they are named.
+    items = items.filter(kept).withColumn("_body", body).withColumn("_text", readable(F.col("_body")))
+    rows = items.select(
         F.lit(source).alias("source"), external.alias("external_id"), title.alias("title"),
         company.alias("company_name"), (urls.normalize_url(_first(spec["company_url"])) if "company_url" in spec else F.col("company_url")).alias("company_url"),
         F.coalesce(urls.normalize_url(_first(spec["career"])) if "career" in spec else F.lit(None), F.col("career_page_url"), link).alias("career_page_url"),

@@ -8,6 +8,7 @@ from jobloom import fixtures as fx, lexicons as lx
 from jobloom.functions import enrich, seniority, tags
 from jobloom.operators import grounding, matching
 from jobloom.plans import recommend
+from jobloom.sources import feeds
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +92,12 @@ def test_years_are_found_as_stated(spark):
     pairs = [(found(seniority.YEARS_STATED), found(lx.YEARS_PATTERN)), (F.col("t").rlike(seniority.ZERO_STATED), F.col("t").rlike(lx.ZERO_YEARS))]
     for a, b in pairs:
         assert rows.filter(~a.eqNullSafe(b)).count() == 0
+
+
+def test_bodies_of_a_feed_are_cleaned_once(spark, monkeypatch):
+    """Each use of the readable text had all its steps computed again."""
+    kept = {}
+    monkeypatch.setattr(feeds, "settle", lambda df, name: kept.setdefault(name, df))
+    raw = spark.createDataFrame([("weworkremotely", '{"guid": "a", "link": "https://x.example.com/a", "title": "Firm: Web engineer", "description": "<p>a &amp; b</p>"}')], "source string, payload string")
+    assert feeds.normalize_feed(raw, fx.AS_OF, fx.DAYS, ["weworkremotely"]).first().description_text == "a & b"
+    assert plan(kept["normalized"]).count("<script") <= 2
