@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobloom.llm.common import LOWER, SPACED_WORD, UPPER, small_batches
 from jobloom.llm.components import components
-from jobloom.runtime import broadcast_if_small, settle
+from jobloom.runtime import broadcast_if_small, settle, union_all
 
 WORD = re.compile(SPACED_WORD)
 LOWERED = str.maketrans(UPPER, LOWER)
@@ -46,6 +46,7 @@ BLOCK = 100_000  # shingles of a block, in all its texts
 MARGIN = 1e-3  # of likeness, well above what 32-bit digests that are equal by chance add
 LEAST = 300    # shingles that a text counts for at least, which bounds the texts of a block
 SLICE = 4_096  # shingles in one piece of their table
+DROPPED = 1_000_000  # keys, of eight bytes, that are sent to all tasks
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -364,7 +365,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     Two texts belong together if their fingerprints are within two bits, or if
     their word shingles are as similar as asked.  The row with the least
     doc_id stays; rows that share id and text count once.  Groups are settled
-    on slim keys, and texts move once, at the end.
+    on slim keys.  At the end the keys that go are sent to the texts, up to
+    ``DROPPED`` of them; only texts of rows that are there twice, or all beyond
+    that number, are moved.
     """
     key = F.xxhash64("doc_id", "text")
     rows = settle(with_fingerprint(docs.select("doc_id", "text"), width=width).select(key.alias("_key"), F.xxhash64("text").alias("same"), "doc_id", "fingerprint"), "fingerprints")
@@ -374,4 +377,12 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     roots = linked(docs, by_print, width, similarity).withColumnRenamed("node", "same")
     placed = rows.join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
     chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_best"))
-    return docs.withColumn("_key", key).join(chosen.select("_best._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    best = settle(chosen.select("_best._key"), "best")
+    counted = rows.groupBy("_key").agg(F.count("*").alias("n"))
+    others = broadcast_if_small(settle(counted.join(best, "_key", "left_anti").select("_key"), "others"), DROPPED)
+    kept = docs.withColumn("_key", key).join(others, "_key", "left_anti")
+    again = settle(counted.filter("n > 1").join(best, "_key", "left_semi").select("_key"), "again")
+    if not again.isEmpty():
+        again = broadcast_if_small(again, DROPPED)
+        kept = union_all([kept.join(again, "_key", "left_anti"), kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])])
+    return kept.select(*docs.columns)

@@ -188,3 +188,12 @@ def test_forest_connects_what_brute_force_connects():
     found = simhash.forest(same, root, sets, 0.8)
     assert groups(found) == groups([(int(same[i]), int(same[j])) for i, j in links]) and len(found) < len(links)
     assert all(like(sets[u // 10], sets[v // 10]) for u, v in found)
+
+
+def test_keep_one_moves_no_texts_at_the_end(spark):
+    """All texts were dealt anew to drop the rows that are there twice."""
+    rows = [(i, f"text{i} of words{i} that{i} nobody{i} shares{i}") for i in range(4)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString() and kept.count() == 4
+    twice = simhash.keep_one(spark.createDataFrame(rows + rows[:1] + [(9, rows[1][1])], "doc_id long, text string"))
+    assert sorted(map(tuple, twice.collect())) == rows
