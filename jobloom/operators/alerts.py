@@ -29,7 +29,7 @@ def typed_searches(searches: DataFrame) -> DataFrame:
     return searches.filter(flag("is_active", True)).select(
         "search_id", "user_id", "name", blank_to_null(F.trim("q")).alias("q"), F.lower("workplace").alias("w_workplace"),
         clean_tags(skills).alias("w_skills"), times.clamp_window(F.col("posted_within")).alias("w_days"),
-        F.col("career_stage").alias("w_stage"), F.col("region_friendly").alias("w_region"), "last_checked_at",
+        seniority.asked_stage(F.col("career_stage")).alias("w_stage"), F.col("region_friendly").alias("w_region"), "last_checked_at",
         flag("junior_eligible", False).alias("w_junior"), said("source").alias("w_source"), *[said(c).alias(f"w_{c}") for c in LOOSE],
     )
 
@@ -41,7 +41,7 @@ def fits(as_of) -> Column:
         (times.age_anchor(F.col("posted_at"), F.col("first_seen_at")) >= cutoff)
         & (F.col("w_workplace").isNull() | (F.col("workplace_type") == F.col("w_workplace")))
         & ((F.size(skills) == 0) | F.arrays_overlap("skills", skills) | F.arrays_overlap("tech_tags", skills))
-        & seniority.stage_matches(F.col("w_stage"), F.col("w_junior"), F.col("career_stage"), F.col("junior_eligible"))
+        & seniority.asked_stage_matches(F.col("w_stage"), F.col("w_junior"), F.col("career_stage"), F.col("junior_eligible"))
         & (~F.coalesce("w_region", F.lit(False)) | F.col("region_friendly"))
         & (F.col("w_source").isNull() | (F.col("source") == F.col("w_source")))
         & reduce(and_, [F.col(f"w_{c}").isNull() | F.coalesce(F.lower(F.col(own)).contains(F.col(f"w_{c}")), F.lit(False)) for c, own in LOOSE.items()])

@@ -16,7 +16,7 @@ of these is a match of it.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobloom.functions import seniority
-from jobloom.functions.text import strip, text
+from jobloom.functions.text import text
 from jobloom.operators.containment import holding
 from jobloom.runtime import broadcast_if_small, hot_join, settle, union_all
 from jobloom.search.textindex import build_index, match_texts, search_atoms, search_words
@@ -28,9 +28,9 @@ NONE = "array<struct<clause: string, token: string>>"
 def _facets() -> Column:
     """(clause, token) of the filters of a search that name a value exactly."""
     one = lambda clause, value, when: F.when(when, F.array(F.struct(F.lit(clause).alias("clause"), F.concat(F.lit(clause + ":"), value).alias("token")))).otherwise(F.array().cast(NONE))
-    stage = F.replace(F.lower(strip(text(F.col("w_stage")))), F.lit(" "), F.lit("_"))
+    stage = F.col("w_stage")
     intern, grad = stage.isin("internship", "intern"), stage.isin("new_grad", "new-grad", "newgrad")
-    able = ~intern & (F.coalesce("w_junior", F.lit(False)) | F.coalesce(seniority.stage_matches(F.col("w_stage"), F.col("w_junior"), F.lit("\0"), F.lit(True)) & (stage != ""), F.lit(False)))
+    able = ~intern & (F.coalesce("w_junior", F.lit(False)) | F.coalesce(seniority.asked_stage_matches(F.col("w_stage"), F.col("w_junior"), F.lit("\0"), F.lit(True)) & (stage != ""), F.lit(False)))
     exact = F.when(intern, "internship").when(grad, "new_grad").otherwise(stage)
     tags = F.transform(F.coalesce("w_skills", F.array().cast("array<string>")), lambda s: F.struct(F.lit("tag").alias("clause"), F.concat(F.lit("tag:"), s).alias("token")))
     return F.concat(
@@ -55,14 +55,14 @@ def percolate(kinds: DataFrame, listings: DataFrame, slim: list[str], fits: Colu
     """(kind, id, text_rank) of every listing that a distinct search matches; the rank is null without words.
 
     ``kinds`` has kind, q and the typed filters, ``fits`` tests them against
-    the ``slim`` columns of a listing.
+    the ``slim`` columns of a listing.  Without any word no text is read.
     """
     kinds = settle(kinds, "kinds")
     facts = settle(listings.select(*slim), "facts")
     queries = kinds.filter("q is not null").select(F.col("kind").alias("query_id"), "q")
     atoms = search_atoms(queries)
     words = settle(search_words(atoms), "words")
-    index = settle(build_index(listings, words.select("term")), "terms")
+    index = settle(build_index(listings.limit(0) if words.isEmpty() else listings, words.select("term")), "terms")
     # Values that contain what a search wants to be contained.
     loose = union_all([kinds.select("kind", F.lit(c).alias("clause"), F.lit(own).alias("own"), F.col(f"w_{c}").alias("word")) for c, own in LOOSE.items()]).filter("word is not null")
     values = union_all([facts.select(F.lit(own).alias("own"), F.lower(text(F.col(own))).alias("value")) for own in sorted(set(LOOSE.values()))]).distinct()

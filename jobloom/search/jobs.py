@@ -9,7 +9,7 @@ one pass and a page is what comes after the last key of the page before: page
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobloom.functions import origin, times
+from jobloom.functions import origin, seniority, times
 from jobloom.functions.enrich import NO_TAGS, clean_tags
 from jobloom.functions.text import blank_to_null, strip, text
 from jobloom.operators.alerts import FILTERS, SLIM, fits
@@ -32,7 +32,7 @@ def typed_requests(requests: DataFrame, days: int) -> DataFrame:
         "query_id", q.alias("q"), F.when(q.isNull() & (sort == "relevance"), "newest").otherwise(sort).alias("sort"),
         (F.col("after") if "after" in requests.columns else F.lit(None).cast(KEY)).alias("after"),
         said("workplace").alias("w_workplace"), clean_tags(F.coalesce(given("skills", NO_TAGS), F.array().cast(NO_TAGS))).alias("w_skills"),
-        F.least(F.coalesce(given("posted_within", "int"), F.lit(days)), F.lit(days)).alias("w_days"), given("career_stage").alias("w_stage"),
+        F.least(F.coalesce(given("posted_within", "int"), F.lit(days)), F.lit(days)).alias("w_days"), seniority.asked_stage(given("career_stage")).alias("w_stage"),
         F.coalesce(given("region_friendly", "boolean"), F.lit(False)).alias("w_region"), F.coalesce(given("junior_eligible", "boolean"), F.lit(False)).alias("w_junior"),
         said("source").alias("w_source"), *[said(c).alias(f"w_{c}") for c in LOOSE],
     )
@@ -54,6 +54,17 @@ def sort_key() -> Column:
     )
 
 
+def _word_queries(typed: DataFrame) -> DataFrame:
+    """(query_id, q): every text that typed requests search for, under an id of its own."""
+    return typed.filter("q is not null").select(F.xxhash64("q").alias("query_id"), "q").dropDuplicates(["query_id"])
+
+
+def found_once(requests: DataFrame, days: int, hits):
+    """``hits`` for all pages of the same requests: what their words find is looked up here, once, and kept."""
+    kept = settle(hits(_word_queries(typed_requests(requests, days))), "found")
+    return lambda queries: kept.join(broadcast_if_small(queries.select("query_id")), "query_id", "left_semi")
+
+
 def matches(listings: DataFrame, asked: DataFrame, as_of, days: int, hits=None) -> DataFrame:
     """(query_id, key, after) of every listing that a typed request asks for.
 
@@ -63,7 +74,7 @@ def matches(listings: DataFrame, asked: DataFrame, as_of, days: int, hits=None)
     live = fresh(listings, as_of, days)
     facts = live.select(*SLIM)
     worded = asked.filter("q is not null")
-    queries = worded.select(F.xxhash64("q").alias("word_id"), "q").dropDuplicates(["word_id"]).withColumnRenamed("word_id", "query_id")
+    queries = _word_queries(worded)
     found = hits(queries) if hits else match_texts(build_index(live, search_words(search_atoms(queries))), queries)
     found = settle(found, "hits")  # read for the page and for the totals
     age = times.age_days(times.age_anchor(F.col("posted_at"), F.col("first_seen_at")), as_of)

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from jobloom.operators import alerts, containment
+from jobloom.operators import alerts, containment, percolator
 from jobloom.search import jobs, storedindex, textindex
 
 NOW = "2024-01-31T00:00:00"
@@ -161,3 +161,37 @@ def test_merging_a_stored_index_moves_no_postings(spark, tmp_path):
     finally:
         storedindex.DEAD_IDS = kept
     assert shown(storedindex.postings(spark, path)) == shown(textindex.build_index(rows.filter("id <> 20")))
+
+
+def test_words_of_requests_are_looked_up_once_for_all_pages(spark):
+    rows = listings(spark, 60)
+    asked = spark.createDataFrame([(i, ["red", None, "the", "absent"][i % 4], ["relevance", "newest", "company"][i % 3], [None, " New Grad", "Junior "][i % 3]) for i in range(24)], "query_id long, q string, sort string, career_stage string")
+    index, looked = textindex.build_index(rows), []
+    hits = jobs.found_once(asked, 30, lambda queries: looked.append(sorted(r.q for r in queries.collect())) or textindex.match_texts(index, queries))
+    shown = lambda df: sorted((r.query_id, r.position, r.id, r.total) for r in df.collect())
+    first = jobs.search_jobs(rows, asked, NOW, 30, 2, hits).cache()
+    second = shown(jobs.search_jobs(rows, jobs.next_page(asked, first), NOW, 30, 2, hits))
+    assert looked == [["absent", "red", "the"]] and second
+    assert shown(first) == shown(jobs.search_jobs(rows, asked, NOW, 30, 2))
+    assert second == shown(jobs.search_jobs(rows, jobs.next_page(asked, first), NOW, 30, 2))
+
+
+def test_no_text_is_read_for_filters_without_words(spark, monkeypatch):
+    """Every page of requests had all texts cut into words for those that have none."""
+    read, plain = [], percolator.build_index
+    monkeypatch.setattr(percolator, "build_index", lambda df, terms=None: read.append(df.count()) or plain(df, terms))
+    kept = alerts.typed_searches(searches(spark)).cache()
+    pairs = lambda asked: sorted((r.search_id, r.id) for r in alerts.found_by(asked, listings(spark, 40), NOW).select("search_id", "id").collect())
+    every, bare = pairs(kept), pairs(kept.filter("q is null"))
+    quiet = {r.search_id for r in kept.filter("q is null").collect()}
+    assert read[0] > 0 and read[1] == 0 and bare == [p for p in every if p[0] in quiet] and bare
+
+
+def test_postings_are_written_where_they_are_made(spark, tmp_path):
+    """All postings were shuffled and sorted by as many tasks as there are buckets."""
+    rows, path = listings(spark, 40).repartition(6), str(tmp_path / "index")
+    storedindex.create(rows, path, 2)
+    files = [f for f in (tmp_path / "index" / "postings-0").iterdir() if f.name.endswith(".parquet")]
+    assert len(files) > 6  # of six tasks, not one for each of two buckets
+    shown = lambda df: sorted((r.id, r.term, round(r.weighted, 9), tuple(r.positions), r.doc_length) for r in df.collect())
+    assert shown(storedindex.postings(spark, path)) == shown(textindex.build_index(rows))
