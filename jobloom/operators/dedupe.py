@@ -41,10 +41,15 @@ def sized(df: DataFrame) -> DataFrame:
     return df.withColumn("_size", F.length(text(F.col("description_text"))) + F.length(text(F.col("description_html"))))
 
 
+def linked(df: DataFrame) -> DataFrame:
+    """``_link``, the canonical link of a row."""
+    return df.withColumn("_link", urls.batch_apply_key(F.col("apply_url")))
+
+
 def best_per_link(df: DataFrame, seq: str = "first_seq") -> DataFrame:
-    """Best row per (source, canonical link): trust, longer text, first seen; ``sized`` may have measured the texts before."""
+    """Best row per (source, canonical link): trust, longer text, first seen; ``sized`` and ``linked`` may have read texts and links before."""
     rows = df if "_size" in df.columns else sized(df)
-    keyed = rows.withColumn("_link", urls.batch_apply_key(F.col("apply_url"))).filter("_link is not null")
+    keyed = (rows if "_link" in df.columns else linked(rows)).filter("_link is not null")
     order = F.struct(origin.source_rank(F.col("source")).alias("a"), (-F.col("_size")).alias("b"), F.col(seq).alias("c"))
     return _chosen(keyed, [F.col("source").alias("_key0"), F.col("_link").alias("_key1")], F.min_by, order).drop("_link", "_size")
 

@@ -21,10 +21,10 @@ def current(spark, sf):
     return fx.listings(spark, sf).withColumn("embedding_hash", F.concat(F.lit("h"), C("id").cast("string"))).select(*STORED)
 
 
-def next_batch(spark, sf):
-    """A third retitled, a third repeated without a date, and some new rows."""
+def next_batch(spark, sf, rows=None):
+    """A third retitled, a third repeated without a date, and some new rows; of ``rows``, where the listings are at hand."""
     cols = ["id", "source", "external_id", "title", "company_name", "apply_url", "description_text", "workplace_type", "posted_at"]
-    df = fx.listings(spark, sf).select(*cols)
+    df = (fx.listings(spark, sf) if rows is None else rows).select(*cols)
     seen = df.filter("id % 3 in (0, 1)").withColumns({
         "title": F.when(C("id") % 3 == 0, F.concat("title", F.lit(" II"))).otherwise(C("title")),
         "posted_at": F.when(C("id") % 3 == 0, C("posted_at")),

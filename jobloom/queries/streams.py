@@ -44,7 +44,7 @@ STREAMED = UPSERT.replace("FULL JOIN batch n", "FULL JOIN picked n").replace(AS_
 def _(spark, sf):
     landed, store = shared_folder(spark, "rows"), shared_folder(spark, "store")
     catalogue.create_bucketed(current(spark, sf), store, 16)
-    rows = next_batch(spark, sf).withColumns({
+    rows = next_batch(spark, sf, spark.read.parquet(store)).withColumns({
         "last_seen_at": F.lit(LATER + "Z").cast("timestamp"), "description_html": F.lit(None).cast("string"), "seq": C("id")})
     rows = settle(rows, "arrived")  # by all tasks; the files of the stream are made of it
     rows.coalesce(1).write.parquet(landed)

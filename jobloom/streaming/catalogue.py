@@ -3,12 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobloom.operators.alerts import search_matches
-from jobloom.operators.dedupe import batch_dedupe
+from jobloom.operators.dedupe import best_per_link, last_per_listing, linked, sized, usable
 from jobloom.operators.lifecycle import upsert
-from jobloom.runtime import settle
+from jobloom.runtime import broadcast_if_small, settle
 from jobloom.sources.feeds import normalize_feed
 
 BUCKETS = 256
+NEWS_ROWS = 2_000_000  # of one number each
 LANDED_SCHEMA = "seq long, source string, ats_slug string, company_name string, company_url string, career_page_url string, payload string"
 
 
@@ -32,26 +33,36 @@ def create_bucketed(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def apply_batch(batch: DataFrame, path: str, stamp: str, buckets: int = BUCKETS) -> None:
+def _news(rows: DataFrame, stored: DataFrame, stamp: str, buckets: int) -> DataFrame:
+    """Rows with a bucket that are not older than what is stored under their key; only keys and times of the stored rows are read."""
+    key = ["bucket", "source", "external_id"]
+    known = stored.select(*key, F.col("last_seen_at").alias("_stored"))
+    met = rows.withColumn("bucket", _bucket(buckets)).join(known, key, "left")
+    return met.filter(F.col("_stored").isNull() | ~F.coalesce(F.col("_stored") > F.col(stamp), F.lit(False)))
+
+
+def apply_batch(batch: DataFrame, path: str, stamp: str, buckets: int = BUCKETS, chosen=None) -> None:
     """Upsert one deduplicated batch, rewriting only the buckets it touches.
 
     Each row is stamped with its own time; what is stored newer stays, and a
-    bucket for which the batch has nothing newer is not rewritten.
+    bucket for which the batch has nothing newer is not rewritten.  ``chosen``
+    gives the rows that count of a batch that is not deduplicated; it keeps
+    their ``_row``, by which the texts of those that are news are fetched.
 
     Applying the same batch again gives the same catalogue, so a batch that is
     replayed after a lost executor or driver does no harm.
     """
-    spark = batch.sparkSession
-    rows = settle(batch.withColumn("bucket", _bucket(buckets)), "batch")
-    stored = spark.read.parquet(path)
-    key = ["bucket", "source", "external_id"]
-    known = stored.select(*key, F.col("last_seen_at").alias("_stored"))
-    news = rows.select(*key, stamp).join(known, key, "left").filter(F.col("_stored").isNull() | ~F.coalesce(F.col("_stored") > F.col(stamp), F.lit(False)))
+    stored = batch.sparkSession.read.parquet(path)
+    numbered = batch.withColumn("_row", F.monotonically_increasing_id())
+    news_of = lambda rows: _news(chosen(rows) if chosen else rows, stored, stamp, buckets).select("_row", "bucket")
+    if news_of(numbered).isEmpty():
+        return  # before any text is written
+    rows = settle(numbered, "batch")
+    news = settle(news_of(rows).distinct(), "news")
     touched = [r[0] for r in news.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    if not touched:
-        return
+    rows = rows.join(broadcast_if_small(news.select("_row"), NEWS_ROWS), "_row", "left_semi").drop("_row")
     within = F.col("bucket").isin(touched)
-    after = upsert(stored.filter(within).drop("bucket"), rows.filter(within).drop("bucket"), None, stamp).withColumn("bucket", _bucket(buckets))
+    after = upsert(stored.filter(within).drop("bucket"), rows, None, stamp).withColumn("bucket", _bucket(buckets))
     # Files of touched buckets are replaced when the job commits, after all were read.
     after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
@@ -67,8 +78,14 @@ def stream_upsert(rows: DataFrame, path: str, checkpoint: str, as_of_column: str
     def run(batch, _batch_id):
         own = [F.col("seq")] if "seq" in batch.columns else []
         timed = batch.filter(F.col(as_of_column).isNotNull())
-        newest = timed.withColumn("seq", F.struct(F.unix_micros(as_of_column).alias("at"), *own))
-        apply_batch(batch_dedupe(newest, "seq").drop("seq", "first_seq"), path, as_of_column, buckets)
+        at = F.struct(F.unix_micros(as_of_column).alias("at"), *own)
+
+        def chosen(df):
+            """What ``batch_dedupe`` would keep, slim: texts are measured and links read where they lie, and do not move."""
+            slim = linked(sized(usable(df))).select("_row", "source", "external_id", "_link", "_size", as_of_column, at.alias("_seq"))
+            return best_per_link(last_per_listing(slim, "_seq"))
+
+        apply_batch(timed, path, as_of_column, buckets, chosen)
 
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,5 +1,6 @@
 """Operators against plain-Python results, and their invariants."""
 
+import datetime
 import json
 import random
 from collections import defaultdict
@@ -337,3 +338,28 @@ def test_a_late_batch_rewrites_no_bucket(spark, tmp_path):
     catalogue.apply_batch(table([row(0, "new", "2024-02-03"), row(1, "late", "2024-01-01", "2023-12-09"), row(9, "first", "2024-01-01")]), path, "last_seen_at", 4)
     assert titles() == {**{i: ("old", 5) for i in range(1, 8)}, 0: ("new", 5), 9: ("first", None)}
     assert 0 < len(set(was) & set(files())) < len(was)
+
+
+def test_texts_of_a_streamed_batch_move_only_where_they_change_the_catalogue(spark, tmp_path, monkeypatch):
+    """A batch was deduplicated with all its texts, and a late one was written down though it changes nothing."""
+    from jobloom.streaming import catalogue
+
+    schema = "id long, source string, external_id string, apply_url string, title string, description_text string, description_html string, first_seen_at timestamp, last_seen_at timestamp, is_active boolean, missed_runs int, seq long"
+    row = lambda i, key, link, title, text, day, seq=0: (i, "lever", key, f"https://a.example/{link}", title, text, None, None, datetime.datetime(2030, 5, day), True, 0, seq)
+    path, landed = str(tmp_path / "store"), str(tmp_path / "landed")
+    catalogue.create_bucketed(spark.createDataFrame([row(i, f"k{i}", i, "old", "x", 9) for i in range(4)], schema).drop("seq"), path, 4)
+    first = [row(0, "k0", 0, "new", "x", 20), row(0, "k0", 0, "newer", "x", 20, 1), row(1, "k1", 1, "older", "xxx", 5), row(7, "k7", 7, "short", "x", 20), row(8, "k8", 7, "long", "xx", 20)]
+    late = [row(r[0], *r[2:3], r[3][18:], "late", r[5], 2) for r in first]
+    written, aggregates, plain = [], [], catalogue.settle
+    def noted(df, name):
+        written.append(name)
+        aggregates.extend(x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x)
+        return plain(df, name)
+    monkeypatch.setattr(catalogue, "settle", noted)
+    for batch in (first, late):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(schema).parquet(landed)
+        catalogue.stream_upsert(stream, path, str(tmp_path / "offsets"), buckets=4).awaitTermination()
+        assert {r.external_id: r.title for r in spark.read.parquet(path).collect()} == {"k0": "newer", "k1": "old", "k2": "old", "k3": "old", "k8": "long"}
+    assert written == ["batch", "news"]  # of the first
+    assert aggregates and not any("description" in x or "title" in x for x in aggregates)
