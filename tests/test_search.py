@@ -195,3 +195,13 @@ def test_postings_are_written_where_they_are_made(spark, tmp_path):
     assert len(files) > 6  # of six tasks, not one for each of two buckets
     shown = lambda df: sorted((r.id, r.term, round(r.weighted, 9), tuple(r.positions), r.doc_length) for r in df.collect())
     assert shown(storedindex.postings(spark, path)) == shown(textindex.build_index(rows))
+
+
+def test_a_part_of_a_result_has_few_texts(spark):
+    """Parts held rows of all texts, so the queries of each stood in no order that a file could be made small by."""
+    asked = spark.range(320).select((F.col("id") % 64).alias("speaker"), F.col("id").alias("query_id"))
+    rows = spark.range(64 * 50).select((F.col("id") % 64).alias("query_id"), F.floor(F.col("id") / 64).alias("id"))
+    out = textindex.for_all(rows, asked)
+    assert out.count() == 64 * 50 * 5 == out.distinct().count()
+    parts = out.groupBy(F.spark_partition_id().alias("part")).agg(F.count_distinct(F.col("query_id") % 64).alias("n")).collect()
+    assert len(parts) >= spark.sparkContext.defaultParallelism and max(r.n for r in parts) <= 16
